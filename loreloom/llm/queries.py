@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from .common import table
-from . import mixing, sharding
+from . import decontaminate, mixing, sharding, toxicity
 
 
 def op1_shard(spark, sf_dir):
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op10_mix": op10_mix}
+QUERIES = {"op1_shard": op1_shard, "op3_decontaminate": op3_decontaminate, "op7_toxicity": op7_toxicity, "op10_mix": op10_mix}
 ORACLES = {"op10_mix": mixing.ORACLE}
