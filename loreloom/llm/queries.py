@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontaminate, mixing, sharding, toxicity
+from . import decontaminate, mixing, near_dup, sharding, toxicity
 
 
 def op1_shard(spark, sf_dir):
@@ -14,6 +14,10 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_dup(spark, sf_dir):
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,5 +26,5 @@ def op10_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op3_decontaminate": op3_decontaminate, "op7_toxicity": op7_toxicity, "op10_mix": op10_mix}
+QUERIES = {"op1_shard": op1_shard, "op3_decontaminate": op3_decontaminate, "op4_near_dup": op4_near_dup, "op7_toxicity": op7_toxicity, "op10_mix": op10_mix}
 ORACLES = {"op10_mix": mixing.ORACLE}
