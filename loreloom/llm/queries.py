@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontaminate, mixing, near_dup, sharding, toxicity
+from . import decontaminate, fingerprints, main_text, mixing, near_dup, sharding, toxicity, warc
 
 
 def op1_shard(spark, sf_dir):
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark, sf_dir):
+    return main_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -18,13 +22,30 @@ def op4_near_dup(spark, sf_dir):
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprint(spark, sf_dir):
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op3_decontaminate": op3_decontaminate, "op4_near_dup": op4_near_dup, "op7_toxicity": op7_toxicity, "op10_mix": op10_mix}
-ORACLES = {"op10_mix": mixing.ORACLE}
+QUERIES = {
+    "op1_shard": op1_shard,
+    "op2_main_text": op2_main_text,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_near_dup": op4_near_dup,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_toxicity": op7_toxicity,
+    "op9_warc": op9_warc,
+    "op10_mix": op10_mix,
+}
+ORACLES = {"op9_warc": warc.ORACLE, "op10_mix": mixing.ORACLE}
