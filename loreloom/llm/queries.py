@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontaminate, fingerprints, main_text, mixing, near_dup, sharding, toxicity, warc
+from . import decontaminate, fingerprints, line_dedup, main_text, mixing, near_dup, preferences, sharding, toxicity, warc
 
 
 def op1_shard(spark, sf_dir):
@@ -22,6 +22,10 @@ def op4_near_dup(spark, sf_dir):
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_preferences(spark, sf_dir):
+    return preferences.report(table(spark, sf_dir, "conversations"))
+
+
 def op6_fingerprint(spark, sf_dir):
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup.remove(table(spark, sf_dir, "documents"), report=True)
+
+
 def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,9 +51,11 @@ QUERIES = {
     "op2_main_text": op2_main_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dup": op4_near_dup,
+    "op5_preferences": op5_preferences,
     "op6_fingerprint": op6_fingerprint,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_mix": op10_mix,
 }
-ORACLES = {"op9_warc": warc.ORACLE, "op10_mix": mixing.ORACLE}
+ORACLES = {"op5_preferences": preferences.ORACLE, "op9_warc": warc.ORACLE, "op10_mix": mixing.ORACLE}
