@@ -68,7 +68,7 @@ def greedy_match(records: DataFrame, keys: list[str], least: float = 0.5) -> Dat
             tails[k : k + 1] = [v]
         n, m = len(expected), len(order)
         if not n:
-            share = float(not generated)
+            share = float(len(generated) == 0)
             return m, n, len(generated), share, share, 0.0
         return m, n, len(generated), round(m / n, 4), round(len(tails) / m, 4) if m else 0.0, round(sum(likes) / m, 4) if m else 0.0
 

@@ -39,8 +39,11 @@ def windowed(events: DataFrame, key: str, width: str = "60 seconds", slide: str
     return got.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "total")
 
 
-def rate_limited(events: DataFrame, key: str, key_type: str = "long", *, limit: int, width: float = 60.0) -> DataFrame:
-    """(key, event_id, accepted): the sliding log as keyed state; at most limit times are kept, refused calls are not."""
+def rate_limited(events: DataFrame, key: str, key_type: str = "long", *, limit: int, width: float = 60.0, late: str = "1 minute") -> DataFrame:
+    """(key, event_id, accepted): the sliding log as keyed state; at most limit times are kept, refused calls are not.
+
+    A key's state goes when the watermark has passed its last call by the width.
+    """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -56,7 +59,7 @@ def rate_limited(events: DataFrame, key: str, key_type: str = "long", *, limit:
             if accepted[-1]:
                 log.append(now)
         state.update((log,))
-        state.setTimeoutDuration(int(width * 1000))
+        state.setTimeoutTimestamp(max(int((seconds.max() + width) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: name[0], "event_id": calls["event_id"].to_numpy(), "accepted": accepted})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {key_type}, event_id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, f"`{key}` {key_type}, event_id long, accepted boolean", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
