@@ -181,8 +181,12 @@ def page_of(headers: dict[bytes, bytes], block: bytes) -> tuple[int | None, int,
 
 def train_dictionary(pages: DataFrame, samples: int = 256, size: int = 16 << 10) -> bytes:
     """A dictionary trained on the starts of at most so many pages, those with the smallest hash; empty if they don't do."""
-    rows = pages.filter("html IS NOT NULL").select(F.xxhash64("page_id", "html").alias("h"), F.substring("html", 1, 8192).alias("start")).orderBy("h").limit(samples)
-    parts = [r["start"].encode() for r in rows.collect()]
+    pages = pages.select("page_id", F.col("html").cast("string").alias("html"))
+    rows = pages.filter("html IS NOT NULL").withColumn("h", F.xxhash64("page_id", "html"))
+    last = rows.select("h").orderBy("h").limit(samples).agg(F.max("h").alias("h")).first()["h"]  # only hashes are sorted
+    if last is None:
+        return b""
+    parts = sorted(r["start"].encode() for r in rows.filter(F.col("h") <= last).select(F.substring("html", 1, 8192).alias("start")).limit(samples).collect())
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples
