@@ -88,15 +88,15 @@ def runs(docs: DataFrame, least_words: int) -> DataFrame:
     prints = Table(kept.filter(F.size("hashes") > 0).select("doc_id", "row_hash", "hashes", "counts").mapInArrow(fingerprints, "fingerprint long, window long, doc_id long, row_hash long, start long, stop long"), "line-prints").df
     place = F.struct(*_order("doc_id", "row_hash"), "start")
     first = prints.groupBy("fingerprint", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
-    met = prints.join(first, ["fingerprint", "window"]).filter(place != F.col("first"))
+    met = prints.join(first.hint("merge"), ["fingerprint", "window"]).filter(place != F.col("first"))
     met = met.select("doc_id", "row_hash", F.col("first.doc_id").alias("source"), F.col("first.row_hash").alias("source_hash"), (F.col("first.start") - F.col("start")).alias("shift"), F.struct("start", "stop").alias("window"))
     met = met.groupBy("doc_id", "row_hash", "source", "source_hash", "shift").agg(F.collect_set("window").alias("windows"))  # of one document
     met = Table(met, "line-met").df
     one = kept.dropDuplicates(["doc_id", "row_hash"])
     mine = one.select(F.col("doc_id").alias("a_id"), F.col("row_hash").alias("a_hash"), "at", F.col("hashes").alias("a"))
     theirs = one.select(F.col("doc_id").alias("b_id"), F.col("row_hash").alias("b_hash"), F.col("hashes").alias("b"))
-    both = met.join(mine, met["doc_id"].eqNullSafe(mine["a_id"]) & (met["row_hash"] == mine["a_hash"]))
-    both = both.join(theirs, both["source"].eqNullSafe(theirs["b_id"]) & (both["source_hash"] == theirs["b_hash"]))
+    both = met.join(mine.hint("merge"), met["doc_id"].eqNullSafe(mine["a_id"]) & (met["row_hash"] == mine["a_hash"]))
+    both = both.join(theirs.hint("merge"), both["source"].eqNullSafe(theirs["b_id"]) & (both["source_hash"] == theirs["b_hash"]))
 
     def extended(batches):
         names = ("doc_id", "row_hash", "source", "shift", "windows", "at", "a", "b")
@@ -133,7 +133,7 @@ def remove(docs: DataFrame, least_words: int = 50, report: bool = False) -> Data
     found = found.toDF(*names.values())
     key = fresh(docs, "line_row_hash")[0]
     hashed = docs.withColumn(key, F.xxhash64("text"))
-    got = hashed.join(found, hashed["doc_id"].cast("long").eqNullSafe(found[names["run_doc"]]) & (hashed[key] == found[names["run_hash"]]), "left").select(*docs.columns, names["run_list"])
+    got = hashed.join(found.hint("merge"), hashed["doc_id"].cast("long").eqNullSafe(found[names["run_doc"]]) & (hashed[key] == found[names["run_hash"]]), "left").select(*docs.columns, names["run_list"])
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields])
     if report:
