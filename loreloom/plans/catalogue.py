@@ -11,7 +11,7 @@ from .. import testbed as tb
 from ..functions import json as fj
 from ..functions import text as ft
 from ..functions import time as fm
-from ..operators import answers, audit, chunking, dedup, governance, graph, matching, quality, records, retrieval, runtime, simulate
+from ..operators import answers, audit, chunking, dedup, governance, graph, matching, quality, records, retrieval, runtime, simulate, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,3 +575,49 @@ def ingestion_claims(spark, d):
     requests = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("checksum"), F.lit("me").alias("owner"), (F.col("c_custkey") % 5 == 0).alias("force"))
     claims = _read(spark, d, "supplier").select(k.cast("string").alias("checksum"), F.when(k % 3 == 0, "COMPLETED").when(k % 3 == 1, "PROCESSING").otherwise("FAILED").alias("status"), F.when(k % 2 == 0, "2024-01-01 00:00:00").otherwise("broken").alias("lease_until"), (k % 4).alias("attempt"))
     return governance.claim(claims, requests, F.to_timestamp(F.lit("2023-06-01 00:00:00"))).select("checksum", "decision", "attempt")
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS unit_id, 'P' || l_linenumber % 2 AS parent, (l_orderkey + l_linenumber) % 3 <> 0 AS retrieval_enabled FROM lineitem)
+    SELECT p.case_id * 10 + p.unit_id AS parent_unit_id, c.case_id * 10 + c.unit_id AS unit_id FROM c JOIN c p ON p.case_id = c.case_id AND p.unit_id = 1 AND c.unit_id > 1 WHERE c.retrieval_enabled AND p.retrieval_enabled""")
+def parent_child_collisions(spark, d):
+    k = F.col("l_orderkey") * 10
+    cards = _read(spark, d, "lineitem").select((k + F.col("l_linenumber")).alias("unit_id"), F.when(F.col("l_linenumber") > 1, k + 1).alias("parent_unit_id"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 3 != 0).alias("retrieval_enabled")).distinct()
+    return steps.collisions(cards)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS case_id, l_linenumber AS position, min(l_partkey) AS p, 't' || min(l_suppkey) % 2 AS title, 'q' || min(l_partkey) % 2 AS qualifier FROM lineitem GROUP BY 1, 2),
+    f AS (SELECT *, count(DISTINCT p) OVER (PARTITION BY case_id, title) AS k, row_number() OVER (PARTITION BY case_id, title, qualifier ORDER BY position) AS place FROM l)
+    SELECT case_id, position, CASE WHEN k < 2 THEN title WHEN place > 1 THEN title || ' · ' || qualifier || ' · ' || substr(sha256(CAST(p AS VARCHAR)), 1, 8) ELSE title || ' · ' || qualifier END AS new_title FROM f""")
+def title_disambiguation(spark, d):
+    lines = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("position")).agg(F.min("l_partkey").alias("p"), F.concat(F.lit("t"), F.min("l_suppkey") % 2).alias("title"))
+    lines = lines.select("*", F.col("p").alias("fingerprint"), F.concat(F.lit("q"), F.col("p") % 2).alias("qualifier"), F.col("p").cast("string").alias("operation"))
+    return steps.distinct_titles(lines).select("case_id", "position", "new_title")
+
+
+@query("""WITH n AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'Ticket-ID' WHEN 'click' THEN 'Affected Service' WHEN 'signup' THEN 'pre_approval_state' WHEN 'purchase' THEN 'risk_level' ELSE event_type END AS name FROM events)
+    SELECT event_id, name, CASE name WHEN 'Ticket-ID' THEN 'IDENTITY' WHEN 'Affected Service' THEN 'SERVICE_SCOPE' WHEN 'pre_approval_state' THEN 'GOVERNANCE_CONTEXT' WHEN 'risk_level' THEN 'RISK_IMPACT' ELSE 'IDENTITY_METADATA_CONTEXT' END AS role FROM n""")
+def context_roles(spark, d):
+    t = F.col("event_type")
+    name = F.when(t == "view", "Ticket-ID").when(t == "click", "Affected Service").when(t == "signup", "pre_approval_state").when(t == "purchase", "risk_level").otherwise(t)
+    return _read(spark, d, "events").select("event_id", name.alias("name"), steps.context_role(name).alias("role"))
+
+
+@query()
+def numbered_sections(spark, d):
+    text = F.regexp_replace(F.concat(F.lit("\n"), F.col("text")), "\n", "\n1. ")
+    got = steps.with_sections(_read(spark, d, "documents").select("doc_id", F.substring(text, 2, 1_000_000).alias("operation")))
+    return got.select("doc_id", "section_no", "label", F.sha2("title", 256).alias("title_sha256"), "content_length", "is_noop", "is_actionable")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), a AS (SELECT o, count(*) AS n, list(p) AS h FROM l GROUP BY o)
+    SELECT o AS doc_id, '/flat' AS flat_pointer, '/same' AS grouped_pointer, n::INTEGER AS matched FROM a WHERE o % 4 <> 0 AND o % 5 <> 0""")
+def record_view_pairs(spark, d):
+    lines = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    a = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").alias("n"), F.collect_list("p").alias("hashes")).withColumn("signature", F.lit("s"))
+    flat = a.withColumn("pointer", F.lit("/flat"))
+    other = F.transform("hashes", lambda h: h + 1_000_000)
+    same = a.filter("doc_id % 4 <> 0").withColumn("pointer", F.lit("/same"))
+    twice = a.filter("doc_id % 5 = 0").withColumn("pointer", F.lit("/twice"))
+    wrong = a.filter("doc_id % 4 <> 0").withColumn("hashes", other).withColumn("pointer", F.lit("/wrong"))
+    got = steps.paired_views(flat, same.unionByName(twice.filter("doc_id % 4 <> 0")).unionByName(wrong))
+    return got

@@ -112,3 +112,17 @@ def test_eligibility_and_approval(spark):
     assert [len(r.reasons) for r in governance.eligibility(b).collect()] == [0, 4]
     c = spark.createDataFrame([("q", [], True), ("", [], True), ("q", ["缺少原文证据"], True), ("q", ["BLOCKING: x"], True), ("q", None, False), ("q", None, None)], "evidence_quote string, quality_issues array<string>, report_safe boolean")
     assert [r.approvable for r in governance.approvable(c).collect()] == [True, False, False, False, False, True]
+
+
+def test_sections_titles_and_roles(spark):
+    from loreloom.operators import steps
+
+    text = "1. 检查路由\n确认下一跳 10.0.0.1 正常并保存结果\n  1. 内部一\n  细节\n  2. 内部二\n2. 影响\n不涉及\n三、回退\n恢复原值"
+    got = steps.sections(text)
+    assert [(s["label"], s["title"], s["body"], [i["title"] for i in s["subitems"]]) for s in got] == [("1.", "检查路由", "确认下一跳 10.0.0.1 正常并保存结果", ["内部一", "内部二"]), ("2.", "影响", "不涉及", []), ("三、", "回退", "恢复原值", [])]
+    rows = steps.with_sections(spark.createDataFrame([(1, text), (2, "no sections"), (3, None)], "id int, operation string"), least_chars=10).orderBy("section_no").collect()
+    assert [(r.id, r.is_noop, r.is_actionable, r.is_self_contained) for r in rows] == [(1, False, True, True), (1, True, False, False), (1, False, True, False)]
+    t = spark.createDataFrame([("ROLLBACK", "修改超时", "恢复旧值"), ("ROLLBACK", "删除路由", "还原"), ("IMPLEMENTATION", "修改超时", "x"), ("", " ", "x")], "p string, n string, o string")
+    assert [r.t for r in t.select(steps.phase_title(F.col("p"), F.col("n"), F.col("o")).alias("t")).collect()] == ["回退：恢复超时原值", "回退：恢复已删除的路由", "实施：修改超时", "步骤：未命名步骤"]
+    split = steps.should_split(spark.createDataFrame([(1, "x" * 6000, True)] * 5 + [(2, "x", True)] * 5, "id int, operation string, is_self_contained boolean"), ["id"]).collect()
+    assert {r.id: r.split for r in split} == {1: True, 2: False}
