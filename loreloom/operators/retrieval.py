@@ -82,12 +82,13 @@ def search(cards: DataFrame, queries: DataFrame, *, top_k: int = 6, min_score: f
     cards = publishable(cards)
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
     wanted = term_frequency(cards).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    # Fields are summed before the queries come in: one row for each card and term.
+    wanted = wanted.groupBy("id", "term").agg(F.sum(weights[F.col("field")] * (1 + F.log("tf"))).alias("weight"))
     n = cards.count()
-    idf = document_frequency(wanted).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 0.5)) + 1).alias("idf"))
-    weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
-    part = weights[F.col("field")] * (1 + F.log("tf")) * F.col("idf") * (1 + F.log("qtf"))
-    lexical = wanted.join(idf, "term").join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum(part).alias("lexical"), F.sort_array(F.collect_set("term")).alias("matched_terms"))
+    idf = wanted.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 0.5)) + 1).alias("idf"))
+    lexical = wanted.join(F.broadcast(terms), "term").join(F.broadcast(idf), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf") * (1 + F.log("qtf"))).alias("lexical"), F.count("*").alias("matched"))
     asked = F.broadcast(queries.join(sizes, "query_id").select("query_id", F.trim(F.lower("query")).alias("q"), "n_terms"))
     title, name = (F.lower(F.coalesce(F.col(c), F.lit(""))) if c in cards.columns else F.lit("") for c in ("title", "object_name"))
     named = cards.select("id", title.alias("t"), name.alias("o")).join(asked, F.contains(F.col("t"), F.col("q")) | ((F.col("o") != "") & F.contains(F.col("q"), F.col("o"))))
@@ -95,9 +96,12 @@ def search(cards: DataFrame, queries: DataFrame, *, top_k: int = 6, min_score: f
     boosts = named.select("query_id", "id", boost.alias("boost"))
     hits = lexical.join(boosts, ["query_id", "id"], "full").join(F.broadcast(sizes), "query_id")
     score = F.coalesce("lexical", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))
-    hits = hits.select("query_id", "id", score.alias("score"), (F.coalesce(F.size("matched_terms"), F.lit(0)) / F.col("n_terms")).alias("query_coverage"), F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms"))
+    hits = hits.select("query_id", "id", score.alias("score"), (F.coalesce("matched", F.lit(0)) / F.col("n_terms")).alias("query_coverage"))
     hits = hits.filter((F.col("score") > 0) & (F.col("score") >= max(0.0, min_score)) & (F.col("query_coverage") >= max(0.0, min(1.0, min_coverage))))
-    return top_hits(hits, top_k)
+    found = top_hits(hits, top_k)
+    texts = cards.select("id", tokenize(F.concat_ws("\n", *(_flat(cards, f) for f in _fields(cards)))).alias("held"))
+    said = queries.select("query_id", tokenize(F.col("query")).alias("said"))
+    return found.join(texts, "id").join(F.broadcast(said), "query_id").withColumn("matched_terms", F.array_sort(F.array_intersect("said", "held"))).drop("said", "held")
 
 
 def top_hits(hits: DataFrame, top_k: int) -> DataFrame:
