@@ -17,6 +17,7 @@ rows has its base rate as probability; empty documents give no rows; other colum
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,14 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, utf8, words_of
 
-CHI2, MOST_WORDS, FOLDS, RIDGE, MEMO = 24.0, 400, 5, 1.0, 300_000
+CHI2, MOST_WORDS, LEAST_ROWS, FOLDS, RIDGE, MEMO = 24.0, 400, 3, 5, 1.0, 100_000
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _PLAIN = _UPPER + _LOWER + b"0123456789 \n.,'" + bytes(range(128, 256))
 
 
 def lexical(word: bytes) -> tuple[bytes, ...]:
-    """The features of a word: itself, and its beginnings of 3 to 9 bytes, marked by a space."""
-    return (word, *(word[:n] + b" " for n in range(3, min(len(word), 9) + 1)))
+    """The features of a word: itself, and its beginnings of 4 to 8 bytes, marked by a space."""
+    return (word, *(word[:n] + b" " for n in range(4, min(len(word), 8) + 1)))
 
 
 def ratios(text: bytes, words: list[bytes], distinct: int) -> tuple[float, ...]:
@@ -77,12 +78,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Sample:
     """The training rows' lexical features as numbers: ids[starts[i]:starts[i + 1]] are those of row i."""
 
-    def __init__(self, docs: list[set[bytes]]):
+    def __init__(self, docs: Iterable[Iterable[bytes]]):
         number: dict[bytes, int] = {}
         rows = [np.fromiter({number.setdefault(f, len(number)) for w in d for f in lexical(w)}, np.int32) for d in docs]
-        self.names = list(number)
-        self.ids = np.concatenate([*rows, np.zeros(0, np.int32)])
-        self.row = np.repeat(np.arange(len(docs)), [len(r) for r in rows])
+        ids = np.concatenate([*rows, np.zeros(0, np.int32)])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        del rows
+        often = np.bincount(ids, minlength=len(number)) >= LEAST_ROWS  # no rarer feature can be selected
+        self.names = [f for f, o in zip(number, often.tolist()) if o]
+        number.clear()
+        kept = often[ids]
+        self.ids, self.row = (np.cumsum(often, dtype=np.int32) - 1)[ids[kept]], row[kept]
 
     def select(self, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The MOST_WORDS features with the largest chi-square above CHI2 in rows (a mask); of features that the same
@@ -91,10 +97,10 @@ class Sample:
         ids = self.ids[rows[self.row]]
         k = np.bincount(ids, minlength=len(self.names)).astype(float)
         a = np.bincount(ids, y[self.row[rows[self.row]]], minlength=len(self.names))
-        some = np.flatnonzero((k >= 3) & (k < n))
+        some = np.flatnonzero((k >= LEAST_ROWS) & (k < n))
         chi2 = n * (a[some] * n - k[some] * pos) ** 2 / (k[some] * (n - k[some]) * pos * (n - pos))
         strong = some[chi2 > CHI2]
-        whole = {(self.names[i].rstrip(b" ")[:m], a[i], k[i]) for i in strong for m in range(3, len(self.names[i].rstrip(b" ")) + (self.names[i][-1:] != b" "))}
+        whole = {(self.names[i].rstrip(b" ")[:m], a[i], k[i]) for i in strong for m in range(4, len(self.names[i].rstrip(b" ")) + (self.names[i][-1:] != b" "))}
         kept = [(-c, self.names[i], i) for i, c in zip(strong, chi2[chi2 > CHI2]) if not (self.names[i].endswith(b" ") and (self.names[i][:-1], a[i], k[i]) in whole)]
         return np.array([i for _, _, i in sorted(kept)[:MOST_WORDS]], dtype=np.int64)
 
@@ -131,7 +137,7 @@ def fit(sample: Sample, rows: np.ndarray, dense: np.ndarray, y: np.ndarray) -> t
     return Link(dict(zip((sample.names[i] for i in features), w[:m].tolist())), mean, scale, w[m:-1], float(w[-1])), every @ w
 
 
-def fit_chain(docs: list[set[bytes]], dense: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Link]:
+def fit_chain(docs: Iterable[Iterable[bytes]], dense: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Link]:
     """A link for each column of labels; later links see the out-of-fold probabilities of earlier ones."""
     sample, chain = Sample(docs), []
     for k in range(labels.shape[1]):
@@ -139,7 +145,7 @@ def fit_chain(docs: list[set[bytes]], dense: np.ndarray, labels: np.ndarray, fol
         link, _ = fit(sample, np.ones(len(y), dtype=bool), dense, y)
         chain.append(link)
         if k + 1 < labels.shape[1]:
-            out = np.zeros(len(docs))
+            out = np.zeros(len(y))
             for f in np.unique(folds):
                 rest = folds != f
                 out[~rest] = _sigmoid(fit(sample, rest, dense, y)[1][~rest]) if rest.any() else y.mean()
@@ -181,10 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], train
     if not rows:
         return [Link({}, np.zeros(4 + k), np.ones(4 + k), np.zeros(4 + k), -30.0) for k in range(len(categories))]
     folds = np.array([r["doc_id"] * 2654435761 % 2**32 * FOLDS >> 32 for r in rows])
-    return fit_chain([set(bytes(r["words"]).split()) for r in rows], np.array([r["ratios"] for r in rows]), np.array([r["y"] for r in rows], dtype=float), folds)
+    return fit_chain((bytes(r["words"]).split() for r in rows), np.array([r["ratios"] for r in rows]), np.array([r["y"] for r in rows], dtype=float), folds)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.5, train_rows: int = 6000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.5, train_rows: int = 4000) -> DataFrame:
     """For each document doc_id, p_<category> for each category, and the last category's decision, named as it is."""
     small_batches(docs.sparkSession)
     chain = train(docs, labels, categories, train_rows)
@@ -199,7 +205,7 @@ def score(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = (
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} double" for n in names), f"{categories[-1]} boolean"]))
 
 
-def remove(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.5, train_rows: int = 6000) -> DataFrame:
+def remove(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.5, train_rows: int = 4000) -> DataFrame:
     """docs without those that the last category's model rejects."""
     small_batches(docs.sparkSession)
     chain = train(docs, labels, categories, train_rows)
