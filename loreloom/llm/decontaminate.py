@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from .common import small_batches, utf8, words_of
 
-SHARD_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
 
+_STOP = np.zeros(1, dtype=np.int32)
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long, longest_item string"
 
 
@@ -97,18 +98,19 @@ def search(words: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int, np.nda
 
 def scan_shard(texts: list[bytes | None], blocks) -> list[tuple]:
     """(n_words, n_hit, item_ids, longest match, its word, its item) of each text; blocks: the TestSuffixes in turn."""
-    split = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in split], dtype=np.int64)
-    starts = np.r_[0, np.cumsum(counts + 1)]
-    change = np.zeros(starts[-1] + 1, dtype=np.int64)
     items: list[set[str]] = [set() for _ in texts]
     longest = [(0, -1, None)] * len(texts)
+    counts = starts = change = None
     for tests in blocks:
-        words = np.zeros(starts[-1], dtype=np.int64)
-        number = tests.numbers.__getitem__
-        for w, start in zip(split, starts.tolist()):
-            if w:
-                words[start : start + len(w)] = np.fromiter(map(number, w), np.int64, len(w))
+        numbered = []  # only numbers are kept of a text's words, each with a 0 after it
+        for t in texts:
+            w = words_of(t)
+            numbered += [np.fromiter(map(tests.numbers.__getitem__, w), np.int32, len(w)), _STOP]
+        words = np.concatenate([*numbered, _STOP[:0]])
+        if counts is None:
+            counts = np.array([len(x) for x in numbered[::2]], dtype=np.int64)
+            starts = np.r_[0, np.cumsum(counts + 1)]
+            change = np.zeros(starts[-1] + 1, dtype=np.int32)
         reach: list[tuple[int, int, int]] = []
         for i, found in search(words, tests):
             n = int(tests.lengths[i])
