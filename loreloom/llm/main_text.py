@@ -2,7 +2,8 @@
 
 The page becomes a tree; scripts, styles, forms, menus, page headers, footers, sidebars, notices, adverts and reader
 comments leave it by their element, role or the words of their class and id. Each paragraph then passes points for its
-length and commas to its ancestors: all to the nearest, half to the next, a shrinking part further up. An element's
+length and commas to its ancestors: all to the nearest, half to the next, a shrinking part further up to the root; a
+wrapper without other text of its own counts as one with what it holds. An element's
 score is its points, plus what its name suggests, times the share of its text outside links. The best element is the
 container; siblings that score well or are proper paragraphs are kept with it. Blocks are joined in page order.
 
@@ -217,19 +218,22 @@ def extract(page: str | None) -> str:
             up.length += len(text)
             up.linked += linked
             up = up.parent
+    for owner, text, _ in found:
         points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) if len(text) >= 25 else len(text) / 1000
-        up, part = (owner if owner.tag in HOLDERS else owner.parent) or owner, 1.0
-        for level in range(6):
+        up, part, level = (owner if owner.tag in HOLDERS else owner.parent) or owner, 1.0, 0
+        while up is not None:
             up.points += points * part
             scored[id(up)] = up
-            if up.parent is None:
-                break
-            up, part = up.parent, 1 / (2 + 1.5 * level)
+            if up.parent is not None and up.parent.length > up.length:
+                part, level = 1 / (2 + 1.5 * level), level + 1
+            up = up.parent
     best, most = root, -1.0
     for node in scored.values():
         score = _score(node)
         if score > most:
             best, most = node, score
+    while best.parent is not None and best.parent.length == best.length:  # siblings are those of its outermost wrapper
+        best = best.parent
     chosen = {id(best)}
     if best.parent is not None:
         for sibling in best.parent.inside:

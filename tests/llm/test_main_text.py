@@ -53,3 +53,13 @@ def test_template_pages_against_a_plain_reading():
         paras = [f"{PARA} {k} {i}" for i in range(k)]
         page = f'<html><body><nav><ul><li><a href="/x">x</a></li></ul></nav><div class="ad">Nicht, aber.</div><article><h1>H{k}</h1>' + "".join(f"<p>{p}</p>" for p in paras) + "</article><footer>&copy; s.</footer></body></html>"
         assert extract(page) == re.sub(r"\s+", " ", " ".join([f"H{k}", *paras]))
+
+
+def test_deeply_wrapped_paragraphs_stay_together():
+    for depth in (1, 5, 6, 7, 12, 40):
+        for n in (2, 3, 5, 20):
+            paras = [f"{PARA} {i}" for i in range(n)]
+            wrapped = "".join("<div>" * depth + f"<p>{p}</p>" + "</div>" * depth for p in paras)
+            for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div id=c>", "</div>")):
+                page = f"<body><div><a href=1>One link here to go, and on</a> <a href=2>Another link, and more of it</a></div>{open_}{wrapped}{close}</body>"
+                assert extract(page) == " ".join(paras), (depth, n, open_)
