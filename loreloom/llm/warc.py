@@ -38,7 +38,7 @@ DICTIONARY_MAGIC, FRAME_MAGIC = (0x184D2A5D).to_bytes(4, "little"), (0xFD2FB528)
 VERSION, PROFILE = b"WARC/1.1", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = (b"warc-type", b"warc-record-id", b"warc-date", b"content-length")
 DATE = b"2024-01-01T00:00:00Z"
-ARCHIVE_BYTES, READ_BYTES, MOST_HEADER = 64 << 20, 1 << 20, 1 << 16
+ARCHIVE_BYTES, READ_BYTES = 64 << 20, 1 << 20
 
 
 class WarcError(ValueError):
@@ -127,7 +127,7 @@ def read_archive(raw) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[bytes, bytes], bytes]:
     """Headers and block of the one record that data holds."""
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise WarcError(f"before byte {at}: a record's headers don't end")
     version, *lines = data[:end].split(b"\r\n")

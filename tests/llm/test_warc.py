@@ -61,3 +61,13 @@ def test_round_trip_equals_plain_reading(spark):
         want.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if revisit else "response", min(same) if revisit else None))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert W.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_very_long_urls(spark):
+    urls = ["data:text/html," + "x" * 100_000, "http://a/" + "日" * 11_000]
+    for url in urls:
+        headers, _ = W.parse_record(W.record(1, url, b"p", hashlib.sha256(b"p").hexdigest(), None, False))
+        assert len(headers[b"warc-target-uri"]) > 95_000
+    rows = [(i, url, HTML * (i + 1)) for i, url in enumerate(urls)]
+    got = W.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r[0], r[1]) for r in got) == [(i, len(h.encode())) for i, _, h in rows]
