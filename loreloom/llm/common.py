@@ -2,48 +2,49 @@
 
 from __future__ import annotations
 
-import atexit
-import re
 import uuid
-from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words split at ASCII white space (Java and RE2 pattern).
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-#: Used where spark.checkpoint.dir is unset (tests, one machine).
+#: Used where spark.checkpoint.dir is unset and all of Spark runs on this machine.
 OWN_SHARED_DIR = "file:///tmp/checkpoints"
+#: A key with more than this share of a side's rows is dealt into parts.
+HOT = 1 / 256
+#: A key of no more rows than this is never dealt.
+HOT_ROWS = 256
 
 _ROOTS: dict[str, str] = {}
 
 
+def _at(spark: SparkSession, path: str):
+    """(file system, path) in Hadoop's terms."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shared_root(spark: SparkSession) -> str:
-    """This application's folder below the one that driver and executors share."""
+    """This application's folder below the one that driver and executors share; it goes when the driver's JVM ends."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or OWN_SHARED_DIR
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = OWN_SHARED_DIR
         _ROOTS[app] = f"{base.rstrip('/')}/loreloom-{uuid.uuid4().hex}"
-        atexit.register(_remove_quietly, spark, _ROOTS[app])
+        store, at = _at(spark, _ROOTS[app])
+        store.mkdirs(at)
+        store.deleteOnExit(at)
     return _ROOTS[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        _remove(spark, path)
-    except Exception:  # noqa: BLE001  the session may have ended before the interpreter
-        pass
-
-
 class Table:
     """A DataFrame written as Parquet in the shared folder: its lineage is cut and survives lost executors."""
 
@@ -55,13 +56,19 @@ class Table:
 
     def drop(self) -> None:
         """Removes the files; only once nothing reads them any more."""
-        _remove(self.spark, self.path)
+        store, at = _at(self.spark, self.path)
+        store.delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
-    """Bounds the rows and bytes of a batch that Spark hands to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
+    """Lowers, and never raises, the session's bounds on the rows and bytes of a batch that Spark hands to Python.
+
+    Spark reads them when a plan runs, so they stay lowered.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:
@@ -95,25 +102,34 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return pc.cast(column, pa.large_binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batch into parts of at most so many bytes of column, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if batch.num_rows > start:
-        yield batch.slice(start)
+def list_rows(column: pa.Array) -> list[np.ndarray]:
+    """The rows of an Arrow column of lists of numbers, without nulls, as views of its values."""
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(at, at[1:])]
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small, which has one row for each key, as a merge join that no key makes lopsided.
 
+    A key with more than HOT of big's rows is dealt into as many parts as it has such shares, by a hash of the columns
+    ``by``, and small's row of it is repeated for each; there are at most 1 / HOT such keys. Null keys equal null; other
+    columns of the two must differ in name.
+    """
+    share = max(big.count() * HOT, HOT_ROWS)
+    often = big.groupBy(*keys).count().filter(F.col("count") > share).select(*(F.col(k).alias(f"hot_{k}") for k in keys), F.ceil(F.col("count") / share).cast("int").alias("hot_parts"))
+    hot = Table(often, "hot-keys").df  # at most 1 / HOT rows
+    equal = lambda other: reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{other}_{k}")) for k in keys))
 
-def with_schema(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in more)])
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(hot), equal("hot"), "left").drop(*(f"hot_{k}" for k in keys)).withColumn("hot_parts", F.coalesce("hot_parts", F.lit(1)))
+
+    left = marked(big).withColumn("hot_part", F.pmod(F.xxhash64(*by), F.col("hot_parts")).cast("int")).drop("hot_parts")
+    right = marked(small).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("hot_parts") - 1))).drop("hot_parts").withColumnsRenamed({k: f"their_{k}" for k in keys} | {"part": "their_part"})
+    got = left.join(right.hint("merge"), equal("their") & (F.col("hot_part") == F.col("their_part")), how)
+    return got.drop("hot_part", "their_part", *(f"their_{k}" for k in keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-WORD_RE = re.compile(rb"[0-9a-z\x80-\xff]+")

@@ -49,3 +49,27 @@ def test_one_long_line_and_short_repeats(spark):
     report = {(r.doc_id, r.n_lines, r.n_removed, tuple(r.sources)) for r in L.remove(docs, report=True).collect()}
     assert report == {(1, 3, 0, ()), (2, 3, 2, (1,)), (3, 2, 0, ()), (4, 0, 0, ()), (5, 1, 0, ()), (None, 1, 1, (1,)), (7, 1, 1, (1,)), (8, 3, 2, (1,))}
     assert L.remove(docs.limit(0)).count() == 0
+
+
+def test_winnowing_selects_few_positions_and_every_window_has_one():
+    r = random.Random(4)
+    hashes, counts = [r.getrandbits(62) for _ in range(5000)], [5] * 5000
+    picks = L.winnow(hashes, counts, 50)
+    assert sorted(w for ws in picks.values() for w in ws) == L.windows(counts, 50)
+    assert all(s <= p < e and hashes[p] == min(hashes[s:e]) for p, ws in picks.items() for s, e in ws)
+    assert len(picks) < 1.15 * 2 / 11 * len(hashes)  # the density of windows of 10 lines
+    assert len(L.winnow([7] * 5000, counts, 50)) <= 501
+
+
+def test_equal_lines_common_lines_and_a_very_long_text(spark):
+    r = random.Random(9)
+    common = "the same short line here"
+    unique = lambda n: " ".join(f"u{r.getrandbits(50)}" for _ in range(n))
+    passage = [unique(12) for _ in range(6)]
+    long = [unique(12) for _ in range(60_000)]  # some 10 MB
+    rows = [(1, "\n".join([common] * 20_000)), (2, "\n".join([*long[:30_000], *passage, *long[30_000:]])), (3, None), (4, "\n".join([unique(3), *passage, common]))]
+    rows += [(10 + i, "\n".join([unique(20), common, unique(20)])) for i in range(300)]
+    got = {x.doc_id: x for x in L.remove(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
+    assert got[1].text == common and got[1].n_removed == 19_999
+    assert got[2].text == rows[1][1] and got[4].n_removed == 6 and got[4].sources == [2]
+    assert all(got[10 + i].n_removed == 0 for i in range(300))
