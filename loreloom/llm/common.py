@@ -109,15 +109,16 @@ def list_rows(column: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(at, at[1:])]
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """big joined with small, which has one row for each key, as a merge join that no key makes lopsided.
 
     A key with more than HOT of big's rows is dealt into as many parts as it has such shares, by a hash of the columns
     ``by``, and small's row of it is repeated for each; there are at most 1 / HOT such keys. Null keys equal null; other
-    columns of the two must differ in name.
+    columns of the two must differ in name. counted: rows with big's keys that are cheaper to count.
     """
-    share = max(big.count() * HOT, HOT_ROWS)
-    often = big.groupBy(*keys).count().filter(F.col("count") > share).select(*(F.col(k).alias(f"hot_{k}") for k in keys), F.ceil(F.col("count") / share).cast("int").alias("hot_parts"))
+    counted = big if counted is None else counted
+    share = max(counted.count() * HOT, HOT_ROWS)
+    often = counted.groupBy(*keys).count().filter(F.col("count") > share).select(*(F.col(k).alias(f"hot_{k}") for k in keys), F.ceil(F.col("count") / share).cast("int").alias("hot_parts"))
     hot = Table(often, "hot-keys").df  # at most 1 / HOT rows
     equal = lambda other: reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{other}_{k}")) for k in keys))
 

@@ -75,31 +75,34 @@ def merged(parts: DataFrame, group: list[str], column: str, salts: int = 64) ->
     return rows.groupBy(*group).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
-def ranges(docs: DataFrame) -> tuple[Column, int]:
+def ranges(docs: DataFrame) -> Column:
     """A column that numbers ranges of doc_id, larger for larger ids, of at most about RANGE_BYTES of text each.
 
-    Ids between two quantiles are cut evenly, so that gaps and dense stretches in doc_id make no large range. Null ids
-    are ranged by text hash below all others.
+    Ids between two quantiles are cut evenly, into as many parts as the bytes of their texts ask for, so that neither
+    gaps and dense stretches in doc_id nor stretches of long texts make a large range. Null ids are ranged by text hash
+    below all others. Rows of one doc_id are in one range.
     """
-    got = docs.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10 * QUANTILES).alias("q"), F.sum(F.octet_length("text")).alias("b")).first()
+    got = docs.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10 * QUANTILES).alias("q")).first()
     cuts = sorted(set(got["q"] or [0]))
-    parts = max(1, -(-(got["b"] or 0) // (RANGE_BYTES * QUANTILES)))
     bounds = F.array(*(F.lit(c).cast("long") for c in cuts))
     at = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))  # 0 below the first quantile
+    sums = {r["at"]: r["b"] or 0 for r in docs.filter("doc_id IS NOT NULL").groupBy(at.alias("at")).agg(F.sum(F.octet_length("text")).alias("b")).collect()}  # one row for each quantile
+    counts = [max(1, -(-sums.get(i, 0) // RANGE_BYTES)) for i in range(len(cuts) + 1)]
+    parts, first = (F.element_at(F.array(*map(F.lit, x)), at + 1).cast("long") for x in (counts, [sum(counts[:i]) for i in range(len(counts))]))
     low, high = F.element_at(bounds, F.greatest(at, F.lit(1))), F.element_at(bounds, F.least(at + 1, F.lit(len(cuts))))
     share = (F.col("doc_id") - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double")
-    inner = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
-    return F.when(F.col("doc_id").isNull(), -F.shiftright(F.xxhash64("text"), 54) - 600).otherwise(at * parts + inner).cast("long"), parts
+    inner = F.least(F.greatest(F.floor(share * parts), F.lit(0)), parts - 1)
+    return F.when(F.col("doc_id").isNull(), -F.shiftright(F.xxhash64("text"), 54) - 600).otherwise(first + inner).cast("long")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
     """docs with next_<column> for each of columns: those of the next row by descending doc_id, after the last the first.
+    made: further columns, computed once for each row where rows meet.
 
     Rows meet within ranges of doc_id; each range gets a copy of the first row of the range below, so no task sees more
     than a range.
     """
-    number, _ = ranges(docs)
-    rows = docs.withColumn("range", number).withColumn("h", F.xxhash64("text"))
+    rows = docs.withColumn("range", ranges(docs)).withColumn("h", F.xxhash64("text"))
     first = F.min(F.struct((-F.col("doc_id")).alias("order"), F.col("h").alias("h"))).alias("first")
     firsts = rows.groupBy("range").agg(first)
     down = Window.orderBy(F.col("range").desc())  # one row for each range
@@ -108,16 +111,16 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     same = (rows["range"] == borrowed["of"]) & (rows["h"] == borrowed["first_h"]) & (-rows["doc_id"]).eqNullSafe(borrowed["first_order"])
     copies = rows.join(borrowed, same).select(*(F.col("to").alias("range") if c == "range" else rows[c] for c in rows.columns))
     order = Window.partitionBy("range").orderBy("copy", F.col("doc_id").desc_nulls_last(), "h")
-    both = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
+    both = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True))).repartition("range").withColumns(made or {})
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter("NOT copy").drop("range", "h", "copy")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """For each document its sketch and that of its edited text, and their likeness to each other and to the next's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(rows, ["text"])
+    rows = with_next(rows, ["text", "a"], {"a": sketch(F.col("text"))})
     n = F.length("text")
     k = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("b"), sketch(F.col("next_text")).alias("c"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", sketch(F.col("edited")).alias("b"), F.col("next_a").alias("c"))
     return rows.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("a")).alias("fingerprint"), text_form(F.col("b")).alias("edited_fingerprint"), resemblance(F.col("a"), F.col("b")).alias("near_edited"), resemblance(F.col("a"), F.col("c")).alias("near_next"))

@@ -7,11 +7,13 @@ that they see errors of the size that new documents have. Features are the prese
 association with it is significant (chi-square above ``CHI2``) in the training rows; so rare noise words get no weight,
 however many a long document has.
 
-Training takes at most ``train_rows`` labelled documents (those with the smallest hash of doc_id); scoring takes all
-documents, whole, map-only: the model is a few hundred numbers.
+Training takes at most ``train_rows`` labelled documents (those with the smallest hash of doc_id), and of each at most
+``train_words`` distinct words (those with the smallest hash); this sample is all that reaches the driver. Scoring takes
+all documents, whole, map-only: the model is a few hundred numbers.
 
 Defined cases: null text scores as the empty text; labels other than 0 and 1, null doc_ids in labels and labels without
-a document are left out of the training, repeated labels each count; a category without both classes in the training
+a document are left out of the training; of several labels of a doc_id each category's largest counts, of several
+documents of a doc_id the text with the smallest hash; a category without both classes in the training
 rows has its base rate as probability; empty documents give no rows; other columns are kept by ``remove``.
 """
 
@@ -22,12 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, utf8, words_of
 
-CHI2, MOST_WORDS, LEAST_ROWS, FOLDS, RIDGE, MEMO = 24.0, 400, 3, 5, 1.0, 100_000
+CHI2, MOST_WORDS, LEAST_ROWS, FOLDS, RIDGE, MEMO = 24.0, 400, 3, 5, 1.0, 50_000
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _PLAIN = _UPPER + _LOWER + b"0123456789 \n.,'" + bytes(range(128, 256))
 
@@ -55,7 +58,7 @@ class Link:
     weights: np.ndarray
     intercept: float
 
-    def logits(self, docs: list[set[bytes]], dense: np.ndarray, memo: dict[bytes, frozenset[bytes]]) -> np.ndarray:
+    def logits(self, docs: list[set[bytes]], dense: np.ndarray, memo: dict[bytes, tuple[bytes, ...]]) -> np.ndarray:
         """memo: keeps the known features of words that were seen, up to a bound."""
         if len(memo) > MEMO:
             memo.clear()
@@ -64,9 +67,9 @@ class Link:
             found = set()
             for w in d:
                 if (f := memo.get(w)) is None:
-                    f = memo[w] = known & lexical(w)
+                    f = memo[w] = tuple(known & lexical(w))
                 if f:
-                    found |= f
+                    found.update(f)
             lex[i] = sum(self.words[w] for w in sorted(found))
         return lex + (dense - self.mean) / self.scale @ self.weights + self.intercept
 
@@ -165,11 +168,14 @@ def predict(chain: list[Link], texts: list[bytes | None], memos: list[dict]) ->
     return dense[:, 4:]
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], train_rows: int) -> list[Link]:
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], train_rows: int, train_words: int = 20_000) -> list[Link]:
     """The chain, fitted on the driver on at most train_rows labelled documents: their distinct words and ratios."""
     usable = labels.select("doc_id", *(F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories))).filter(" AND ".join(["doc_id IS NOT NULL", *(f"y{i} IN (0, 1)" for i in range(len(categories)))]))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).withColumnRenamed("doc_id", "labelled")
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).drop("labelled")
+    ys = [f"y{i}" for i in range(len(categories))]
+    one = usable.groupBy("doc_id").agg(*(F.max(y).alias(y) for y in ys))
+    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).withColumnRenamed("doc_id", "labelled")
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
+    joined = joined.groupBy("doc_id", *ys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     schema = "doc_id long, words binary, ratios array<double>, y array<int>"
 
     def features(batches):
@@ -177,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], train
             texts = utf8(b.column("text"))
             words = [words_of(t) for t in texts]
             distinct = [set(w) for w in words]
-            y = [list(r.values()) for r in b.select([f"y{i}" for i in range(len(categories))]).to_pylist()]
+            y = [list(r.values()) for r in b.select(ys).to_pylist()]
+            some = [d if len(d) <= train_words else sorted(d, key=xxhash.xxh3_64_intdigest)[:train_words] for d in distinct]
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").cast(pa.int64()), pa.array([b" ".join(sorted(d)) for d in distinct], pa.binary()),
+                b.column("doc_id").cast(pa.int64()), pa.array([b" ".join(sorted(d)) for d in some], pa.binary()),
                 pa.array([list(ratios(t or b"", w, len(d))) for t, w, d in zip(texts, words, distinct)], pa.list_(pa.float64())), pa.array(y, pa.list_(pa.int32())),
             ], ["doc_id", "words", "ratios", "y"])
 
