@@ -2,24 +2,27 @@
 
 Each shard (documents of a partition up to ``SHARD_BYTES`` of text) gets a suffix array over its word numbers. Every
 test suffix is binary-searched in it: the range of training suffixes that share its first window of words gives all
-verbatim occurrences, and ranges that go on along a test text give the longest match and its place. A training suffix enters the array
-only if it is followed by as many benchmark-vocabulary words as the shortest window has; no other suffix can match.
+verbatim occurrences. A training suffix enters the array only if it is followed by as many benchmark-vocabulary words
+as the shortest window has; no other suffix can match. Where occurrences follow one another, the longest match and its
+place come from a binary search in the test texts' own suffix array, for a place only if the occurrences reach far
+enough to beat the longest match so far; so a passage that many items share costs no more than one that one item has.
 
 Words, windows and hits: A-Z is lower-cased, words are runs of digits, a-z and non-ASCII characters; a window is
 ``window`` consecutive words of an item, an item of fewer words but not none is one window; a document word inside any
 occurrence of a window is hit; a document with a hit word is contaminated.
 
-The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text. Each block is broadcast, its size being proven,
-and passed over all documents in turn.
+The benchmark, a test set, is read in blocks of at most ``BLOCK_BYTES`` of text and broadcast block by block. A worker
+holds one block at a time; with several, shards are ``LONG_SHARD`` times as large, so that blocks are taken up seldom.
 
 Defined cases: null or empty texts have no words and are never contaminated; an item without words has no window; an
-empty benchmark hits nothing; items with equal item_id count once; item_ids are compared as strings, null is left
-out; other columns are kept by ``remove`` whatever their names.
+empty benchmark hits nothing; items with equal item_id count once, those of null item_id together as one, whose id is
+left out of the list; item_ids are compared as strings; other columns are kept by ``remove`` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches, utf8, words_of
 
-SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES, LONG_SHARD = 6 << 20, 16 << 20, 8
 
 _STOP = np.zeros(1, dtype=np.int32)
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long, longest_item string"
@@ -45,19 +48,24 @@ class _Numbers(dict):
 class TestSuffixes:
     """One block of items: word numbers from 1, and all suffixes by the window that they start with."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.numbers: dict[bytes, int] = _Numbers()
-        at: dict[tuple[int, ...], list[int]] = {}
-        self.item_of: list[str] = []
+        at: dict[tuple[int, ...], set[str | None]] = {}
+        self.item_of: list[str | None] = []
+        every: list[int] = []
         for item_id, text in items:
             w = []
             for x in words_of(text):
                 w.append(self.numbers[x] or self.numbers.setdefault(x, len(self.numbers) + 1))
             for i in range(max(1, len(w) - window + 1) if w else 0):
-                at.setdefault(tuple(w[i : i + window]), []).append(len(self.item_of) + i)
+                at.setdefault(tuple(w[i : i + window]), set()).add(item_id)
             self.item_of += [item_id] * (len(w) + 1)
+            every += [*w, 0]
+        self.window = window
         self.windows = sorted(at)
-        self.suffixes = [at[w] for w in self.windows]
+        self.items = [at[w] for w in self.windows]
+        self.order = _sorted_suffixes(np.array(every, dtype=np.int64))
+        self.words = np.array(every, dtype=">u4").tobytes()
         self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
         self.depth = int(self.lengths.max(initial=1))
         self.shortest = int(self.lengths.min(initial=self.depth))
@@ -68,6 +76,33 @@ class TestSuffixes:
         self.low, self.high = _keys(low), _keys(high)
 
 
+    def longest(self, words: bytes) -> tuple[int, str | None]:
+        """Length of the longest start of words (4 bytes each) that a test text holds, and the item of the first suffix with it."""
+
+        def first(part: bytes) -> int:
+            return bisect_left(self.order, part, key=lambda t: self.words[4 * int(t) : 4 * int(t) + len(part)])
+
+        at, best = first(words), 0
+        for t in self.order[max(at - 1, 0) : at + 1].tolist():
+            other = self.words[4 * t : 4 * t + len(words)]
+            differ = np.flatnonzero(np.frombuffer(words[: len(other)], ">u4") != np.frombuffer(other, ">u4"))
+            best = max(best, int(differ[0]) if differ.size else len(other) // 4)
+        return best, self.item_of[int(self.order[first(words[: 4 * best])])] if best else None
+
+
+def _sorted_suffixes(words: np.ndarray) -> np.ndarray:
+    """The suffix array of words, by ranks of runs of doubled length."""
+    rank, length = words, 1
+    while True:
+        after = np.r_[rank[length:] + 1, np.zeros(min(length, len(rank)), dtype=np.int64)]
+        order = np.lexsort((after, rank))
+        new = np.zeros(len(rank), dtype=np.int64)
+        new[order] = np.cumsum(np.r_[False, (np.diff(rank[order]) != 0) | (np.diff(after[order]) != 0)][: len(rank)])
+        if not len(new) or new.max() == len(new) - 1 or length > len(new):
+            return order
+        rank, length = new, length * 2
+
+
 def _keys(numbers: np.ndarray) -> np.ndarray:
     """Rows of word numbers as byte strings of the same order."""
     rows = np.ascontiguousarray(numbers.astype(">u4"))
@@ -98,7 +133,7 @@ def search(words: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int, np.nda
 
 def scan_shard(texts: list[bytes | None], blocks) -> list[tuple]:
     """(n_words, n_hit, item_ids, longest match, its word, its item) of each text; blocks: the TestSuffixes in turn."""
-    items: list[set[str]] = [set() for _ in texts]
+    items: list[set[str | None]] = [set() for _ in texts]
     longest = [(0, -1, None)] * len(texts)
     counts = starts = change = None
     for tests in blocks:
@@ -111,33 +146,45 @@ def scan_shard(texts: list[bytes | None], blocks) -> list[tuple]:
             counts = np.array([len(x) for x in numbered[::2]], dtype=np.int64)
             starts = np.r_[0, np.cumsum(counts + 1)]
             change = np.zeros(starts[-1] + 1, dtype=np.int32)
-        reach: list[tuple[int, int, int]] = []
+        reach, which = np.zeros((2, len(words) + 1), dtype=np.int64)  # end of the longest window at each place, and the window
         for i, found in search(words, tests):
             n = int(tests.lengths[i])
             np.add.at(change, found, 1)
             np.add.at(change, found + n, -1)
-            ids = {tests.item_of[t] for t in tests.suffixes[i]}
+            longer = found[found + n > reach[found]]
+            reach[longer], which[longer] = longer + n, i
             docs = np.searchsorted(starts, found, "right") - 1
             for d in np.unique(docs).tolist():
-                items[d] |= ids
-            reach += [(p, t, n) for p in found.tolist() for t in tests.suffixes[i]]
-        going: dict[tuple[int, int], int] = {}
-        for p, t, n in sorted(reach, reverse=True):
-            n = max(n, going.pop((p + 1, t + 1), 0) + 1)
-            going[p, t] = n
-            d = int(np.searchsorted(starts, p, "right")) - 1
-            if n >= longest[d][0]:
-                longest[d] = (n, p - int(starts[d]), tests.item_of[t])
+                items[d] |= tests.items[i]
+        places = np.flatnonzero(reach)
+        ends = _run_ends(places, reach)
+        held = words.astype(">u4").tobytes()
+        for p, stop, d in zip(places.tolist(), ends.tolist(), (np.searchsorted(starts, places, "right") - 1).tolist()):
+            if stop - p > longest[d][0]:
+                n, item = tests.longest(held[4 * p : 4 * stop])
+                if n < tests.window:  # only whole items are that short
+                    n, item = int(reach[p]) - p, min(tests.items[which[p]], key=str)
+                if n > longest[d][0]:
+                    longest[d] = (n, p - int(starts[d]), item)
     hit = np.r_[0, np.cumsum(np.cumsum(change[:-1]) > 0)]
     hits = hit[starts[1:] - 1] - hit[starts[:-1]]
-    return [(int(c), int(h), sorted(ids), *best) for c, h, ids, best in zip(counts, hits, items, longest)]
+    return [(int(c), int(h), ids, *best) for c, h, ids, best in zip(counts, hits, items, longest)]
+
+
+def _run_ends(places: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each of the places, in order, where the occurrences end that follow from it one word after the other."""
+    last = np.r_[np.diff(places) != 1, True][: len(places)]  # a match of one more word has an occurrence at the next place
+    run = np.cumsum(np.r_[0, last[:-1]])[: len(places)]
+    ends = np.zeros(int(run[-1]) + 1 if len(run) else 0, dtype=np.int64)
+    np.maximum.at(ends, run, reach[places])
+    return ends[run]
 
 
 def item_blocks(benchmark: DataFrame, window: int) -> list:
     """Broadcasts of the benchmark's items, (item_id, text), in blocks of at most BLOCK_BYTES of text or one item."""
     sc = benchmark.sparkSession.sparkContext
     out, block, held = [], [], 0
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     for item_id, text in items.toLocalIterator():
         if block and held + len(text) > BLOCK_BYTES:
             out.append(sc.broadcast(block))
@@ -147,12 +194,12 @@ def item_blocks(benchmark: DataFrame, window: int) -> list:
     return [*out, sc.broadcast(block)] if block or not out else out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[list[pa.RecordBatch]]:
+def _shards(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[list[pa.RecordBatch]]:
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.column(text).nbytes
-        if size >= SHARD_BYTES:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -174,7 +221,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, make, schema) -
                     built[i] = TestSuffixes(b.value, window)
                 yield built[i]
 
-        for shard in _shards(batches, "text"):
+        for shard in _shards(batches, "text", SHARD_BYTES * (LONG_SHARD if len(blocks) > 1 else 1)):
             done = scan_shard([t for b in shard for t in utf8(b.column("text"))], tests())
             for b in shard:
                 mine, done = done[: b.num_rows], done[b.num_rows :]
@@ -187,7 +234,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     """The columns of REPORT for each document."""
 
     def make(batch, done):
-        ids = [",".join(x[2]) for x in done]
+        ids = [",".join(sorted(i for i in x[2] if i is not None)) for x in done]
         return pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([len(x[2]) for x in done], pa.int64()),
             pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids], pa.string()), pa.array([x[1] > 0 for x in done], pa.bool_()),

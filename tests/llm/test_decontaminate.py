@@ -58,3 +58,40 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 20)
     got = D.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 4).collect()
     assert {r.doc_id: tuple(r)[1:6] for r in got} == brute(docs, items, 4)
+
+
+def test_longest_match_equals_brute_force():
+    r = random.Random(5)
+    for _ in range(60):
+        items = [(str(i), " ".join(r.choice("abc") for _ in range(r.randint(1, 14))).encode()) for i in range(r.randint(1, 5))]
+        texts = [" ".join(r.choice("abcx") for _ in range(r.randint(0, 25))).encode() for _ in range(4)]
+        got = D.scan_shard(texts, [D.TestSuffixes(items, 3)])
+        for text, (_, hit, _, length, at, item) in zip(texts, got):
+            w, best = text.split(), (0, -1)
+            for p in range(len(w)):
+                for _, other in items:
+                    v = other.split()
+                    for t in range(len(v)):
+                        n = next((k for k in range(min(len(w) - p, len(v) - t)) if w[p + k] != v[t + k]), min(len(w) - p, len(v) - t))
+                        if n >= min(3, len(v)) and n > best[0]:
+                            best = (n, p)
+            assert (length, at) == best and bool(hit) == bool(length)
+            if length:
+                assert b" " + b" ".join(w[at : at + length]) + b" " in b" " + dict((i.encode(), t) for i, t in items)[item.encode()] + b" "
+
+
+def test_null_item_id_hits_and_is_left_out_of_the_list(spark):
+    docs = spark.createDataFrame([(1, "q w e r t y"), (2, "fine words here now")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "w e r t"), (None, "e r t y")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in D.report(docs, bench, 4).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert got == {1: (5, 1, none, True), 2: (0, 0, none, False)}
+    assert [r.doc_id for r in D.remove(docs, bench, 4).collect()] == [2]
+
+
+def test_a_passage_of_many_items_in_a_very_long_text():
+    passage = " ".join(f"p{i}" for i in range(40))
+    items = [(str(i), f"{passage} end{i}".encode()) for i in range(2000)]
+    text = " ".join([passage, "filler words between"] * 3000).encode()
+    (n_words, n_hit, ids, longest, at, _), = D.scan_shard([text], [D.TestSuffixes(items, 10)])
+    assert (n_words, n_hit, len(ids), longest, at) == (43 * 3000, 40 * 3000, 2000, 40, 0)

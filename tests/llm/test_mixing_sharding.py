@@ -95,3 +95,26 @@ def test_report_columns(spark):
     import zlib
 
     assert tuple(got) == (10, zlib.crc32("é".encode()), "bytes", None, 0)
+
+
+def test_null_and_repeated_ids_stay_near_targets_and_within_budget(spark):
+    r = random.Random(11)
+    rows = [(None, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(1, 12))), "a") for _ in range(1500)]
+    rows += [(7, "one and the same text", "b")] * 400 + [(i % 5, f"text {i}", "b") for i in range(300)] + [(1, None, None), (None, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for x in got:
+        taken[x.source_size] += x.taken
+        target[x.source_size] = x.target
+        assert x.taken in (0, x.size, 2 * x.size)
+    assert all(abs(taken[s] - target[s]) <= 12 for s in target) and sum(taken.values()) <= 1.5 * sum(x.size for x in got)
+    times = Counter((x.doc_id, x.text) for x in mixing.mix(docs).collect())
+    by_doc = Counter()
+    for (_, text), n in times.items():
+        by_doc[len(text.split())] += n * len(text.split())
+    report = Counter()
+    for x in got:
+        report[x.size] += x.taken
+    assert +by_doc == +report
