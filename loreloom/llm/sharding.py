@@ -1,13 +1,15 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Documents with equal texts form a group and stay together; a group beyond one shard's fair share in any dimension is
-cut into pieces by a hash of doc_id. Groups of over 1/64 of a share are units of their own (at most 64 a shard and
-dimension); all smaller groups are hashed into ``BUNDLES`` units. So the driver packs a number of unit sums that
-depends on the number of shards only, whatever the corpus: largest first, each goes to the shard with room for it
-where the dot product of its vector and the shard's residual capacity is highest.
+Documents with equal texts form a group and stay together, but for a group beyond one shard's fair share in any
+dimension, which is divided. Groups of over 1/64 of a share (at most 64 a shard and dimension) are cut into pieces of
+about that size by a hash of doc_id; all smaller groups are hashed into ``BUNDLES`` units. The pieces of a group within
+a share are packed as one, those of a larger group one by one; slots run on from piece to piece. So the driver packs a
+number of unit sums that depends on the number of shards only, whatever the corpus, and no task orders more than a piece
+or a bundle: largest first, each goes to the shard with room for it where the dot product of its vector and the shard's
+residual capacity is highest.
 
 Defined cases: null text has no bytes and no words, all null texts are one group, and size is 8; null doc_ids are
-hashed as a value of their own; repeated rows each get a slot; an empty table gives no rows; ``assign`` keeps every
+hashed as a value of their own; repeated rows (equal in doc_id and text) each get a slot, in one piece; an empty table gives no rows; ``assign`` keeps every
 column whatever its name.
 """
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import Table, fresh
 from .mixing import word_count
 
-#: Units of small groups, pieces and own units for each shard's share, and the bytes that each row costs besides its text.
-BUNDLES, OWN_UNITS, PIECES, ROW_BYTES = 8192, 64, 8, 8
+#: Units of small groups, pieces for each shard's share, and the bytes that each row costs besides its text.
+BUNDLES, OWN_UNITS, ROW_BYTES = 8192, 64, 8
 DIMENSIONS = ("n_bytes", "n_tokens", "n_rows")
 
 
@@ -37,7 +39,7 @@ def _unit(group, doc_id, pieces):
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each unit. vectors: (units, dimensions), not negative.
 
-    Largest first by the sum of shares; a unit goes to the shard with the highest dot product among those that it fits
+    Largest first by the largest of its shares; a unit goes to the shard with the highest dot product among those that it fits
     in all dimensions, else among those it fits by the first dimension, else where most of that is left.
     """
     total = np.maximum(vectors.sum(axis=0), 1)
@@ -57,18 +59,24 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
 def plan(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """(listed groups with their pieces, units with shard and first slot) of rows(doc_id, grp, n_bytes, n_tokens).
 
-    Both have bounded numbers of rows: at most 3 * OWN_UNITS groups a shard, and BUNDLES units besides their pieces.
+    Both have bounded numbers of rows: at most 3 * OWN_UNITS groups a shard, and BUNDLES units besides their pieces,
+    which are at most twice 3 * OWN_UNITS a shard.
     """
     spark = rows.sparkSession
     all_ = rows.agg(F.sum("n_bytes").alias("b"), F.sum("n_tokens").alias("t"), F.count("*").alias("r")).first()
     share = [max(x or 0, 1) / shards for x in all_]
     groups = rows.groupBy("grp").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     most = F.greatest(*(F.col(d) / s for d, s in zip(DIMENSIONS, share)))
-    listed = groups.withColumn("most", most).filter(F.col("most") > 1 / OWN_UNITS).select("grp", F.when(F.col("most") > 1, F.ceil(F.col("most") * PIECES)).otherwise(1).cast("int").alias("pieces"))
+    listed = groups.withColumn("most", most).filter(F.col("most") > 1 / OWN_UNITS).select("grp", F.ceil(F.col("most") * OWN_UNITS).cast("int").alias("pieces"))
     listed = spark.createDataFrame(listed.collect(), "grp long, pieces int")
+    whole = {g["grp"] for g in listed.filter(F.col("pieces") <= OWN_UNITS).collect()}
     sums = with_units(rows, listed).groupBy("unit_group", "unit_part").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     units = sorted(sums.collect(), key=lambda u: (-(u["unit_group"] is None), u["unit_group"] or 0, u["unit_part"]))
-    placed = pack(np.array([[u[d] for d in DIMENSIONS] for u in units], dtype=float).reshape(-1, 3), shards)
+    packed: dict[tuple, int] = {}  # the pieces of a group that stays together are one
+    of = [packed.setdefault((u["unit_group"], u["unit_part"] if u["unit_group"] not in whole else None), len(packed)) for u in units]
+    vectors = np.zeros((len(packed), 3))
+    np.add.at(vectors, of, np.array([[u[d] for d in DIMENSIONS] for u in units], dtype=float).reshape(-1, 3))
+    placed = pack(vectors, shards)[of] if units else np.zeros(0, dtype=np.int64)
     first, out = [0] * shards, []
     for u, shard in zip(units, placed.tolist()):
         out.append((u["unit_group"], u["unit_part"], shard, first[shard]))
@@ -96,7 +104,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def shard_report(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Where each document lies: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Slots follow units, then doc_id; each window sorts one unit, at most an eighth of a share or a bundle.
+    Slots follow units, then doc_id; each window sorts one unit, a piece or a bundle.
     """
     rows = Table(measured(docs), "shard-sizes").df
     listed, units = plan(rows, shards)

@@ -118,3 +118,45 @@ def test_null_and_repeated_ids_stay_near_targets_and_within_budget(spark):
     for x in got:
         report[x.size] += x.taken
     assert +by_doc == +report
+
+
+def plain_packing(sizes, shards):
+    """Shards of vectors: largest share first, each to the shard with room where the dot product with what is left is highest."""
+    total = [max(sum(v[d] for v in sizes), 1) for d in range(3)]
+    need = [[v[d] / total[d] * shards for d in range(3)] for v in sizes]
+    left, out = [[1.0] * 3 for _ in range(shards)], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -max(need[i])):
+        room = [s for s in range(shards) if all(left[s][d] >= need[i][d] - 1e-12 for d in range(3))] or [s for s in range(shards) if left[s][0] >= need[i][0] - 1e-12]
+        at = max(room, key=lambda s: sum(x * y for x, y in zip(left[s], need[i]))) if room else max(range(shards), key=lambda s: left[s][0])
+        out[i], left[at] = at, [x - y for x, y in zip(left[at], need[i])]
+    return out
+
+
+def test_pack_equals_a_plain_packing():
+    import numpy as np
+
+    r = random.Random(8)
+    for _ in range(20):
+        sizes = [[r.randint(0, 50), r.randint(0, 9), r.randint(1, 3)] for _ in range(r.randint(0, 120))]
+        assert sharding.pack(np.array(sizes, dtype=float).reshape(-1, 3), 5).tolist() == plain_packing(sizes, 5)
+
+
+def test_a_group_within_a_share_is_cut_into_pieces_of_one_shard(spark):
+    rows = [(i, f"text number {i} " + "x" * (i % 50)) for i in range(4000)] + [(10_000 + i, "") for i in range(300)] + [(10_000, "")] * 5
+    docs = spark.createDataFrame([(*x, 7, "s") for x in rows], "doc_id long, text string, slot int, unit_part string")
+    listed, units = sharding.plan(sharding.measured(docs), 6)
+    one = [u for u in units.collect() if u.unit_group is not None]
+    assert len(one) > 8 and len({u.shard for u in one}) == 1 and max(p.pieces for p in listed.collect()) == len(one)
+    got = sharding.shard_report(docs, 6).collect()
+    by = defaultdict(list)
+    for x in got:
+        by[x.shard].append(x.slot)
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert len({x.shard for x in got if x.doc_id >= 10_000}) == 1
+    assert sharding.assign(docs, 6).columns == [*docs.columns, "shard"]
+
+
+def test_one_very_long_text_is_placed(spark):
+    docs = spark.createDataFrame([(1, "w " * 5_000_000), (2, "a"), (3, None), (None, "b")], "doc_id long, text string")
+    got = {x.doc_id: (x.size, x.shard) for x in sharding.shard_report(docs, 3).collect()}
+    assert got[1][0] == 10_000_008 and got[3][0] == 8 and len({got[i][1] for i in (2, 3, None)} | {got[1][1]}) > 1
