@@ -4,6 +4,10 @@ benchmark passages go, sources are mixed to their target weights, and the mix is
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
 reads it again for the next stage. All stages but the last return the columns of documents; the last returns doc_id,
 size, text_crc32, law, shard, slot and grown_shard. A document that the mix takes twice is there twice.
+
+Defined cases: documents of null text are not toxic, are no copies and are not contaminated, but have no words, so the
+mix never takes them, like empty ones; rows equal in doc_id and text count once from the near-duplicate stage on; an
+empty table gives no rows in every stage; further columns of documents go along.
 """
 
 from __future__ import annotations
