@@ -27,8 +27,8 @@ def _safe(text: Column) -> Column:
 
 
 def ordered(turns: DataFrame, key: str) -> DataFrame:
-    """(key, idx, role, text): the conversation's distinct turns numbered from 0."""
-    rows = turns.select(key, "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
+    """(key, idx, role, text): the conversation's distinct turns numbered from 0. One shuffle, by key."""
+    rows = turns.select(key, "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartition(key).distinct()
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("turn", "role", "text")) - 1).drop("turn")
 
 
@@ -39,12 +39,18 @@ def rendered(role: Column, text: Column) -> Column:
 def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
     """(key, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask) from (key, idx, role, text) of both.
 
-    A mask is "start-end" spans, comma-joined. Keys must not be null.
+    A mask is "start-end" spans, comma-joined. Null keys are one pair.
     """
-    sides = chosen.select(key, "idx", "role", "text", F.lit(True).alias("good")).unionByName(rejected.select(key, "idx", "role", "text", F.lit(False).alias("good")))
-    at = sides.groupBy(key, "idx").agg(F.count("*").alias("n"), F.countDistinct("role", "text").alias("kinds"))
-    first = at.groupBy(key).agg(F.coalesce(F.min(F.when((F.col("n") < 2) | (F.col("kinds") > 1), F.col("idx"))), F.max("idx") + 1).alias("n_prompt_turns"))
-    turns = sides.withColumn("body", rendered(F.col("role"), F.col("text"))).join(first, key)
+    return format_sides(chosen.select(key, "idx", "role", "text", F.lit(True).alias("good")).unionByName(rejected.select(key, "idx", "role", "text", F.lit(False).alias("good"))).repartition(key), key)
+
+
+def format_sides(sides: DataFrame, key: str) -> DataFrame:
+    """format_pairs of both sides in one frame, told apart by good. All windows and groups are by key: no shuffle where rows lie by key."""
+    at, pair = Window.partitionBy(key, "idx"), Window.partitionBy(key)
+    both = (F.count("*").over(at) == 2) & (F.min("role").over(at) == F.max("role").over(at)) & (F.min("text").over(at) == F.max("text").over(at))
+    first = F.coalesce(F.min(F.when(~F.col("both"), F.col("idx"))).over(pair), F.max("idx").over(pair) + 1)
+    sides = sides.withColumn("both", both).withColumn("n_prompt_turns", first)
+    turns = sides.withColumn("body", rendered(F.col("role"), F.col("text")))
     tail = F.col("idx") >= F.col("n_prompt_turns")
     turns = turns.withColumn("stop", F.sum(F.when(tail, F.length("body")).otherwise(0)).over(Window.partitionBy(key, "good").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     counted = F.concat_ws("-", F.col("stop") - F.length("body") + F.length(_safe(F.col("role"))) + len(HEAD + NECK), F.col("stop"))
@@ -66,8 +72,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -
     )
 
 
-def swapped_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides from plain conversations(conv_id, turn, role, text), keyed by conv_id.
+def swapped_sides(turns: DataFrame) -> DataFrame:
+    """Chosen and rejected sides (conv_id, idx, role, text, good) from plain conversations(conv_id, turn, role, text).
 
     Chosen is a conversation up to its last assistant turn; rejected is the same with that turn's text taken from the
     conversation whose id differs in the lowest bit. Conversations without an assistant turn, or whose partner has none,
@@ -76,14 +82,15 @@ def swapped_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = ordered(turns.filter("conv_id IS NOT NULL"), "conv_id")
     last = rows.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("idx").alias("last"), F.max_by("text", "idx").alias("reply"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply").alias("other"))
-    chosen = rows.join(last.join(other, "conv_id"), "conv_id").filter("idx <= last")
-    rejected = chosen.withColumn("text", F.when(F.col("idx") == F.col("last"), F.col("other")).otherwise(F.col("text")))
-    return chosen, rejected
+    mine = rows.join(last.select("conv_id", "last").join(other, "conv_id"), "conv_id").filter("idx <= last")
+    bad = F.when(F.col("idx") == F.col("last"), F.col("other")).otherwise(F.col("text"))
+    versions = F.array(F.struct(F.lit(True).alias("good"), "text"), F.struct(F.lit(False).alias("good"), bad.alias("text")))
+    return mine.select("conv_id", "idx", "role", F.inline(versions))
 
 
 def report(turns: DataFrame) -> DataFrame:
-    """format_pairs over swapped_pairs, keyed by conv_id."""
-    return format_pairs(*swapped_pairs(turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")), "conv_id")
+    """Preferences over swapped_sides, keyed by conv_id."""
+    return format_sides(swapped_sides(turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")), "conv_id")
 
 
 #: The same rows for DuckDB.

@@ -1,7 +1,7 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
-from loreloom.llm import decontaminate, mixing, near_dup, toxicity
 
 
 def test_stages_take_effect_in_order(spark, tmp_path):
@@ -44,4 +44,23 @@ def test_stages_take_effect_in_order(spark, tmp_path):
             assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     whole = corpus_pipeline.run(spark, d)
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, frame.collect()), key=str)
-    assert {decontaminate.remove, mixing.mix, near_dup.dedup, toxicity.remove}
+
+
+def test_nulls_repeats_empty_tables_and_other_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, node string"
+    rows = [(None, None), (None, "some words here of an unknown id"), (1, None), (2, ""), (3, "a text that is there twice in all"), (3, "a text that is there twice in all"), (4, "A text that is there twice, in all!"), (5, "word " * 100_000), (6, "words of the benchmark item are in here")]
+    for name, docs, labels, bench in (("some", rows, [(3, 1, 0), (9, 1, 1), (None, None, None)], [(None, "of the benchmark item are in here or there"), (1, None)]), ("none", [], [], [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, None, None if i == 2 else "s", 0, 1, "n") for i, t in docs], schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        frame = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            out = run(spark, frame, d)
+            assert stage == "shard" or out.columns == frame.columns
+            out.write.parquet(f"{d}/out-{k}")
+            frame = spark.read.parquet(f"{d}/out-{k}")
+            if stage == "near_dup" and docs:
+                assert sorted(((x.doc_id, (x.text or "")[:10]) for x in frame.collect()), key=str) == sorted([(None, ""), (None, "some words"), (1, ""), (2, ""), (3, "a text tha"), (5, "word word "), (6, "words of t")], key=str)
+        got = Counter(x.doc_id for x in frame.collect())
+        assert set(got) <= {None, 3, 5, 6} and (not docs or got[5])
