@@ -6,9 +6,11 @@ import html
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
-from html.parser import HTMLParser
+from itertools import compress
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ RELATION_TARGET = r"(?i)((?:parameter|param|setting|config|参数|配置项|系
 BEARER = r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+"
 PUNCTUATION = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "…": "..."}
 DIRECTIVE = r"\{\{[%<].*?[>%]\}\}"
+ANCHORS, LEAST_ANCHORED = (32, 24, 16), 0.78
 RICH_BLOCKS = {"p", "div", "section", "article", "li", "tr", "h1", "h2", "h3", "h4"}
 IMAGE_MARK = "[图片证据]"
 
@@ -88,7 +91,7 @@ def generalize(operation: Column, parameters: Column) -> Column:
     """Replaces the values of a map, longest first, by {{key}}; values of one character stay."""
     entries = F.array_sort(F.map_entries(parameters), lambda a, b: F.when(F.length(a["value"]) > F.length(b["value"]), -1).when(F.length(a["value"]) < F.length(b["value"]), 1).otherwise(0))
     literal = lambda e: F.concat(F.lit("(?i)"), F.regexp_replace(e["value"], r"([^A-Za-z0-9\s])", r"\\$1"))
-    swap = lambda acc, e: F.when(F.length(e["value"]) >= 2, F.regexp_replace(acc, literal(e), F.concat(F.lit("{{"), e["key"], F.lit("}}")))).otherwise(acc)
+    swap = lambda acc, e: F.when(F.length(e["value"]) >= 2, F.regexp_replace(acc, literal(e), F.concat(F.lit("{{"), F.regexp_replace(e["key"], r"([\\$])", r"\\$1"), F.lit("}}")))).otherwise(acc)
     return F.aggregate(entries, operation, swap)
 
 
@@ -104,48 +107,41 @@ def redact(key: Column, value: Column, secret: str = r"(?i)(password|secret|toke
     return F.when(F.rlike(key, F.lit(secret)), F.lit("[REDACTED]")).when(key.isin(*texts), digest).otherwise(F.regexp_replace(value, BEARER, "Bearer [REDACTED]"))
 
 
-class _Rich(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.images = [], []
-
-    def _line(self):
-        if self.out and not self.out[-1].endswith("\n"):
-            self.out.append("\n")
-
-    def handle_starttag(self, tag, attrs):
-        got = {k.casefold(): (v or "").strip() for k, v in attrs}
-        if tag == "br":
-            self.out.append("\n")
-        elif tag in RICH_BLOCKS:
-            self._line()
-        elif tag == "img":
-            self.images.append({"type": "image", "source": got.get("src", ""), "alt": got.get("alt", "")})
-            self.out.append(IMAGE_MARK)
-
-    def handle_endtag(self, tag):
-        if tag in RICH_BLOCKS:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        self.out.append(data)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(?P<raw>script|style)(?=[\s/>])[^>]*>(?P<data>.*?)(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_LINE_START = "\x02"  # where a line starts unless one does already
 
 
 def rich_text(value: str | None) -> dict:
-    """Plain text and image attachments of a marked-up value."""
-    raw = value or ""
+    """Plain text and image attachments of a marked-up value: markup becomes line ends and image marks, one by one."""
+    images = []
+
+    def plain(m: re.Match) -> str:
+        tag = (m["tag"] or "").lower()
+        if m["raw"]:
+            return m["data"]
+        if tag == "br" and not m["end"]:
+            return "\n"
+        if tag in RICH_BLOCKS:
+            return "\n" if m["end"] else _LINE_START
+        if tag == "img" and not m["end"]:
+            got = {k.casefold(): html.unescape(v.strip("\"'")).strip() for k, v in _ATTRIBUTE.findall(m["rest"])}
+            images.append({"type": "image", "source": got.get("src", ""), "alt": got.get("alt", "")})
+            return IMAGE_MARK
+        return ""
+
+    raw = (value or "").replace(_LINE_START, "")
     if "\\" in raw:
         try:
             raw = json.loads(f'"{raw}"')
         except json.JSONDecodeError:
             pass
-    parser = _Rich()
-    parser.feed(html.unescape(raw).replace(" ", " "))
-    parser.close()
-    text = re.sub(URL, "", "".join(parser.out))
+    text = _MARKUP.sub(plain, html.unescape(raw).replace("\xa0", " "))
+    text = re.sub(f"{_LINE_START}+", "\n", re.sub(f"(^|\n){_LINE_START}+", r"\1", text))
+    text = re.sub(URL, "", html.unescape(text))
     for pattern, by in ((r"[ \t]+", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
         text = re.sub(pattern, by, text)
-    return {"text": text.strip(), "attachments": parser.images}
+    return {"text": text.strip(), "attachments": images}
 
 
 @vectorized("struct<text:string,attachments:array<struct<type:string,source:string,alt:string>>>")
@@ -153,20 +149,49 @@ def rich_text_udf(value: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([rich_text(v) for v in value], columns=["text", "attachments"])
 
 
-def _folded_with_places(text: str) -> tuple[str, list[int]]:
-    chars, places = [], []
-    for i, c in enumerate(text):
-        c = unicodedata.normalize("NFKC", c)
-        for x in "".join(PUNCTUATION.get(y, y) for y in c).casefold():
-            if not x.isspace():
-                chars.append(x)
-                places.append(i)
-            elif chars and chars[-1] != " ":
-                chars.append(" ")
-                places.append(i)
-    if chars and chars[-1] == " ":
-        del chars[-1], places[-1]
-    return "".join(chars), places
+class _Folds(dict):
+    """What each code point folds to, for str.translate: compatible forms, plain punctuation, no case, any white space as a space."""
+
+    def __missing__(self, code: int) -> str:
+        plain = "".join(PUNCTUATION.get(c, c) for c in unicodedata.normalize("NFKC", chr(code)))
+        self[code] = out = "".join(" " if c.isspace() else c for c in plain.casefold())
+        return out
+
+
+_FOLDS = _Folds()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _folded(text: str) -> tuple[str, np.ndarray]:
+    """text folded, white space squeezed and trimmed, and the place in text of each character that is left."""
+    long = text.translate(_FOLDS)
+    kinds, which = np.unique(_codes(text), return_inverse=True)
+    places = np.repeat(np.arange(len(text)), np.array([len(_FOLDS[k]) for k in kinds.tolist()], dtype=np.int64)[which])
+    blank = _codes(long) == 32
+    kept = ~blank | np.r_[False, ~blank[:-1]][: len(blank)]
+    if kept.any() and blank[last := int(np.flatnonzero(kept)[-1])]:
+        kept[last] = False
+    return "".join(compress(long, kept.tolist())), places[kept]
+
+
+def _between_ends(hay: str, needle: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the parts of hay that begin and end as needle does, for ends of each length."""
+    for size in ANCHORS:
+        if len(needle) > 2 * size:
+            before, head, after = hay.partition(needle[:size])
+            inner, tail, _ = after.partition(needle[-size:])
+            if head and tail:
+                yield len(before), len(before) + 2 * size + len(inner)
+
+
+def _likeness(needle: str, part: str) -> float:
+    """Ratio of needle and part, or part without directives if that is higher; 0 where their lengths are too far apart."""
+    if not 0.6 <= len(part) / len(needle) <= 2.0:
+        return 0.0
+    return max(SequenceMatcher(None, needle, x, autojunk=False).ratio() for x in (part, re.sub(DIRECTIVE, "", part, flags=re.S)))
 
 
 def ground(source: str | None, quote: str | None) -> dict | None:
@@ -174,28 +199,18 @@ def ground(source: str | None, quote: str | None) -> dict | None:
     want = (quote or "").strip()
     if not source or not want:
         return None
-    at = source.find(want)
-    if at >= 0:
+    if (at := source.find(want)) >= 0:
         return {"start": at, "end": at + len(want), "method": "exact", "similarity": 1.0}
-    hay, places = _folded_with_places(source)
-    needle, _ = _folded_with_places(want)
-    if not hay or not needle:
-        return None
-    span = lambda a, b, method, like: {"start": places[a], "end": places[b - 1] + 1, "method": method, "similarity": like}
-    at = hay.find(needle)
-    if at >= 0:
-        return span(at, at + len(needle), "normalized", 1.0)
-    found = None
-    for size in (32, 24, 16) if len(needle) >= 32 else ():
-        if len(needle) <= 2 * size or (a := hay.find(needle[:size])) < 0 or (b := hay.find(needle[-size:], a + size)) < 0:
-            continue
-        middle = hay[a : b + size]
-        if not 0.6 <= len(middle) / len(needle) <= 2.0:
-            continue
-        like = max(SequenceMatcher(None, needle, m, autojunk=False).ratio() for m in (middle, re.sub(DIRECTIVE, "", middle, flags=re.S)))
-        if like >= 0.78 and (found is None or like > found["similarity"]):
-            found = span(a, b + size, "anchored", like)
-    return found
+    hay, places = _folded(source)
+    needle, _ = _folded(want)
+    if needle and (at := hay.find(needle)) >= 0:
+        start, end, method, like = at, at + len(needle), "normalized", 1.0
+    else:
+        like, start, end = max(((_likeness(needle, hay[a:b]), a, b) for a, b in _between_ends(hay, needle)), key=lambda x: x[0], default=(0.0, 0, 0))
+        if like < LEAST_ANCHORED:
+            return None
+        method = "anchored"
+    return {"start": int(places[start]), "end": int(places[end - 1]) + 1, "method": method, "similarity": like}
 
 
 @vectorized("struct<start:long,end:long,method:string,similarity:double>")

@@ -3,37 +3,45 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def record_hash(previous: Column, body: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit("\n"), body), 256)
 
 
-def chain(records: DataFrame, key: str, order: str, body: str) -> DataFrame:
-    """records with previous_hash and record_hash, chained by order within each key; the first has an empty previous hash.
+def chain(records: DataFrame, key: str, order: str, body: str, tip: str | None = None) -> DataFrame:
+    """records with previous_hash and record_hash, chained by order within each key; a null body counts as empty.
 
-    Each hash needs the one before, so a chain is one ordered pass; chains run in parallel.
+    The first of a key has an empty previous hash, or that of column tip. Each hash needs the one before, so a chain is
+    one ordered pass: rows are sorted within partitions by key and stream through with one hash carried, however many a
+    key has; keys run in parallel.
     """
+    names = [*records.columns, "previous_hash", "record_hash"]
+    ordered = records.repartition(key).sortWithinPartitions(key, order)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        previous, before, after = "", [], []
-        for text in pdf[body]:
-            before.append(previous)
-            previous = hashlib.sha256(f"{previous}\n{text}".encode()).hexdigest()
-            after.append(previous)
-        return pdf.assign(previous_hash=before, record_hash=after)
+    def run(batches):
+        now, previous = object(), ""
+        for b in batches:
+            before, after = [], []
+            tips = b.column(tip).to_pylist() if tip else repeat("")
+            for k, text, first in zip(b.column(key).to_pylist(), b.column(body).to_pylist(), tips):
+                if k != now:
+                    now, previous = k, first or ""
+                before.append(previous)
+                previous = hashlib.sha256(f"{previous}\n{text or ''}".encode()).hexdigest()
+                after.append(previous)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names)
 
-    types = dict(records.dtypes)
-    schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", previous_hash string, record_hash string"
-    return records.groupBy(key).applyInPandas(one, schema)
+    return ordered.mapInArrow(run, T.StructType(records.schema.fields).add("previous_hash", "string").add("record_hash", "string"))
 
 
 def verify(chained: DataFrame, key: str, order: str, body: str) -> DataFrame:
     """chained with whether each record follows its predecessor and its own hash is right; no Python."""
     before = F.coalesce(F.lag("record_hash").over(Window.partitionBy(key).orderBy(order)), F.lit(""))
-    return chained.withColumn("valid", (F.col("previous_hash") == before) & (F.col("record_hash") == record_hash(F.col("previous_hash"), F.col(body))))
+    return chained.withColumn("valid", (F.col("previous_hash") == before) & (F.col("record_hash") == record_hash(F.col("previous_hash"), F.coalesce(F.col(body), F.lit("")))))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,24 +13,27 @@ from pyspark.sql import functions as F
 CHUNK = "array<struct<chunk_index:int,char_start:int,char_end:int,content:string>>"
 
 
-def chunk(text: str, size: int, overlap: int) -> list[dict]:
-    """Chunks of at most size code points, trimmed; blank ones take no index. A chunk ends after the last line end in
-    its second half, if there is one; the next starts overlap before that, or at it if that would not advance."""
+def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the chunks before trimming. A chunk ends after the last line end in its second half, if there is
+    one; the next starts overlap before that, or at it if that would not advance."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap within it")
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(n, start + size)
-        if end < n and (cut := text.rfind("\n", start + size // 2, end)) > start:
-            end = cut + 1
-        piece = text[start:end]
-        if body := piece.strip():
-            first = start + len(piece) - len(piece.lstrip())
-            out.append({"chunk_index": len(out), "char_start": first, "char_end": first + len(body), "content": body})
-        if end >= n:
-            break
+    line_ends = [m.end() for m in re.finditer("\n", text)]
+    start = end = 0
+    while end < len(text):
+        end = min(start + size, len(text))
+        if end < len(text):
+            at = bisect_right(line_ends, end)
+            if at and line_ends[at - 1] > start + size // 2:
+                end = line_ends[at - 1]
+        yield start, end
         start = end - overlap if end - overlap > start else end
-    return out
+
+
+def chunk(text: str, size: int, overlap: int) -> list[dict]:
+    """Chunks of at most size code points, trimmed; blank ones take no index."""
+    trimmed = ((start + len(text[start:end]) - len(text[start:end].lstrip()), text[start:end].strip()) for start, end in spans(text, size, overlap))
+    return [{"chunk_index": i, "char_start": at, "char_end": at + len(body), "content": body} for i, (at, body) in enumerate((at, b) for at, b in trimmed if b)]
 
 
 def chunk_documents(docs: DataFrame, *, size: int = 6000, overlap: int = 500, key: str = "doc_id", text: str = "text") -> DataFrame:

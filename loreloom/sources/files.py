@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
-from xml.etree import ElementTree
+from typing import IO
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ TEXT_SUFFIXES = ("txt", "md", "markdown", "log", "csv", "yaml", "yml")
 ENCODINGS = ("utf-8-sig", "utf-16", "gb18030")
 MOST_CHARS, MOST_JSON_CHARS = 120_000, 500_000
 MOST_ENTRIES, MOST_UNPACKED, MOST_RATIO, MOST_XML = 2_000, 64 << 20, 100, 16 << 20
-WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 Reader = Callable[[bytes], str]
 
@@ -47,22 +48,57 @@ def read_json(data: bytes) -> str:
     return text
 
 
+def _paragraphs(part: IO[bytes], budget: int) -> list[str]:
+    """Texts of the paragraphs of a document part, read block by block up to budget bytes; a DTD ends the reading."""
+    found: list[list[str]] = []
+    open_: list[list[str]] = []  # a paragraph's text also belongs to those around it
+    depth = 0
+
+    def start(name, _):
+        nonlocal depth
+        if name == f"{WORD} p":
+            found.append([])
+            open_.append(found[-1])
+        depth += name == f"{WORD} t"
+
+    def end(name):
+        nonlocal depth
+        if name == f"{WORD} p":
+            open_.pop()
+        depth -= name == f"{WORD} t"
+
+    def characters(data):
+        if depth:
+            for p in open_:
+                p.append(data)
+
+    def refuse(*_):
+        raise DocumentError("a DTD is not allowed")
+
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, characters, refuse
+    while block := part.read(1 << 16):
+        budget -= len(block)
+        if budget < 0:
+            raise DocumentError("the document is too large")
+        parser.Parse(block)
+    parser.Parse(b"", True)
+    return ["".join(p) for p in found]
+
+
 def read_docx(data: bytes) -> str:
     """Paragraphs of a DOCX, joined by blank lines; refuses archives that unpack too far and XML with a DTD."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            entries = z.infolist()
-            if len(entries) > MOST_ENTRIES or sum(e.file_size for e in entries) > MOST_UNPACKED or any(e.file_size > MOST_RATIO * max(e.compress_size, 1) for e in entries):
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            sizes = [(e.file_size, max(e.compress_size, 1)) for e in archive.infolist()]
+            if len(sizes) > MOST_ENTRIES or sum(n for n, _ in sizes) > MOST_UNPACKED or max((n / m for n, m in sizes), default=0) > MOST_RATIO:
                 raise DocumentError("the archive unpacks too far")
-            if z.getinfo("word/document.xml").file_size > MOST_XML:
-                raise DocumentError("the document is too large")
-            xml = z.read("word/document.xml")
+            with archive.open("word/document.xml") as part:
+                return "\n\n".join(p for p in _paragraphs(part, MOST_XML) if p.strip())
     except (zipfile.BadZipFile, KeyError) as e:
         raise DocumentError("no DOCX") from e
-    if b"<!DOCTYPE" in xml or b"<!ENTITY" in xml:
-        raise DocumentError("a DTD is not allowed")
-    paragraphs = ("".join(t.text or "" for t in p.iter(f"{WORD}t")) for p in ElementTree.fromstring(xml).iter(f"{WORD}p"))
-    return "\n\n".join(p for p in paragraphs if p.strip())
+    except expat.ExpatError as e:
+        raise DocumentError(f"bad XML: {e}") from e
 
 
 READERS: dict[str, Reader] = {**dict.fromkeys(TEXT_SUFFIXES, decode), "json": read_json, "docx": read_docx}
@@ -86,7 +122,7 @@ def read_documents(spark: SparkSession, path: str, readers: dict[str, Reader] |
                 text = every[k](d) if k in every else None
                 limit = MOST_JSON_CHARS if k == "json" else MOST_CHARS
                 error = "unknown format" if text is None else "empty" if not text.strip() else "too long" if len(text) > limit else None
-            except (DocumentError, ElementTree.ParseError) as e:
+            except DocumentError as e:
                 text, error = None, str(e)
             rows.append((None if error else text, error))
         return pd.DataFrame(rows, columns=["content", "error"])

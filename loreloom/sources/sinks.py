@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import redact
-from ..operators.audit import record_hash
+from ..operators.audit import chain
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -31,22 +32,34 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def trace_batch(spark: SparkSession, path: str, key: str = "run_id", order: str = "event_id"):
-    """A foreachBatch function that appends redacted events to a trace table, each chained to the key's last record.
+    """A foreachBatch function that adds redacted events to a trace table, each chained to the key's record before it.
 
-    Events of one batch are chained by a running digest of digests, so that each batch costs one window, not a loop over
-    keys; the table's last hashes are read by key.
+    Epochs are partitions of the table at path/records, so that an epoch that runs again takes its own place and adds
+    nothing. path/tips holds each epoch's last hash of its keys; only these are read to go on from.
     """
 
-    def append(batch: DataFrame, _epoch: int) -> None:
+    def add(batch: DataFrame, epoch: int) -> None:
         rows = batch.withColumn("body", F.concat_ws(":", F.col(order).cast("string"), F.col("kind"), redact(F.lit("value"), F.col("value").cast("string"))))
-        try:
-            last = spark.read.parquet(path).groupBy(key).agg(F.max_by("record_hash", order).alias("tip"))
-        except Exception as e:  # noqa: BLE001  the table is not there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = rows.select(key, F.lit("").alias("tip")).limit(0)
-        upto = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "body")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))), lambda x: F.sha2(x["body"], 256)), "")
-        chained = rows.join(last, key, "left").withColumn("previous_hash", F.coalesce("tip", F.lit(""))).withColumn("record_hash", record_hash(F.col("previous_hash"), upto))
-        chained.select(key, order, "kind", "body", "previous_hash", "record_hash").write.mode("append").parquet(path)
-
-    return append
+        tips = _written(spark, f"{path}/tips", f"`{key}` {dict(batch.dtypes)[key]}, tip string, epoch long").filter(F.col("epoch") < epoch)
+        tips = tips.groupBy(key).agg(F.max_by("tip", "epoch").alias("tip"))
+        chained = chain(rows.select(key, order, "kind", "body").join(tips, key, "left"), key, order, "body", tip="tip").drop("tip")
+        chained.write.mode("overwrite").parquet(f"{path}/records/epoch={epoch}")
+        done = spark.read.parquet(f"{path}/records/epoch={epoch}")
+        done.groupBy(key).agg(F.max_by("record_hash", order).alias("tip")).write.mode("overwrite").parquet(f"{path}/tips/epoch={epoch}")
+
+    return add
+
+
+def trace_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records of a trace table."""
+    return spark.read.parquet(f"{path}/records")
+
+
+def _written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, or an empty one before anything is written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -36,6 +36,8 @@ def test_noop(spark):
 def test_generalize_longest_first(spark):
     row = spark.createDataFrame([("scale web-1 to WEB-10 in x", {"small": "web-1", "large": "web-10", "tiny": "x"})], "op string, p map<string,string>").select(X.generalize(F.col("op"), F.col("p")).alias("y")).first()
     assert row["y"] == "scale {{small}} to {{large}} in x"
+    row = spark.createDataFrame([("move ab", {"k$x\\y": "ab"})], "op string, p map<string,string>").select(X.generalize(F.col("op"), F.col("p")).alias("y")).first()
+    assert row["y"] == "move {{k$x\\y}}"
 
 
 def test_rich_text():

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from loreloom.operators import runtime
+from loreloom.operators import audit, runtime
 from loreloom.sources import files, sinks
 from loreloom.streaming import runs
 
@@ -64,9 +64,16 @@ def test_trace_sink_chains_batches(spark, events, tmp_path):
     rows = table.select("user_id", "event_id", "kind", "value")
     add(rows.filter("event_id < 6"), 0)
     add(rows.filter("event_id >= 6"), 1)
-    got = spark.read.parquet(path).orderBy("user_id", "event_id").collect()
-    first = [r for r in got if r.user_id == 0]
-    assert len(got) == 12 and first[0].previous_hash == "" and first[2].previous_hash == first[1].record_hash
+    add(rows.filter("event_id >= 6"), 1)  # an epoch that runs again
+    got = sinks.trace_records(spark, path)
+    first = [r for r in got.orderBy("event_id").collect() if r.user_id == 0]
+    assert got.count() == 12 and first[0].previous_hash == "" and first[2].previous_hash == first[1].record_hash
+    bad = lambda df: {r.event_id for r in audit.verify(df, "user_id", "event_id", "body").filter("NOT valid").collect()}
+    assert bad(got) == set()
+    assert bad(got.withColumn("body", F.when(F.col("event_id") == 4, "other").otherwise(F.col("body")))) == {4}
+    assert bad(got.filter("event_id != 3")) == {6}
+    swapped = got.withColumn("event_id", F.when(F.col("event_id") == 1, 4).when(F.col("event_id") == 4, 1).otherwise(F.col("event_id")))
+    assert {1, 4} <= bad(swapped)
 
 
 def test_upsert(spark):
@@ -86,13 +93,13 @@ def test_files(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     put = {
         "a.txt": "é".encode("utf-16"), "b.md": "中文a".encode("gb18030"), "c.json": b'{"a": 1}', "d.json": b'{"a": 1, "a": 2}', "e.txt": b"  ", "f.xyz": b"?", "g.yaml": b"\xef\xbb\xbfk: v",
-        "h.docx": docx(f"<w:d {w}><w:p><w:t>one</w:t></w:p><w:p/><w:p><w:t>two</w:t><w:t>!</w:t></w:p></w:d>"), "i.docx": docx("<!DOCTYPE x><x/>"), "j.docx": docx("<a>" + " " * 3_000_000 + "</a>"), "k.docx": b"no zip",
+        "h.docx": docx(f"<w:d {w}><w:p><w:t>one</w:t></w:p><w:p/><w:p><w:t>two</w:t><w:t>!</w:t></w:p></w:d>"), "i.docx": docx("<!DOCTYPE x><x/>"), "l.docx": docx('<?xml version="1.0" encoding="utf-16"?><!DOCTYPE x [<!ENTITY e "y">]><x>&e;</x>'.encode("utf-16")), "m.docx": docx("<x>"), "j.docx": docx("<a>" + " " * 3_000_000 + "</a>"), "k.docx": b"no zip",
     }
     for name, data in put.items():
         (tmp_path / name).write_bytes(data)
     got = {r.source_name: (r.content, r.error) for r in files.read_documents(spark, str(tmp_path), {"xyz": lambda b: "plugged in"}).collect()}
     assert {k: v[0] for k, v in got.items() if v[1] is None} == {"a.txt": "é", "b.md": "中文a", "c.json": '{"a": 1}', "f.xyz": "plugged in", "g.yaml": "k: v", "h.docx": "one\n\ntwo!"}
-    assert got["e.txt"] == (None, "empty") and got["i.docx"][1] == "a DTD is not allowed" and got["j.docx"][1] == "the archive unpacks too far" and got["k.docx"][1] == "no DOCX"
+    assert got["e.txt"] == (None, "empty") and got["i.docx"][1] == got["l.docx"][1] == "a DTD is not allowed" and got["m.docx"][1].startswith("bad XML") and got["j.docx"][1] == "the archive unpacks too far" and got["k.docx"][1] == "no DOCX"
 
 
 def test_ocr_lines(spark):
