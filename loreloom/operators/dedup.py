@@ -63,21 +63,28 @@ def reuse(cards: DataFrame, least: float = 0.92) -> DataFrame:
 
     In order, a card takes the earlier canonical card of equal fingerprint, else the most similar one of at least the
     given likeness that is no sibling (same parent), else it becomes canonical. Order matters within a document only.
+    Ratios are computed only where the cheap upper bounds (lengths, then characters in common) allow one that counts.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position", kind="stable")
-        canonical, out = [], []
+        canonical, by_print, out = [], {}, []
         for r in pdf.itertuples():
-            found, like = next(((c, 1.0) for c in canonical if c.fingerprint == r.fingerprint), (None, 0.0))
+            found = by_print.get(r.fingerprint)
+            like = 1.0 if found is not None else 0.0
             if found is None:
+                matcher = SequenceMatcher()
                 for c in canonical:
                     if r.parent_id is not None and c.parent_id == r.parent_id:
                         continue
-                    if (ratio := SequenceMatcher(None, c.text, r.text).ratio()) >= least and ratio > like:
+                    matcher.set_seqs(c.text, r.text)
+                    if min(matcher.real_quick_ratio(), matcher.quick_ratio()) < max(least, like):
+                        continue
+                    if (ratio := matcher.ratio()) >= least and ratio > like:
                         found, like = c, ratio
             if found is None:
                 canonical.append(r)
+                by_print.setdefault(r.fingerprint, r)
             out.append((r.document_id, r.unit_id, r.unit_id if found is None else found.unit_id, like if found is not None else 1.0))
         return pd.DataFrame(out, columns=["document_id", "unit_id", "canonical_id", "similarity"])
 

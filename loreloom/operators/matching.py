@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import containing, small
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; both empty 1, one empty 0."""
@@ -85,10 +87,15 @@ def greedy_match(records: DataFrame, keys: list[str], least: float = 0.5) -> Dat
 def near_duplicate_pairs(items: DataFrame, least: float = 0.9) -> DataFrame:
     """(a, b, jaccard) with a < b for items(id, terms) with likeness of at least least; exact, by prefix filtering.
 
-    Sets that alike share one of the first n - ceil(least * n) + 1 terms in an order from rare to frequent, so only
-    these terms are joined.
+    Items of equal sets are one class: its smallest id stands for it in the pairs, and each other member is a pair with
+    that. Sets that alike share one of the first n - ceil(least * n) + 1 terms in an order from rare to frequent, so only
+    these terms are joined. Items without terms have no pairs.
     """
-    sets = items.select("id", F.array_distinct("terms").alias("terms")).filter(F.size("terms") > 0)
+    rows = items.select("id", F.array_sort(F.array_distinct("terms")).alias("terms")).filter(F.size("terms") > 0)
+    keyed = rows.select("id", "terms", F.sha2(F.array_join("terms", "\x1f"), 256).alias("k"))
+    heads = keyed.groupBy("k").agg(F.min("id").alias("a"))
+    members = keyed.select("id", "k").join(heads, "k").filter("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    sets = rows.join(heads.select(F.col("a").alias("id")), "id", "left_semi")
     spread = sets.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     rare = spread.groupBy("term").agg(F.count("*").alias("df"))
     ordered = spread.join(rare, "term").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("t"))
@@ -96,4 +103,23 @@ def near_duplicate_pairs(items: DataFrame, least: float = 0.9) -> DataFrame:
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "term")
     pairs = prefix.join(other, "term").filter((F.col("id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("terms").alias("ta")), sets.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
+    linked = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
+    return linked.unionByName(members)
+
+
+def contained(docs: DataFrame, items: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, item_id, char_start) of the docs(doc_id, text) that hold an item(item_id, quote) verbatim.
+
+    A quote's second and following words (so many, split at white space) stand whole in any text that holds it, so texts
+    and items meet by the hash of such runs and are then compared. Shorter quotes meet texts by their first characters.
+    """
+    split = lambda c: F.split(c, r"\s+")
+    run = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(words)))
+    long = F.size(split(F.col("quote"))) >= words + 2
+    keys = small(items.filter(long).select("item_id", run(split(F.col("quote")), F.lit(1)).alias("k")))
+    held = docs.select("doc_id", split(F.col("text")).alias("w"))
+    held = held.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: run(F.col("w"), i)))).alias("k"))
+    met = held.join(keys, "k").select("doc_id", "item_id").distinct()
+    found = docs.join(met, "doc_id").join(items, "item_id").filter(F.contains("text", F.col("quote")))
+    found = found.select("doc_id", "text", "item_id", "quote").unionByName(containing(docs.select("doc_id", "text"), items.filter(~long), "text", "quote").select("doc_id", "text", "item_id", "quote"))
+    return found.select("doc_id", "item_id", (F.instr(F.col("text"), F.col("quote")) - 1).cast("long").alias("char_start"))

@@ -31,14 +31,18 @@ def relationship_signature(cards: DataFrame, text: str = "operation") -> DataFra
 def relationships(signed: DataFrame, key: str = "case_id") -> DataFrame:
     """(key, source_unit_id, target_unit_id, relation_type) between steps(unit_id, phase, signature) of a case.
 
-    Steps that share a target are joined on it, not each with each: a validation that expects what an implementation
-    sets VALIDATES it, a rollback that reverses its transition is ROLLBACK_OF it.
+    A validation that expects what an implementation sets VALIDATES it, a rollback that reverses its transition is
+    ROLLBACK_OF it. Both are equi-joins on case, target and value; each step is read for its own phase only.
     """
-    spread = signed.select(key, "unit_id", "phase", "from_value", "to_value", "expected_values", F.explode("targets").alias("target"))
-    done = spread.filter("phase = 'IMPLEMENTATION' AND to_value IS NOT NULL").select(key, "target", F.col("unit_id").alias("target_unit_id"), F.col("from_value").alias("done_from"), F.col("to_value").alias("done_to"))
-    met = spread.join(done, [key, "target"]).filter("unit_id != target_unit_id")
-    kind = F.when((F.col("phase") == "VALIDATION") & F.array_contains("expected_values", F.col("done_to")), "VALIDATES").when((F.col("phase") == "ROLLBACK") & (F.col("from_value") == F.col("done_to")) & (F.col("to_value") == F.col("done_from")), "ROLLBACK_OF")
-    return met.select(key, F.col("unit_id").alias("source_unit_id"), "target_unit_id", kind.alias("relation_type")).filter("relation_type IS NOT NULL").distinct()
+    def of(phase: str, *more):
+        return signed.filter(F.col("phase") == phase).select(key, "unit_id", "from_value", "to_value", *more, F.explode("targets").alias("target"))
+
+    done = of("IMPLEMENTATION").filter("to_value IS NOT NULL").select(key, "target", F.col("unit_id").alias("target_unit_id"), F.col("from_value").alias("done_from"), F.col("to_value").alias("done_to"))
+    checks = of("VALIDATION", "expected_values").select(key, "target", "unit_id", F.explode("expected_values").alias("done_to"))
+    undone = of("ROLLBACK").select(key, "target", "unit_id", F.col("from_value").alias("done_to"), F.col("to_value").alias("done_from"))
+    found = checks.join(done, [key, "target", "done_to"]).withColumn("relation_type", F.lit("VALIDATES")).drop("done_from")
+    found = found.unionByName(undone.join(done, [key, "target", "done_to", "done_from"]).withColumn("relation_type", F.lit("ROLLBACK_OF")).drop("done_from"))
+    return found.filter("unit_id != target_unit_id").select(key, F.col("unit_id").alias("source_unit_id"), "target_unit_id", "relation_type").distinct()
 
 
 def apply_policies(fields: DataFrame, profile: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .joins import containing, small
 
 # Field weights.
 FIELD_WEIGHTS = {
@@ -75,33 +76,34 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 def search(cards: DataFrame, queries: DataFrame, *, top_k: int = 6, min_score: float = 0.0, min_coverage: float = 0.0) -> DataFrame:
     """(query_id, rank, id, score, query_coverage, matched_terms) for stated queries(query_id, query).
 
-    Every query is matched in one pass: postings are joined to all queries' terms. Queries are a stated set and are
-    broadcast; cards are read once. Scores count cards after the publishable filter. A query that stands in a title, or
+    Every query is matched in one pass: postings are joined to all queries' terms, which are broadcast if they are few.
+    A query in a title, or an object's name in a query, is found by equal runs of characters. Scores count cards after the publishable filter. A query that stands in a title, or
     that names a card's object, gains a boost even without a matched term.
     """
     cards = publishable(cards)
     terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
-    wanted = term_frequency(cards).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    wanted = term_frequency(cards).join(small(terms.select("term").distinct()), "term", "left_semi")
     # Fields are summed before the queries come in: one row for each card and term.
     wanted = wanted.groupBy("id", "term").agg(F.sum(weights[F.col("field")] * (1 + F.log("tf"))).alias("weight"))
     n = cards.count()
     idf = wanted.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 0.5)) + 1).alias("idf"))
-    lexical = wanted.join(F.broadcast(terms), "term").join(F.broadcast(idf), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf") * (1 + F.log("qtf"))).alias("lexical"), F.count("*").alias("matched"))
-    asked = F.broadcast(queries.join(sizes, "query_id").select("query_id", F.trim(F.lower("query")).alias("q"), "n_terms"))
+    lexical = wanted.join(small(terms), "term").join(idf, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf") * (1 + F.log("qtf"))).alias("lexical"), F.count("*").alias("matched"))
+    asked = queries.join(sizes, "query_id").select("query_id", F.trim(F.lower("query")).alias("q"))
     title, name = (F.lower(F.coalesce(F.col(c), F.lit(""))) if c in cards.columns else F.lit("") for c in ("title", "object_name"))
-    named = cards.select("id", title.alias("t"), name.alias("o")).join(asked, F.contains(F.col("t"), F.col("q")) | ((F.col("o") != "") & F.contains(F.col("q"), F.col("o"))))
-    boost = F.when(F.contains(F.col("t"), F.col("q")), TITLE_BOOST).otherwise(0.0) + F.when((F.col("o") != "") & F.contains(F.col("q"), F.col("o")), OBJECT_BOOST).otherwise(0.0)
-    boosts = named.select("query_id", "id", boost.alias("boost"))
-    hits = lexical.join(boosts, ["query_id", "id"], "full").join(F.broadcast(sizes), "query_id")
+    titled = containing(cards.select("id", title.alias("t")), asked, "t", "q").select("query_id", "id", F.lit(TITLE_BOOST).alias("boost"))
+    objects = cards.select("id", name.alias("o")).filter("o != ''")
+    naming = containing(asked, objects.select("o").distinct(), "q", "o").join(objects, "o").select("query_id", "id", F.lit(OBJECT_BOOST).alias("boost"))
+    boosts = titled.unionByName(naming).groupBy("query_id", "id").agg(F.sum("boost").alias("boost"))
+    hits = lexical.join(boosts, ["query_id", "id"], "full").join(small(sizes), "query_id")
     score = F.coalesce("lexical", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))
     hits = hits.select("query_id", "id", score.alias("score"), (F.coalesce("matched", F.lit(0)) / F.col("n_terms")).alias("query_coverage"))
     hits = hits.filter((F.col("score") > 0) & (F.col("score") >= max(0.0, min_score)) & (F.col("query_coverage") >= max(0.0, min(1.0, min_coverage))))
     found = top_hits(hits, top_k)
     texts = cards.select("id", tokenize(F.concat_ws("\n", *(_flat(cards, f) for f in _fields(cards)))).alias("held"))
     said = queries.select("query_id", tokenize(F.col("query")).alias("said"))
-    return found.join(texts, "id").join(F.broadcast(said), "query_id").withColumn("matched_terms", F.array_sort(F.array_intersect("said", "held"))).drop("said", "held")
+    return found.join(texts, "id").join(said, "query_id").withColumn("matched_terms", F.array_sort(F.array_intersect("said", "held"))).drop("said", "held")
 
 
 def top_hits(hits: DataFrame, top_k: int) -> DataFrame:
@@ -168,14 +170,20 @@ def recommend(scores: DataFrame, eligible: DataFrame, *, limit: int = 3) -> Data
 
 
 def semantic_recall(vectors: DataFrame, queries: DataFrame, *, top_k: int = 5) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the nearest vectors by cosine to stated query vectors, which are broadcast.
+    """(query_id, vec_id, similarity, rank): the nearest vectors by cosine to stated query vectors, in blocks of 4096.
+
+    Each block is broadcast and meets all vectors in one pass.
 
     Partial top-k lists keep the shuffle to top_k rows a query and task.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
-    pairs = vectors.join(asked, F.size("embedding") == F.size("q")).select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / (norm(F.col("embedding")) * norm(F.col("q")))).alias("similarity"))
+    blocks = max(1, -(-queries.count() // 4096))
+    pairs = None
+    for i in range(blocks):
+        asked = F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", F.col("embedding").alias("q")))
+        met = vectors.join(asked, F.size("embedding") == F.size("q")).select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / (norm(F.col("embedding")) * norm(F.col("q")))).alias("similarity"))
+        pairs = met if pairs is None else pairs.unionByName(met)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
     order = [F.desc("similarity"), F.col("vec_id")]
     part = F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,23 +41,27 @@ def trailing_count(events: DataFrame, key: str, seconds: F.Column, width: int =
 def rate_limit(events: DataFrame, key: str, micros: str, order: str, *, limit: int, width: float = 60.0) -> DataFrame:
     """(key, order, accepted): a sliding log in which refused calls do not count; exactly width old is forgotten.
 
-    Whether a call counts depends on all before it, so a key's calls are one ordered pass; at most limit times are kept.
+    Whether a call counts depends on all before it, so a key's calls are one ordered pass: rows are sorted within
+    partitions and stream through, with at most limit times carried, however many calls a key has.
     """
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([micros, order], kind="stable")
-        log, out = [], []
-        for now in pdf[micros]:
-            while log and log[0] <= now - width * 1e6:
-                log.pop(0)
-            out.append(len(log) < limit)
-            if out[-1]:
-                log.append(now)
-        return pdf[[key, order]].assign(accepted=out)
+    rows = events.select(key, micros, order).repartition(key).sortWithinPartitions(key, micros, order)
+
+    def run(batches):
+        now, log = object(), deque()
+        for b in batches:
+            out = []
+            for k, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != now:
+                    now, log = k, deque()
+                while log and log[0] <= at - width * 1e6:
+                    log.popleft()
+                out.append(len(log) < limit)
+                if out[-1]:
+                    log.append(at)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.bool_())], [key, order, "accepted"])
 
     types = dict(events.dtypes)
-    return events.select(key, micros, order).groupBy(key).applyInPandas(one, f"`{key}` {types[key]}, `{order}` {types[order]}, accepted boolean")
+    return rows.mapInArrow(run, f"`{key}` {types[key]}, `{order}` {types[order]}, accepted boolean")
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

@@ -111,13 +111,13 @@ def trusted_channels(spark, d):
     return retrieval.trusted(lex, sem, _cards(spark, d)).select("query_id", "id", "score", "channel", "rank")
 
 
-@query("""WITH h AS (SELECT o_custkey % 20 AS query_id, l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS score, CAST(l_orderkey AS STRING) AS case_id, CAST(l_linenumber % 4 AS STRING) AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 20 < 3 GROUP BY o_custkey, l_orderkey, l_linenumber),
+@query("""WITH h AS (SELECT o_custkey AS query_id, l_orderkey * 10 + l_linenumber AS id, max(l_quantity) AS score, CAST(l_orderkey AS STRING) AS case_id, CAST(l_linenumber % 4 AS STRING) AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey, l_linenumber),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) - 1 AS place FROM h),
     c AS (SELECT query_id, case_id, round(sum(score + greatest(0.0, 1 - place * 0.01)), 4) AS score, array_to_string(list(id ORDER BY place), ',') AS card_ids, list(role ORDER BY place) AS rs FROM k GROUP BY query_id, case_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM c WHERE case_id::BIGINT % 3 <> 0)
     SELECT query_id, case_id, score, card_ids, array_to_string(list_filter(rs, lambda x, i: list_position(rs, x) = i), ',') AS matched_roles, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def case_recommend(spark, d):
-    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 20).alias("query_id")).filter("query_id < 3")
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("query_id"))
     lines = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity")).join(orders, "l_orderkey").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     lineage = lines.select(F.col("id").alias("card_id"), F.col("l_orderkey").cast("string").alias("case_id"), (F.col("l_linenumber") % 4).cast("string").alias("unit_role"))
     scores = retrieval.case_scores(lines.select("query_id", "id", F.col("l_quantity").alias("score")), lineage)
@@ -140,27 +140,27 @@ def doc_exact_dedup(spark, d):
     return dedup.document_dedup(_read(spark, d, "documents"), "text", "doc_id")
 
 
-@query("""WITH k AS (SELECT doc_id, quality, sha256(concat_ws(chr(31), 'procedure', regexp_replace(lower(substr(text, 81, 60)), '[^a-z0-9]', '', 'g'), regexp_replace(lower(lang), '[^a-z0-9]', '', 'g'), regexp_replace(lower(source), '[^a-z0-9]', '', 'g'))) AS k
+@query("""WITH k AS (SELECT doc_id, quality, sha256(concat_ws(chr(31), 'procedure', regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), regexp_replace(lower(lang), '[^a-z0-9]', '', 'g'), regexp_replace(lower(source), '[^a-z0-9]', '', 'g'))) AS k
     FROM documents LEFT JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY coalesce(quality, 0) DESC, doc_id DESC) AS place FROM k)
     SELECT doc_id, k AS batch_key FROM r WHERE place = 1""")
 def batch_fingerprint_dedup(spark, d):
-    docs = _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("kind", F.lit("procedure")).withColumn("summary", F.substring("text", 81, 60))
+    docs = _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("kind", F.lit("procedure")).withColumn("summary", F.col("text"))
     keyed = docs.withColumn("batch_key", dedup.batch_key(docs, ["kind", "summary", "lang", "source"], [], [], ascii_only=True))
     return dedup.keep_best(keyed, "batch_key", F.coalesce("quality", F.lit(0)), F.col("doc_id")).select("doc_id", "batch_key")
 
 
-@query(f"""WITH t AS (SELECT doc_id AS id, list_distinct({TOKENS.format('substr(text, 1, 400)')}) AS terms FROM documents), s AS (SELECT id, len(terms) AS n, unnest(terms) AS term FROM t),
+@query(f"""WITH t AS (SELECT doc_id AS id, list_sort(list_distinct({TOKENS.format('text')})) AS terms FROM documents), k AS (SELECT terms, min(id) AS id, list(id) AS ids FROM t WHERE len(terms) > 0 GROUP BY terms), s AS (SELECT id, len(terms) AS n, unnest(terms) AS term FROM k),
     p AS (SELECT a.id AS a, b.id AS b, a.n, b.n AS m, count(*) AS c FROM s a JOIN s b ON a.term = b.term AND a.id < b.id GROUP BY ALL)
-    SELECT a, b, round(c / (n + m - c), 4) AS jaccard FROM p WHERE c / (n + m - c) >= 0.9""")
+    SELECT a, b, round(c / (n + m - c), 4) AS jaccard FROM p WHERE c / (n + m - c) >= 0.9 UNION ALL SELECT * FROM (SELECT id AS a, unnest(ids) AS b, 1.0 AS jaccard FROM k) WHERE a < b""")
 def near_dup_jaccard(spark, d):
-    items = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), ft.tokenize(F.substring("text", 1, 400)).alias("terms"))
+    items = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), ft.tokenize(F.col("text")).alias("terms"))
     return matching.near_duplicate_pairs(items).select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
 @query("""SELECT doc_id, item_id, (strpos(d.text, trim(b.text)) - 1)::BIGINT AS char_start FROM documents d JOIN benchmark b ON contains(d.text, trim(b.text))""")
 def contamination_overlap(spark, d):
     docs, items = _read(spark, d, "documents").select("doc_id", "text"), _read(spark, d, "benchmark").select("item_id", F.trim("text").alias("quote"))
-    return docs.join(F.broadcast(items), F.contains("text", F.col("quote"))).select("doc_id", "item_id", (F.instr(F.col("text"), F.col("quote")) - 1).cast("long").alias("char_start"))
+    return matching.contained(docs, items)
 
 
 @query("""WITH RECURSIVE c AS (SELECT doc_id, text, length(text) AS n, 0 AS s, (CASE WHEN 400 >= length(text) THEN length(text) WHEN strpos(reverse(substr(text, 201, 200)), chr(10)) > 0 THEN 400 - strpos(reverse(substr(text, 201, 200)), chr(10)) + 1 ELSE 400 END)::BIGINT AS e FROM documents
@@ -194,8 +194,10 @@ def html_rich_text(spark, d):
 @query()
 def evidence_grounding(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", "text")
-    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 21, 60)).when(F.col("doc_id") % 3 == 1, F.upper(F.substring("text", 21, 60))).otherwise(F.concat(F.substring("text", 1, 40), F.lit(" x "), F.substring("text", 44, 60)))
-    got = docs.select("doc_id", ft.ground_udf(F.substring("text", 1, 2000), quote).alias("g"))
+    at = F.floor(F.length("text") * 2 / 3).cast("int")  # quotes from the later part of the text
+    cut = lambda start, n: F.substring(F.col("text"), at + start, F.lit(n))
+    quote = F.when(F.col("doc_id") % 3 == 0, cut(1, 60)).when(F.col("doc_id") % 3 == 1, F.upper(cut(1, 60))).otherwise(F.concat(cut(1, 40), F.lit(" x "), cut(44, 60)))
+    got = docs.select("doc_id", ft.ground_udf("text", quote).alias("g"))
     return got.select("doc_id", "g.start", "g.end", "g.method", F.round("g.similarity", 4).alias("similarity"))
 
 
@@ -420,16 +422,21 @@ def journal_replay(spark, d):
     return simulate.replay(_journal(spark, d))
 
 
-@query("SELECT user_id AS env, event_type AS key, NULL::VARCHAR AS value FROM events GROUP BY user_id, event_type")
+@query("""WITH m AS (SELECT *, event_id <= avg(event_id) OVER (PARTITION BY user_id) AS early FROM events)
+    SELECT user_id AS env, event_type AS key, arg_max(printf('%.4f', value), event_id) FILTER (WHERE early) AS value FROM m GROUP BY user_id, event_type HAVING NOT bool_and(early)""")
 def rollback_reverse_journal(spark, d):
-    undo = simulate.rollback(_journal(spark, d))
+    journal = _journal(spark, d).withColumn("late", F.col("seq") > F.avg("seq").over(Window.partitionBy("env")))
+    undo = simulate.rollback(journal.filter("late"))  # back to the middle of each journal
     return undo.groupBy("env", "key").agg(F.max_by("after", "seq").alias("value"))
 
 
-@query("SELECT user_id AS run_id, event_id, true AS valid FROM events")
+@query("""WITH e AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+    SELECT user_id AS run_id, event_id, event_id % 97 <> 0 AND lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM before AS valid FROM e WHERE event_id % 101 <> 0""")
 def hash_chain_verify(spark, d):
     rows = _read(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", F.concat_ws(":", "event_type", "props").alias("body"))
-    return audit.verify(audit.chain(rows, "run_id", "event_id", "body"), "run_id", "event_id", "body").select("run_id", "event_id", "valid")
+    chained = audit.chain(rows, "run_id", "event_id", "body")
+    spoilt = chained.withColumn("body", F.when(F.col("event_id") % 97 == 0, "changed").otherwise(F.col("body"))).filter("event_id % 101 != 0")  # changed and removed records
+    return audit.verify(spoilt, "run_id", "event_id", "body").select("run_id", "event_id", "valid")
 
 
 _FLAT = "SELECT sha256(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS h FROM lineitem WHERE l_orderkey % 2 = 0"
@@ -466,8 +473,8 @@ def coverage_recall(spark, d):
 
 @query()
 def fuzzy_reuse(spark, d):
-    docs = _read(spark, d, "documents")
-    cards = docs.select(F.concat_ws(":", "lang", F.substring("text", 1, 2)).alias("document_id"), F.col("doc_id").alias("unit_id"), F.lit(None).cast("long").alias("parent_id"), F.col("doc_id").alias("position"), F.sha2("text", 256).alias("fingerprint"), F.substring("text", 1, 300).alias("text"))
+    turns = _read(spark, d, "conversations")
+    cards = turns.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("unit_id"), F.lit(None).cast("long").alias("parent_id"), F.col("turn").alias("position"), F.sha2("text", 256).alias("fingerprint"), "text")
     return dedup.reuse(cards)
 
 
@@ -513,12 +520,12 @@ def step_relationships(spark, d):
     return records.relationships(records.relationship_signature(steps))
 
 
-@query("""WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS record_id, unnest(['flag', 'qty', 'extra']) AS field, unnest([l_returnflag, CAST(l_linenumber AS VARCHAR), 'x']) AS value FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2)),
-    r AS (SELECT DISTINCT record_id FROM f) SELECT record_id, 'flag' AS field, (SELECT value FROM f g WHERE g.record_id = r.record_id AND field = 'flag') AS value, 'generated' AS source, '' AS error FROM r
+@query("""WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS record_id, unnest(['flag', 'qty', 'extra']) AS field, unnest([l_returnflag, CAST(l_linenumber AS VARCHAR), 'x']) AS value FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
+    r AS (SELECT DISTINCT record_id FROM f) SELECT record_id, 'flag' AS field, value, 'generated' AS source, '' AS error FROM f WHERE field = 'flag'
     UNION ALL SELECT record_id, 'qty', CAST(record_id % 10 AS VARCHAR), 'generated', 'TYPE_MISMATCH' FROM r UNION ALL SELECT record_id, 'extra', NULL, NULL, 'EXTRA_FIELD' FROM r UNION ALL SELECT record_id, 'region', 'cn', 'fixed', '' FROM r
     UNION ALL SELECT record_id, 'ticket', CASE WHEN record_id % 2 = 0 THEN 'T-' || record_id END, 'input', CASE WHEN record_id % 2 = 0 THEN '' ELSE 'MISSING_INPUT' END FROM r""")
 def policy_application(spark, d):
-    lines = _read(spark, d, "lineitem").filter("l_orderkey % 50 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag")).withColumn("record_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    lines = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag")).withColumn("record_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     entries = F.array(F.struct(F.lit("flag").alias("field"), F.col("l_returnflag").alias("value"), F.lit("string").alias("json_type")), *(F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(t).alias("json_type")) for f, v, t in (("qty", F.col("l_linenumber").cast("string"), "integer"), ("extra", F.lit("x"), "string"))))
     fields = lines.select("record_id", F.explode(entries).alias("e")).select("record_id", "e.*")
     profile = spark.createDataFrame([("flag", "string", "generated", None), ("qty", "string", "generated", None), ("region", "string", "fixed", "cn"), ("ticket", "string", "input:ticket_id", None)], "field string, json_type string, policy string, fixed string")
@@ -536,24 +543,26 @@ def node_coverage(spark, d):
     return records.node_coverage(nodes, lines.filter("l_linenumber % 2 = 1").select("doc_id", base.alias("pointer")))
 
 
-@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS step_id, l_suppkey % 10 AS rt, l_partkey % 5 AS dst, 'hop-' || l_partkey % 5 AS f, 'hop-' || l_suppkey % 7 AS t FROM lineitem WHERE l_orderkey % 10 = 0),
-    r AS (SELECT rt, dst, count(*) AS n, min('hop-' || dst) AS now FROM (SELECT s_suppkey % 10 AS rt, s_suppkey % 5 AS dst FROM supplier WHERE s_suppkey <= 10) GROUP BY 1, 2)
+@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS step_id, l_suppkey AS rt, l_partkey % 5 AS dst, 'hop-' || l_partkey % 5 AS f, 'hop-' || l_suppkey % 7 AS t FROM lineitem),
+    r AS (SELECT rt, dst, count(*) AS n, min('hop-' || dst) AS now FROM (SELECT s_suppkey AS rt, s_suppkey % 5 AS dst FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey + 1) % 5 FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey + 1) % 5 FROM supplier WHERE s_suppkey % 3 = 0) GROUP BY 1, 2)
     SELECT step_id, 'single_route' AS gate, coalesce(n = 1, false) AS passed FROM s LEFT JOIN r USING (rt, dst) UNION ALL SELECT step_id, 'baseline', coalesce(now = f, false) FROM s LEFT JOIN r USING (rt, dst)
     UNION ALL SELECT step_id, 'target', substr(t, 5)::INT % 2 = 0 AND substr(t, 5)::INT * 15 < 60 AND dst < 4 AND substr(t, 5)::INT < 6 FROM s""")
 def plan_gates(spark, d):
     dest = lambda c: F.concat(F.lit("net-"), c)
     hop = lambda c: F.concat(F.lit("hop-"), c)
-    steps = _read(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("step_id"), (F.col("l_suppkey") % 10).alias("route_table_id"), dest(F.col("l_partkey") % 5).alias("destination"), hop(F.col("l_partkey") % 5).alias("from_next_hop"), hop(F.col("l_suppkey") % 7).alias("to_next_hop"))
-    routes = _read(spark, d, "supplier").filter("s_suppkey <= 10").select((F.col("s_suppkey") % 10).alias("route_table_id"), dest(F.col("s_suppkey") % 5).alias("destination"), hop(F.col("s_suppkey") % 5).alias("next_hop"))
+    steps = _read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("step_id"), F.col("l_suppkey").alias("route_table_id"), dest(F.col("l_partkey") % 5).alias("destination"), hop(F.col("l_partkey") % 5).alias("from_next_hop"), hop(F.col("l_suppkey") % 7).alias("to_next_hop"))
+    s = F.col("s_suppkey")
+    places = F.concat(F.array(s % 5, (s + 1) % 5), F.when(s % 3 == 0, F.array((s + 1) % 5)).otherwise(F.array().cast("array<bigint>")))  # a third has a route twice
+    routes = _read(spark, d, "supplier").select(s.alias("route_table_id"), F.explode(places).alias("p")).select("route_table_id", dest(F.col("p")).alias("destination"), hop(F.col("p")).alias("next_hop"))
     hops = spark.range(6).select(hop(F.col("id")).alias("hop"), F.when(F.col("id") % 2 == 0, "ACTIVE").otherwise("DOWN").alias("status"), (F.col("id") * 15.0).alias("utilization"), F.transform(F.array(*map(F.lit, range(4))), lambda n: F.concat(F.lit("net-"), n)).alias("prefixes"))
     return simulate.plan_gates(steps, routes, hops)
 
 
 @query("""SELECT doc_id, text_key, CASE WHEN text_key = 'api_key' THEN '[REDACTED]' WHEN text_key = 'content' THEN '{"length":' || length(v) || ',"sha256":"' || sha256(v) || '"}' ELSE regexp_replace(v, '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g') END AS redacted
-    FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'api_key' WHEN 1 THEN 'content' ELSE 'note' END AS text_key, 'Bearer abc.' || doc_id || ' ' || substr(text, 1, 50) AS v FROM documents)""")
+    FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'api_key' WHEN 1 THEN 'content' ELSE 'note' END AS text_key, 'Bearer abc.' || doc_id || ' ' || text AS v FROM documents)""")
 def redaction(spark, d):
     k = F.col("doc_id")
-    rows = _read(spark, d, "documents").select("doc_id", F.when(k % 3 == 0, "api_key").when(k % 3 == 1, "content").otherwise("note").alias("text_key"), F.concat(F.lit("Bearer abc."), k, F.lit(" "), F.substring("text", 1, 50)).alias("v"))
+    rows = _read(spark, d, "documents").select("doc_id", F.when(k % 3 == 0, "api_key").when(k % 3 == 1, "content").otherwise("note").alias("text_key"), F.concat(F.lit("Bearer abc."), k, F.lit(" "), F.col("text")).alias("v"))
     return rows.select("doc_id", "text_key", ft.redact(F.col("text_key"), F.col("v")).alias("redacted"))
 
 
@@ -605,7 +614,7 @@ def context_roles(spark, d):
 @query()
 def numbered_sections(spark, d):
     text = F.regexp_replace(F.concat(F.lit("\n"), F.col("text")), "\n", "\n1. ")
-    got = steps.with_sections(_read(spark, d, "documents").select("doc_id", F.substring(text, 2, 1_000_000).alias("operation")))
+    got = steps.with_sections(_read(spark, d, "documents").select("doc_id", F.substring(text, F.lit(2), F.length(text)).alias("operation")))
     return got.select("doc_id", "section_no", "label", F.sha2("title", 256).alias("title_sha256"), "content_length", "is_noop", "is_actionable")
 
 

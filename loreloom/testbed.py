@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations embeddings".split()
 
 #: Documents as knowledge cards.
-CARDS = """SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(text, 81, 400) AS summary, lang AS scenario, source AS object_name,
+CARDS = """SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(text, 81) AS summary, lang AS scenario, source AS object_name,
     CASE doc_id % 4 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'PENDING_REVIEW' WHEN 2 THEN 'DRAFT' ELSE 'REJECTED' END AS status,
     CASE doc_id % 11 WHEN 0 THEN 'SKIPPED' WHEN 1 THEN NULL ELSE 'INDEXED' END AS publish_status,
     CASE doc_id % 13 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS retrieval_enabled, n_chars FROM documents"""
