@@ -8,7 +8,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from ipaddress import ip_address
 from itertools import compress
+from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
@@ -223,3 +225,36 @@ def ground_udf(source: pd.Series, quote: pd.Series) -> pd.DataFrame:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp likeness with the popular-character rule, as deduplication uses it."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+
+@vectorized("string")
+def hostname(value: pd.Series) -> pd.Series:
+    """A host as it compares: IP addresses compressed, names lower-cased without port and closing dot; '' if it is none."""
+    return value.map(lambda v: _host(v or ""))
+
+
+def _host(raw: str) -> str:
+    raw = raw.strip()
+    if not raw or set(raw) & set("@/\\"):
+        return ""
+    try:
+        name = raw if _address(raw) else (urlsplit(f"//{raw}").hostname or "").rstrip(".").lower()
+    except ValueError:
+        return ""
+    return _address(name) or name
+
+
+def _address(text: str) -> str | None:
+    try:
+        return ip_address(text).compressed.lower()
+    except ValueError:
+        return None
+
+
+def truncated(value: Column, most: int) -> Column:
+    """struct<text, cut, original_bytes>: a text of more than so many UTF-8 bytes is cut at the last whole character within."""
+    data = F.encode(value, "UTF-8")
+    ends = F.array(*(F.substring(data, 1, max(0, most - k)) for k in range(4)))
+    whole = F.get(F.filter(F.transform(ends, lambda b: b.cast("string")), lambda t: F.is_valid_utf8(t)), F.lit(0))
+    over = F.octet_length(value) > most
+    return F.struct(F.when(over, whole).otherwise(value).alias("text"), over.alias("cut"), F.octet_length(value).alias("original_bytes"))

@@ -630,3 +630,6 @@ def record_view_pairs(spark, d):
     wrong = a.filter("doc_id % 4 <> 0").withColumn("hashes", other).withColumn("pointer", F.lit("/wrong"))
     got = steps.paired_views(flat, same.unionByName(twice.filter("doc_id % 4 <> 0")).unionByName(wrong))
     return got
+
+
+from . import desk  # noqa: E402,F401  adds its queries

@@ -90,3 +90,18 @@ def test_times(spark):
     assert (got["normalized"], got["iso8601"]) == ("2026-08-04 00:00:00", "2026-08-03T16:00:00Z")
     assert one(spark, "1785772800", M.normalized)["iso8601"] == "2026-08-03T16:00:00Z" and one(spark, "later", M.normalized)["iso8601"] is None
     assert one(spark, "ﬁ", X.nfkc_fold) == unicodedata.normalize("NFKC", "ﬁ")
+
+
+@pytest.mark.parametrize("host, want", [("Example.COM.:8080", "example.com"), ("2001:DB8:0:0::1", "2001:db8::1"), ("[2001:db8::1]:443", "2001:db8::1"), ("10.0.0.1", "10.0.0.1"), ("u@h", ""), ("h/p", ""), ("  ", ""), (None, "")])
+def test_hostname(spark, host, want):
+    assert one(spark, host, X.hostname) == want
+
+
+def test_truncated_at_whole_characters(spark):
+    rows = spark.createDataFrame([("é" * 10,), ("ab",), ("a" + "日" * 9,), (None,)], "t string").select(X.truncated(F.col("t"), 6).alias("r")).collect()
+    assert [(r.r.text, r.r.cut, r.r.original_bytes) for r in rows] == [("ééé", True, 20), ("ab", False, 2), ("a日", True, 28), (None, None, None)]
+
+
+def test_numbered_markup_and_raw_elements():
+    got = X.rich_text("<ul><li>a</li><li>b <!-- <p> --> c</li></ul><script>if (a<b) x('</p>')</script>")
+    assert got["text"] == "a\n\nb c\nif (a<b) x('</p>')"

@@ -126,3 +126,32 @@ def test_sections_titles_and_roles(spark):
     assert [r.t for r in t.select(steps.phase_title(F.col("p"), F.col("n"), F.col("o")).alias("t")).collect()] == ["回退：恢复超时原值", "回退：恢复已删除的路由", "实施：修改超时", "步骤：未命名步骤"]
     split = steps.should_split(spark.createDataFrame([(1, "x" * 6000, True)] * 5 + [(2, "x", True)] * 5, "id int, operation string, is_self_contained boolean"), ["id"]).collect()
     assert {r.id: r.split for r in split} == {1: True, 2: False}
+
+
+def test_containing_meets_parts_of_every_length(spark):
+    from loreloom.operators import joins, matching
+
+    texts = ["", "a", "ab", "abc", "the cat sat on the mat", "concatenate"]
+    parts = ["a", "at", "cat", "e cat s", "zz", "mat"]
+    got = joins.containing(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame([(p,) for p in parts], "p string"), "t", "p").collect()
+    assert sorted(map(tuple, got)) == sorted((t, p) for t in texts for p in parts if p in t)
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "one  two three four five six"), (3, "short bit here"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "ne two three four five si"), (3, "bit")], "item_id long, quote string")
+    assert sorted(map(tuple, matching.contained(docs, items).collect())) == [(1, 1, 2), (1, 2, 3), (3, 3, 6)]
+
+
+def test_chain_carries_its_tip_over_batches(spark):
+    from loreloom.operators import audit
+
+    rows = spark.range(5000).selectExpr("id % 2 AS k", "id AS n", "CASE WHEN id % 7 <> 0 THEN concat('b', id) END AS body", "'t' AS tip")
+    got = audit.chain(rows, "k", "n", "body", tip="tip")
+    assert audit.verify(got, "k", "n", "body").filter("NOT valid").select("n").orderBy("n").collect() == [(0,), (1,)]  # they follow the tip
+    assert audit.verify(audit.chain(rows, "k", "n", "body"), "k", "n", "body").filter("NOT valid").count() == 0
+
+
+def test_equal_sets_are_pairs_with_their_first(spark):
+    from loreloom.operators import matching
+
+    words = [f"w{i}" for i in range(20)]
+    items = spark.createDataFrame([(1, words), (2, words), (3, words[::-1]), (4, [*words, "x"]), (5, ["y"]), (6, [])], "id long, terms array<string>")
+    assert sorted(map(tuple, matching.near_duplicate_pairs(items).collect())) == [(1, 2, 1.0), (1, 3, 1.0), (1, 4, 20 / 21)]
