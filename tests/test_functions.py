@@ -104,4 +104,4 @@ def test_truncated_at_whole_characters(spark):
 
 def test_numbered_markup_and_raw_elements():
     got = X.rich_text("<ul><li>a</li><li>b <!-- <p> --> c</li></ul><script>if (a<b) x('</p>')</script>")
-    assert got["text"] == "a\n\nb c\nif (a<b) x('</p>')"
+    assert got["text"] == "a\nb c\nif (a<b) x('</p>')"
