@@ -38,7 +38,7 @@ def chain(records: DataFrame, key: str, order: str, body: str, tip: str | None =
                 after.append(previous)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names)
 
-    return ordered.mapInArrow(run, T.StructType(records.schema.fields).add("previous_hash", "string").add("record_hash", "string"))
+    return ordered.mapInArrow(run, T.StructType([*records.schema.fields]).add("previous_hash", "string").add("record_hash", "string"))
 
 
 def verify(chained: DataFrame, key: str, order: str, body: str) -> DataFrame:
