@@ -9,7 +9,7 @@ from .. import testbed as tb
 from ..functions import json as fj
 from ..functions import text as ft
 from ..functions import time as fm
-from ..operators import governance, memory, records, tickets, views
+from ..operators import adapter, governance, memory, records, tickets, views
 from .catalogue import ORACLES, _cards, _read, query
 
 _CARD = "l_orderkey * 10 + l_linenumber"
@@ -379,3 +379,31 @@ def pointer_algebra(spark, d):
     base = F.concat(F.lit("/data/"), F.col("l_orderkey"), F.lit("/"), fj.escape_pointer(F.lit("a/b")), F.lit("/"))
     rows = _read(spark, d, "lineitem").select(_card_id().alias("id"), F.concat(base, F.col("l_linenumber")).alias("pointer"), F.concat(base, F.lit("1")).alias("other"))
     return rows.select("id", "pointer", F.array_join(fj.pointer_parts(F.col("pointer")), "|").alias("parts"), fj.common_depth(F.col("pointer"), F.col("other")).alias("common"))
+
+
+# Orders as change records: an id, a status, a step for each line, and a note.
+_RECORD = """SELECT o_orderkey AS doc_id, '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","steps":[' || steps || '],"note":"' || o_orderpriority || '"}' AS text, steps, n, o_orderkey, o_orderstatus, o_orderpriority FROM orders
+    JOIN (SELECT l_orderkey, {joined} AS steps, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+_RECORD_DUCK = _RECORD.replace("{joined}", """string_agg('{"n":' || l_linenumber || '}', ',' ORDER BY l_linenumber)""")
+_RECORD_SPARK = _RECORD.replace("{joined}", """array_join(transform(sort_array(collect_list(l_linenumber)), x -> '{"n":' || x || '}'), ',')""")
+
+
+def _plan(spark, d):
+    docs = tb.frame(spark, d, _RECORD_SPARK, "orders", "lineitem")
+    roots = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")).select("doc_id", F.concat(F.lit("/steps/"), "i").alias("pointer"))
+    return docs, adapter.plan(docs, roots, 25)
+
+
+@query(f"""WITH r AS ({_RECORD_DUCK}), a AS (SELECT doc_id, length(CAST(doc_id AS VARCHAR)) AS w, n, length(text) AS len, length(o_orderpriority) AS p FROM r),
+    u AS (SELECT doc_id, 'CONTEXT' AS role, 6 AS s, 6 + w + 13 AS e, '/id,/status' AS pointers FROM a WHERE w + 13 <= 25
+      UNION ALL SELECT doc_id, 'PROCEDURE_STEP', 6 + w + 13 + 10 + 8 * i, 6 + w + 13 + 10 + 8 * i + 7, '/steps/' || i FROM a, unnest(range(n)) AS t(i)
+      UNION ALL SELECT doc_id, 'CONTEXT', len - p - 3, len - 1, '/note' FROM a)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS unit_index, role, s AS start, e AS "end", pointers FROM u""")
+def extraction_plan(spark, d):
+    return _plan(spark, d)[1].select("doc_id", "unit_index", "role", "start", "end", F.array_join("pointers", ",").alias("pointers"))
+
+
+@query(f"SELECT doc_id, n AS steps, 2 AS context_units, round((length(CAST(doc_id AS VARCHAR)) + 13 + 7 * n + length(o_orderpriority) + 2) / length(text), 4) AS covered, true AS safe FROM ({_RECORD_DUCK})")
+def extraction_report(spark, d):
+    docs, planned = _plan(spark, d)
+    return adapter.plan_report(planned, docs)

@@ -155,3 +155,18 @@ def test_equal_sets_are_pairs_with_their_first(spark):
     words = [f"w{i}" for i in range(20)]
     items = spark.createDataFrame([(1, words), (2, words), (3, words[::-1]), (4, [*words, "x"]), (5, ["y"]), (6, [])], "id long, terms array<string>")
     assert sorted(map(tuple, matching.near_duplicate_pairs(items).collect())) == [(1, 2, 1.0), (1, 3, 1.0), (1, 4, 20 / 21)]
+
+
+def test_context_groups_and_units(spark):
+    from loreloom.operators import adapter
+
+    text = '{"a": 1, "b": {"c": 2, "steps": [{"x": 1}, {"x": 2}], "d": "' + "long " * 12 + '", "e": 3}, "f": 4}'
+    docs = spark.createDataFrame([(1, text), (2, "[1, 2]"), (3, "{bad"), (4, None)], "doc_id long, text string")
+    roots = spark.createDataFrame([(1, "/b/steps/0"), (1, "/b/steps/1")], "doc_id long, pointer string")
+    groups = {(r.doc_id, r.parent, r.pointer): r.group for r in adapter.context_groups(adapter.nodes(docs), roots).collect()}
+    assert groups == {(1, "", "/a"): 0, (1, "", "/f"): 1, (1, "/b", "/b/c"): 0, (1, "/b", "/b/d"): 1, (1, "/b", "/b/e"): 1, (2, None, ""): 0}
+    got = adapter.plan(docs, roots, 40).orderBy("doc_id", "unit_index").collect()
+    assert [(r.doc_id, r.role[:4], r.pointers) for r in got] == [(1, "CONT", ["/a"]), (1, "CONT", ["/b/c"]), (1, "PROC", ["/b/steps/0"]), (1, "PROC", ["/b/steps/1"]), (1, "CONT", ["/b/d"]), (1, "CONT", ["/b/d"]), (1, "CONT", ["/b/e"]), (1, "CONT", ["/f"]), (2, "CONT", [""])]
+    assert all(r.role == "PROCEDURE_STEP" or r.end - r.start <= 40 for r in got) and text[got[2].start : got[2].end] == '{"x": 1}'
+    report = {r.doc_id: (r.steps, r.context_units, r.safe) for r in adapter.plan_report(adapter.plan(docs, roots, 40), docs).collect()}
+    assert report == {1: (2, 6, True), 2: (0, 1, False), 3: (0, 0, False), 4: (0, 0, False)}
