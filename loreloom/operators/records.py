@@ -24,8 +24,10 @@ def relationship_signature(cards: DataFrame, text: str = "operation") -> DataFra
     """cards with targets, transition (from, to) and expected values of their text."""
     t = F.coalesce(F.col(text), F.lit(""))
     every = lambda pattern: F.array_sort(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), ascii_identity), lambda x: x != "")))
-    old, new = (ascii_identity(F.regexp_extract(t, TRANSITION, k)) for k in (1, 2))
-    return cards.withColumn("targets", every(RELATION_TARGET)).withColumn("from_value", F.nullif(old, F.lit(""))).withColumn("to_value", F.nullif(new, F.lit(""))).withColumn("expected_values", every(EXPECTED_VALUE))
+    # The text is searched once; both values come from the match, which is short.
+    found = cards.withColumn("_transition", F.when(F.rlike(t, F.lit("->|→|到")), F.regexp_extract(t, TRANSITION, 0)))
+    old, new = (F.nullif(ascii_identity(F.regexp_extract("_transition", TRANSITION, k)), F.lit("")) for k in (1, 2))
+    return found.withColumns({"targets": every(RELATION_TARGET), "from_value": old, "to_value": new, "expected_values": every(EXPECTED_VALUE)}).drop("_transition")
 
 
 def relationships(signed: DataFrame, key: str = "case_id") -> DataFrame:
@@ -34,12 +36,14 @@ def relationships(signed: DataFrame, key: str = "case_id") -> DataFrame:
     A validation that expects what an implementation sets VALIDATES it, a rollback that reverses its transition is
     ROLLBACK_OF it. Both are equi-joins on case, target and value; each step is read for its own phase only.
     """
-    def of(phase: str, *more):
-        return signed.filter(F.col("phase") == phase).select(key, "unit_id", "from_value", "to_value", *more, F.explode("targets").alias("target"))
+    def of(phase: str, *fields: str) -> DataFrame:
+        # The fields go through the generator, so that no filter on them is computed from the text once more.
+        rows = F.transform("targets", lambda x: F.struct(x.alias("target"), *fields))
+        return signed.filter(F.col("phase") == phase).select(key, "unit_id", F.inline(rows))
 
-    done = of("IMPLEMENTATION").filter("to_value IS NOT NULL").select(key, "target", F.col("unit_id").alias("target_unit_id"), F.col("from_value").alias("done_from"), F.col("to_value").alias("done_to"))
+    done = of("IMPLEMENTATION", "from_value", "to_value").select(key, "target", F.col("unit_id").alias("target_unit_id"), F.col("from_value").alias("done_from"), F.col("to_value").alias("done_to")).filter("done_to IS NOT NULL")
     checks = of("VALIDATION", "expected_values").select(key, "target", "unit_id", F.explode("expected_values").alias("done_to"))
-    undone = of("ROLLBACK").select(key, "target", "unit_id", F.col("from_value").alias("done_to"), F.col("to_value").alias("done_from"))
+    undone = of("ROLLBACK", "from_value", "to_value").select(key, "target", "unit_id", F.col("from_value").alias("done_to"), F.col("to_value").alias("done_from"))
     found = checks.join(done, [key, "target", "done_to"]).withColumn("relation_type", F.lit("VALIDATES")).drop("done_from")
     found = found.unionByName(undone.join(done, [key, "target", "done_to", "done_from"]).withColumn("relation_type", F.lit("ROLLBACK_OF")).drop("done_from"))
     return found.filter("unit_id != target_unit_id").select(key, F.col("unit_id").alias("source_unit_id"), "target_unit_id", "relation_type").distinct()
