@@ -22,7 +22,7 @@ left out of the list; item_ids are compared as strings; other columns are kept b
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +65,9 @@ class TestSuffixes:
         self.windows = sorted(at)
         self.items = [at[w] for w in self.windows]
         self.order = _sorted_suffixes(np.array(every, dtype=np.int64))
+        self.names = sorted(set(self.item_of), key=_name_order)
+        place = {name: i for i, name in enumerate(self.names)}
+        self.ranks = np.array([place[name] for name in self.item_of], dtype=np.int64)[self.order]
         self.words = np.array(every, dtype=">u4").tobytes()
         self.lengths = np.array([len(w) for w in self.windows], dtype=np.int64)
         self.depth = int(self.lengths.max(initial=1))
@@ -77,17 +80,22 @@ class TestSuffixes:
 
 
     def longest(self, words: bytes) -> tuple[int, str | None]:
-        """Length of the longest start of words (4 bytes each) that a test text holds, and the item of the first suffix with it."""
+        """Length of the longest start of words (4 bytes each) that a test text holds, and the first of the items that hold it."""
 
-        def first(part: bytes) -> int:
-            return bisect_left(self.order, part, key=lambda t: self.words[4 * int(t) : 4 * int(t) + len(part)])
+        def first(part: bytes, search=bisect_left) -> int:
+            return search(self.order, part, key=lambda t: self.words[4 * int(t) : 4 * int(t) + len(part)])
 
         at, best = first(words), 0
         for t in self.order[max(at - 1, 0) : at + 1].tolist():
             other = self.words[4 * t : 4 * t + len(words)]
             differ = np.flatnonzero(np.frombuffer(words[: len(other)], ">u4") != np.frombuffer(other, ">u4"))
             best = max(best, int(differ[0]) if differ.size else len(other) // 4)
-        return best, self.item_of[int(self.order[first(words[: 4 * best])])] if best else None
+        part = words[: 4 * best]
+        return best, self.names[int(self.ranks[first(part) : first(part, bisect_right)].min())] if best else None
+
+
+def _name_order(name: str | None) -> tuple[bool, str]:
+    return name is None, name or ""
 
 
 def _sorted_suffixes(words: np.ndarray) -> np.ndarray:
@@ -160,12 +168,14 @@ def scan_shard(texts: list[bytes | None], blocks) -> list[tuple]:
         ends = _run_ends(places, reach)
         held = words.astype(">u4").tobytes()
         for p, stop, d in zip(places.tolist(), ends.tolist(), (np.searchsorted(starts, places, "right") - 1).tolist()):
-            if stop - p > longest[d][0]:
+            best, at, _ = longest[d]
+            at_here = p - int(starts[d])
+            if stop - p > best or (stop - p == best and at_here <= at):
                 n, item = tests.longest(held[4 * p : 4 * stop])
                 if n < tests.window:  # only whole items are that short
-                    n, item = int(reach[p]) - p, min(tests.items[which[p]], key=str)
-                if n > longest[d][0]:
-                    longest[d] = (n, p - int(starts[d]), item)
+                    n, item = int(reach[p]) - p, min(tests.items[which[p]], key=_name_order)
+                if (-n, at_here, _name_order(item)) < (-best, at, _name_order(longest[d][2])):
+                    longest[d] = (n, at_here, item)
     hit = np.r_[0, np.cumsum(np.cumsum(change[:-1]) > 0)]
     hits = hit[starts[1:] - 1] - hit[starts[:-1]]
     return [(int(c), int(h), ids, *best) for c, h, ids, best in zip(counts, hits, items, longest)]
@@ -251,3 +261,21 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
         return batch.filter(pa.array([x[1] == 0 for x in done], pa.bool_()))
 
     return _scanned(docs, benchmark, window, make, docs.schema)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The rows of report for DuckDB. A longest match is the longest stretch of windows of one item that follow one another.
+ORACLE = rf"""
+WITH i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+t AS (SELECT row_number() OVER () AS no, item, w, least(len(w), 10) AS k FROM i WHERE len(w) > 0),
+v AS (SELECT no, item, k, p, array_to_string(w[p + 1 : p + k], ' ') AS x FROM t, unnest(range(len(w) - k + 1)) AS r(p)),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+y AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS x FROM d, (SELECT DISTINCT k FROM v), unnest(range(len(w) - k + 1)) AS r(p) WHERE len(w) >= k),
+m AS (SELECT doc_id, no, item, k, y.p AS p, v.p AS q FROM y JOIN v USING (k, x)),
+h AS (SELECT doc_id, count(DISTINCT z) AS n_hit FROM (SELECT DISTINCT doc_id, k, p FROM m), unnest(range(p, p + k)) AS r(z) GROUP BY doc_id),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, no, p - q ORDER BY p) AS run FROM m),
+l AS (SELECT doc_id, item, min(p) AS place, max(p) - min(p) + k AS n FROM g GROUP BY doc_id, no, item, k, p - q, run),
+b AS (SELECT doc_id, min((-n, place, item IS NULL, item)) AS best, count(DISTINCT coalesce(item, chr(1))) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM l GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+    coalesce(-best[1], 0)::BIGINT AS longest_match, best[2]::BIGINT AS longest_at, best[4] AS longest_item FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id
+"""

@@ -58,4 +58,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_mix": op10_mix,
 }
-ORACLES = {"op5_preferences": preferences.ORACLE, "op9_warc": warc.ORACLE, "op10_mix": mixing.ORACLE}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_preferences": preferences.ORACLE, "op9_warc": warc.ORACLE, "op10_mix": mixing.ORACLE}

@@ -95,3 +95,19 @@ def test_a_passage_of_many_items_in_a_very_long_text():
     text = " ".join([passage, "filler words between"] * 3000).encode()
     (n_words, n_hit, ids, longest, at, _), = D.scan_shard([text], [D.TestSuffixes(items, 10)])
     assert (n_words, n_hit, len(ids), longest, at) == (43 * 3000, 40 * 3000, 2000, 40, 0)
+
+
+def test_report_equals_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    r = random.Random(12)
+    item = lambda n: " ".join(r.choice("abcdE") for _ in range(n))
+    items = [(i, item(r.choice([3, 9, 10, 14, 25]))) for i in range(12)] + [(None, item(12)), (None, item(5)), (3, item(11)), (50, None), (51, "...")]
+    items += [(60, items[4][1]), (7, items[4][1])]
+    docs = [(i, " ".join([item(r.randint(0, 9)), (r.choice(items)[1] or "")[: r.randint(0, 60)], item(4), r.choice(items)[1] or ""])) for i in range(60)] + [(100, None), (101, "")]
+    got = D.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    documents = pa.table({"doc_id": [d[0] for d in docs], "text": [d[1] for d in docs]})  # noqa: F841
+    benchmark = pa.table({"item_id": pa.array([i[0] for i in items], pa.int64()), "text": [i[1] for i in items]})  # noqa: F841
+    rel = duckdb.connect().sql(D.ORACLE)
+    assert rel.columns == got.columns and sorted(rel.fetchall()) == sorted(map(tuple, got.collect()))
