@@ -73,12 +73,16 @@ def reuse(cards: DataFrame, least: float = 0.92) -> DataFrame:
             found = by_print.get(r.fingerprint)
             like = 1.0 if found is not None else 0.0
             if found is None:
-                matcher = SequenceMatcher()
+                matcher = None  # reads this card's text once, when the first length comes near
                 for c in canonical:
                     if r.parent_id is not None and c.parent_id == r.parent_id:
                         continue
-                    matcher.set_seqs(c.text, r.text)
-                    if min(matcher.real_quick_ratio(), matcher.quick_ratio()) < max(least, like):
+                    lengths = len(c.text), len(r.text)
+                    if 2 * min(lengths) < max(least, like) * sum(lengths):
+                        continue
+                    matcher = matcher or SequenceMatcher(None, "", r.text)
+                    matcher.set_seq1(c.text)
+                    if matcher.quick_ratio() < max(least, like):
                         continue
                     if (ratio := matcher.ratio()) >= least and ratio > like:
                         found, like = c, ratio

@@ -9,7 +9,7 @@ from .. import testbed as tb
 from ..functions import json as fj
 from ..functions import text as ft
 from ..functions import time as fm
-from ..operators import adapter, governance, memory, records, tickets, views
+from ..operators import adapter, cards, governance, memory, records, tickets, views
 from .catalogue import ORACLES, _cards, _read, query
 
 _CARD = "l_orderkey * 10 + l_linenumber"
@@ -407,3 +407,51 @@ def extraction_plan(spark, d):
 def extraction_report(spark, d):
     docs, planned = _plan(spark, d)
     return adapter.plan_report(planned, docs)
+
+
+# Order lines as steps: what is set, checked, undone, repeated, empty, of an equal title, and long with six sections.
+_STEPS = """SELECT DISTINCT l_orderkey AS case_id, l_linenumber AS position, CASE l_linenumber WHEN 2 THEN 'VALIDATION' WHEN 3 THEN 'ROLLBACK' WHEN 4 THEN 'PRECHECK' WHEN 6 THEN 'ROLLBACK' ELSE 'IMPLEMENTATION' END AS phase,
+    CASE l_linenumber WHEN 1 THEN 'set it' WHEN 2 THEN 'see it' WHEN 3 THEN 'same' WHEN 4 THEN 'again' WHEN 5 THEN ' ' WHEN 6 THEN 'same' ELSE 'long' END AS name,
+    CASE l_linenumber WHEN 1 THEN 'set parameter max_conn 10 -> 20' WHEN 2 THEN 'check parameter max_conn == 20' WHEN 3 THEN 'restore parameter max_conn 20 -> 10' WHEN 4 THEN 'Set parameter max_conn 10 -> 20!' WHEN 5 THEN '' WHEN 6 THEN 'export the list of hosts before it'
+      ELSE """ + " || chr(10) || ".join(f"'{k}. part {k}' || chr(10) || 'check ' || repeat('{c}', 130)" for k, c in enumerate("abcde", 1)) + """ || chr(10) || '6. rest' || chr(10) || '无影响' END AS operation FROM lineitem"""
+
+
+def _built(spark, d):
+    source = tb.frame(spark, d, _STEPS, "lineitem")
+    return source, cards.canonical_cards(cards.step_cards(source, long_chars=600, child_chars=100))
+
+
+def _facts(spark, d):
+    o, k = _read(spark, d, "orders"), F.col("o_orderkey")
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    fields = F.array(pair("title", F.when(k % 4 == 0, " ").otherwise(F.col("o_orderpriority"))), pair("ticket_id", F.when(k % 2 == 0, F.concat(F.lit("T"), k))), pair("region", F.lit("r1")))
+    results = F.array(pair("status", F.lit("done")), pair("verified_note", F.when(k % 5 == 0, "seen")), pair("change_result", F.lit(" ")))
+    contexts = o.filter(k % 3 != 0).select(k.alias("case_id"), F.inline(fields))
+    return cards.context_cards(contexts), cards.outcome_cards(o.filter("o_orderstatus = 'F'").select(k.alias("case_id"), F.inline(results)))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS n FROM lineitem WHERE l_linenumber <> 5), g AS (SELECT c, bool_or(n = 1) AS one, bool_or(n = 3) AND bool_or(n = 6) AS twice FROM l GROUP BY c),
+    s AS (SELECT l.*, unnest(CASE WHEN n = 7 THEN [-1, 0, 1, 2, 3, 4] ELSE [-1] END) AS section FROM l)
+    SELECT c AS case_id, n AS position, section, CASE n WHEN 1 THEN '实施：set it' WHEN 2 THEN '验证：see it' WHEN 4 THEN '前检：again' WHEN 7 THEN '实施：long' || CASE WHEN section >= 0 THEN ' · part ' || (section + 1) ELSE '' END
+      ELSE '回退：same' || CASE WHEN NOT twice THEN '' WHEN n = 3 THEN ' · parametermaxconn' ELSE ' · export the list of hosts bef' END END AS title,
+      CASE WHEN n = 7 AND section < 0 THEN 'CONTAINER' ELSE 'INDEXED' END AS publish_status, n = 4 AND one AS reused, section >= 0 AS child FROM s JOIN g USING (c)""")
+def step_card_build(spark, d):
+    got = _built(spark, d)[1]
+    return got.select("case_id", "position", "section", "title", "publish_status", (F.col("canonical_id") != F.col("unit_id")).alias("reused"), F.col("parent_unit_id").isNotNull().alias("child"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS n FROM lineitem), g AS (SELECT c, count(*) AS k, count(*) FILTER (WHERE n = 5) AS p5, count(*) FILTER (WHERE n = 7) AS p7, count(*) FILTER (WHERE n = 1) AS p1,
+      count(*) FILTER (WHERE n = 2) AS p2, count(*) FILTER (WHERE n = 3) AS p3, count(*) FILTER (WHERE n = 4) AS p4 FROM l GROUP BY c)
+    SELECT c AS case_id, k AS source_steps, k - p5 - p4 * p1 AS parents, 5 * p7 AS children, k - p5 - p4 * p1 + 4 * p7 AS indexed, p7 AS containers, p4 * p1 AS reused, p7 AS noop_sections, 0 AS title_collisions, 0 AS parent_child_collisions,
+      p1 * p2 AS validates, p1 * p3 AS rollbacks, CASE WHEN c % 3 <> 0 THEN 1 ELSE 0 END AS contexts, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS outcomes, p5 AS skipped, round((k - p5) / k, 6) AS coverage FROM g JOIN orders ON o_orderkey = c""")
+def card_build_report(spark, d):
+    source, built = _built(spark, d)
+    return cards.build_report(source, built, *_facts(spark, d))
+
+
+@query("""SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 <> 0 THEN coalesce(nullif(concat_ws(' · ', CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN 'T' || o_orderkey END), ''), CAST(o_orderkey AS VARCHAR)) END AS title,
+    CASE WHEN o_orderkey % 3 <> 0 THEN 'EXECUTION_CONTEXT' END AS region_role, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'seen' ELSE 'done' END END AS summary FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'F'""")
+def context_outcome_cards(spark, d):
+    contexts, outcomes = _facts(spark, d)
+    both = contexts.join(outcomes.select("case_id", "summary"), "case_id", "full")
+    return both.select("case_id", "title", F.get(F.filter("context", lambda x: x["name"] == "region"), F.lit(0))["role"].alias("region_role"), "summary")

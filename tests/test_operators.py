@@ -170,3 +170,15 @@ def test_context_groups_and_units(spark):
     assert all(r.role == "PROCEDURE_STEP" or r.end - r.start <= 40 for r in got) and text[got[2].start : got[2].end] == '{"x": 1}'
     report = {r.doc_id: (r.steps, r.context_units, r.safe) for r in adapter.plan_report(adapter.plan(docs, roots, 40), docs).collect()}
     assert report == {1: (2, 6, True), 2: (0, 1, False), 3: (0, 0, False), 4: (0, 0, False)}
+
+
+def test_step_cards_edges(spark):
+    """Nulls, a missing phase, CJK texts that differ, and an empty table."""
+    from loreloom.operators import cards
+
+    rows = [(1, 0, None, None, "检查一"), (1, 1, "VALIDATION", "看", "检查二"), (1, 2, "VALIDATION", None, None), (None, 0, "ROLLBACK", "n", "")]
+    source = spark.createDataFrame(rows, "case_id int, position int, phase string, name string, operation string")
+    got = cards.canonical_cards(cards.step_cards(source).filter("case_id IS NOT NULL"))
+    assert sorted((r.position, r.title, r.canonical_id == r.unit_id) for r in got.collect()) == [(0, "步骤：步骤 1", True), (1, "验证：看", True)]
+    assert cards.step_cards(source.filter("false")).count() == 0
+    assert cards.step_cards(source).filter("case_id IS NULL").count() == 1
