@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontaminate, fingerprints, line_dedup, main_text, mixing, near_dup, preferences, sharding, toxicity, warc
+from . import decontaminate, fingerprints, line_dedup, main_text, merkle, mixing, near_dup, preferences, sharding, toxicity, vector_dedup, warc, yinyang
 
 
 def op1_shard(spark, sf_dir):
@@ -46,6 +46,18 @@ def op10_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_yinyang(spark, sf_dir):
+    return yinyang.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark, sf_dir):
+    return vector_dedup.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_main_text": op2_main_text,
@@ -57,5 +69,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_mix": op10_mix,
+    "op11_yinyang": op11_yinyang,
+    "op12_merkle": op12_merkle,
+    "op13_near_vectors": op13_near_vectors,
 }
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_preferences": preferences.ORACLE, "op9_warc": warc.ORACLE, "op10_mix": mixing.ORACLE}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op5_preferences": preferences.ORACLE, "op9_warc": warc.ORACLE, "op10_mix": mixing.ORACLE, "op11_yinyang": yinyang.ORACLE, "op12_merkle": merkle.ORACLE, "op13_near_vectors": vector_dedup.ORACLE}
