@@ -1,29 +1,34 @@
-"""Near-duplicate documents by MinHash, verified by banded alignment.
-
-Texts with equal words form one node. Its keys are the k-mer of ``K`` words that each of ``TABLES`` hash functions picks
-as the smallest (k-mers are labelled with their occurrence); for texts of at most ``MID`` words, whose few k-mers a few
-edits can destroy, also the ``2`` smallest pairs of adjacent words in text order by ``MID_TABLES`` hash functions; and
-for texts of at most ``SHORT`` words all threes among their first words in the order of a hash. Nodes with an equal key
-meet in a bucket. In buckets of at most ``ALL_PAIRS`` members all are compared; a larger one gives a pair for each
-member, with its smallest member, and is split by the keys of the next tables into parts that are treated in the same
-way. No bucket is dropped and pairs grow linearly with members. A pair is a link if its edit similarity in words,
-1 - distance / longer length, is at least ``similarity``; the distance is aligned within a band that holds all such
-alignments. Classes are the connected components of the links.
-
-Recall: scattered edits at edit similarity s leave about s^4 of the k-mers, of which two texts share j = s^4 / (2 - s^4)
-of all; they have no equal key with chance near (1 - j)^24, 1e-3 at s = 0.8. Texts of up to ``SHORT`` words always have an
-equal key if similarity is 0.75 or more: they share all but the n - ceil(similarity * n) edited words, so the three
-smallest shared ones are among the first n - ceil(similarity * n) + 3 of either. In a bucket of more than ``ALL_PAIRS``
-two members that no smaller bucket or part joins are linked only through its smallest member.
+"""Near-duplicate documents by order MinHash, verified by banded alignment.
+
+Texts with equal words form one node. Each of ``TABLES`` hash functions picks the two smallest k-mers of ``K`` words
+(labelled with their occurrence); the two in text order are a key. Texts of at most ``MID`` words, whose few k-mers a few
+edits can destroy, also get the two smallest pairs of adjacent words in text order by ``MID_TABLES`` hash functions, and
+texts of at most ``SHORT`` words all threes among their first words in the order of a hash. Nodes with an equal key meet
+in a bucket. A pair is a link if its edit similarity in words, 1 - distance / longer length, is at least ``similarity``;
+the distance is aligned within a band that holds all such alignments. Classes are the connected components of the links.
+
+Buckets of at most ``ALL_PAIRS`` members compare all pairs, larger ones first each member with the smallest. What is
+connected then needs no further comparison. Where a larger bucket still holds several components, its members are cut
+into blocks by component, and each pair of blocks is one cell: all pairs of different components whose lengths and bags
+of words allow a link are compared, each in the first bucket that both have only. The bag bound is exact: an edit changes
+two words of a bag at most, and words that share a bin only lower the difference. So no pair with an equal key is lost,
+whatever the size of its bucket, and no task holds more than two blocks.
+
+Recall: scattered edits at edit similarity s leave about s^3 of the k-mers, of which two texts share j = s^3 / (2 - s^3)
+of all; they have no equal key with chance near (1 - j^2)^40, 7e-3 at s = 0.8 and 2e-4 at 0.85. Texts of up to ``SHORT``
+words always have an equal key if similarity is 0.75 or more: they share all but the n - ceil(similarity * n) edited
+words, so the three smallest shared ones are among the first n - ceil(similarity * n) + 3 of either.
 
 Defined cases: null text is alone in its class; texts without words are in one class only if equal as bytes; texts of
-fewer than K words have one k-mer, all their words; the class id is the smallest doc_id (null only if all are); rows
-equal in doc_id and text are copies of each other; an empty table gives no rows; ``dedup`` keeps every column.
+fewer than K words have one k-mer, all their words, which then stands for both; the class id is the smallest doc_id
+(null only if all are); rows equal in doc_id and text are copies of each other; an empty table gives no rows; ``dedup``
+keeps every column.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -32,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, fresh, salted_join, small_batches, utf8, words_of
+from .common import Table, fresh, list_rows, salted_join, small_batches, utf8, words_of
 
-K, TABLES, MEMO, HASHED = 4, 24, 50_000, 1 << 18
+K, TABLES, MEMO, HASHED = 3, 40, 50_000, 1 << 18
 MID, MID_TABLES, SHORT, ALL_PAIRS = 125, 16, 24, 16
+BLOCK, BINS = 256, 1024
 _MIX = np.random.default_rng(20260101)
 _XOR = _MIX.integers(0, 2**64, TABLES + MID_TABLES, dtype=np.uint64)
 _ODD = _MIX.integers(0, 2**64, TABLES + MID_TABLES, dtype=np.uint64) | np.uint64(1)
@@ -73,29 +79,32 @@ def _kmers(w: np.ndarray, k: int) -> np.ndarray:
     return _mixed(kmer)
 
 
-def _least(x: np.ndarray, tables: slice, k: int) -> list[np.ndarray]:
-    """The places of the k smallest numbers of x in the order of each table's hash; at most about HASHED hashes at once."""
-    xor, odd = _XOR[tables], _ODD[tables]
-    out, step = [[] for _ in range(k)], max(1, HASHED // len(x))
+def _two_least(x: np.ndarray, tables: slice) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the two smallest of x in the order of each table's hash, in text order; about HASHED hashes at once."""
+    x = (x >> np.uint64(32)).astype(np.uint32)
+    xor, odd = _XOR[tables].astype(np.uint32), _ODD[tables].astype(np.uint32)
+    out, step = [], max(1, HASHED // len(x))
     for t in range(0, len(xor), step):
         h = (x[None, :] ^ xor[t : t + step, None]) * odd[t : t + step, None]
-        h ^= h >> np.uint64(32)
-        for place in out:
-            place.append(h.argmin(axis=1))
-            h[np.arange(len(h)), place[-1]] = np.uint64(2**64 - 1)
-    return [np.concatenate(p) for p in out]
+        rows, one = np.arange(len(h)), h.argmin(axis=1)
+        h[rows, one] = np.uint32(2**32 - 1)
+        out.append(np.stack([one, h.argmin(axis=1) if len(x) > 1 else one]))
+    both = np.concatenate(out, axis=1)
+    return both.min(axis=0), both.max(axis=0)
+
+
+def _ordered(kmer: np.ndarray, tables: slice) -> np.ndarray:
+    """A key for each table: the two smallest k-mers in text order."""
+    first, second = _two_least(kmer, tables)
+    return _mixed(_mixed(kmer[first] + _XOR[tables]) * np.uint64(3) + kmer[second])
 
 
 def sketch(words: list[bytes], hashes: _WordHash, similarity: float = 0.8) -> np.ndarray:
-    """The keys of a text: TABLES of one k-mer, MID_TABLES of two word pairs, and those of three words."""
+    """The keys of a text: TABLES of two k-mers, MID_TABLES of two word pairs, and those of three words."""
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    kmer = _kmers(w, K)
-    keys = [_mixed(kmer[_least(kmer, slice(0, TABLES), 1)[0]] + _XOR[:TABLES])]
+    keys = [_ordered(_kmers(w, K), slice(0, TABLES))]
     if len(w) <= MID:
-        pair = _kmers(w, 2)
-        first, second = _least(pair, slice(TABLES, None), 2)
-        a, b = pair[np.minimum(first, second)], pair[np.maximum(first, second)]
-        keys.append(_mixed(_mixed(a + _XOR[TABLES:]) * np.uint64(3) + b))
+        keys.append(_ordered(_kmers(w, 2), slice(TABLES, None)))
     if 3 <= len(w) <= SHORT:
         least = np.sort(_kmers(w, 1))[: int((1 - similarity) * len(w) + 1e-9) + 3]
         threes = np.array(list(combinations(least, 3)), dtype=np.uint64)
@@ -103,6 +112,12 @@ def sketch(words: list[bytes], hashes: _WordHash, similarity: float = 0.8) -> np
     return np.concatenate(keys).view(np.int64)
 
 
+def bag(words: list[bytes]) -> bytes:
+    """How many words fall into each of BINS bins, 255 at most: bags differ by no more than two for an edit."""
+    bins = np.fromiter((zlib.crc32(w) % BINS for w in words), np.int64, len(words))
+    return np.minimum(np.bincount(bins, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def banded_distance(a: list, b: list, band: int) -> int:
     """Edit distance of a and b if it is at most band, else some larger number.
 
@@ -166,49 +181,117 @@ def sketched(docs: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_hash long, node binary, n_words long, keys array<long>")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """members(bucket, id, ...) with the size and smallest id of its bucket, for buckets of two and more."""
+def met_nodes(nodes: DataFrame) -> DataFrame:
+    """(bucket, id, size, head) of nodes(id, keys): the members of each bucket of two and more, its size and smallest id."""
+    members = nodes.select("id", F.explode(F.array_distinct("keys")).alias("bucket"))
     heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("head")).filter("size > 1")
     return members.join(heads.hint("merge"), "bucket")
 
 
-def _met(met: DataFrame) -> DataFrame:
-    """Pairs (id, head) of met(bucket, id, size, head): all of a bucket of up to ALL_PAIRS members, else with its head."""
+def first_pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (id, head) with id > head: all of a bucket of up to ALL_PAIRS members, else those with its smallest."""
     few = met.filter((F.col("size") > 2) & (F.col("size") <= ALL_PAIRS)).groupBy("bucket").agg(F.collect_list("id").alias("ids"))
     each = few.select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("head"))
-    return met.filter((F.col("size") == 2) | (F.col("size") > ALL_PAIRS)).select("id", "head").unionByName(each)
-
-
-def candidates(nodes: DataFrame) -> tuple[DataFrame, list[Table]]:
-    """Distinct pairs (id, head) with id > head from nodes(id, keys), and the tables that they are read from."""
-    spread = nodes.select("id", F.posexplode("keys").alias("t", "bucket"))
-    tables = [Table(_stars(spread), "near-buckets")]
-    met = tables[0].df
-    pairs = _met(met)
-    finer = met.filter(F.col("size") > ALL_PAIRS).select("id", "t", "bucket").join(nodes.select("id", "keys").hint("merge"), "id")
-    for depth in (1, 2):
-        places = [F.when(F.col("t") < TABLES, (F.col("t") + d) % TABLES).otherwise(TABLES + (F.col("t") - TABLES + d) % MID_TABLES) for d in range(1, depth + 1)]
-        parts = finer.select("id", F.xxhash64("bucket", F.lit(depth), *[F.element_at("keys", (p + 1).cast("int")) for p in places]).alias("bucket"))
-        tables.append(Table(_stars(parts), "near-parts"))
-        pairs = pairs.unionByName(_met(tables[-1].df))
-    return pairs.filter("id > head").distinct(), tables
-
-
-def links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs (id, head) whose texts are similar. A node's text is that of its lead row."""
-    pairs, read = candidates(nodes)
-    sizes = nodes.select("id", "n_words")
-    pairs = pairs.join(sizes, "id").join(sizes.select(F.col("id").alias("head"), F.col("n_words").alias("head_words")), "head")
-    pairs = Table(pairs.filter(F.least("n_words", "head_words") >= F.greatest("n_words", "head_words") * similarity - 1e-9).select("id", "head"), "near-pairs").df
-    for done in read:
-        done.drop()
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("head").alias("id"))).distinct()
+    return met.filter((F.col("size") == 2) | (F.col("size") > ALL_PAIRS)).select("id", "head").unionByName(each).filter("id > head").distinct()
+
+
+def cells(large: DataFrame) -> DataFrame:
+    """(bucket, low, high, block, id) of large(bucket, id, root): the members of each two blocks that hold two components.
+
+    A component with BLOCK members or more in a bucket has blocks of its own, the others share blocks.
+    """
+    per = large.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    own = per.filter(F.col("n") >= BLOCK).select("bucket", "root", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    sums = per.groupBy("bucket").agg(F.count("*").alias("roots"), F.coalesce(F.sum(F.when(F.col("n") < BLOCK, F.col("n"))), F.lit(0)).alias("rest")).filter("roots > 1").withColumn("shared", F.ceil(F.col("rest") / BLOCK).cast("int")).drop("roots", "rest")
+    number = lambda root, part: F.xxhash64(F.coalesce(root, F.lit(-1).cast("long")), part)
+    rows = large.join(sums.hint("merge"), "bucket").join(own, ["bucket", "root"], "left")
+    alone = F.col("parts").isNotNull()
+    part = F.when(alone, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("root"), F.col("shared"))).cast("int")
+    rows = rows.withColumn("of", F.when(alone, F.col("root"))).withColumn("block", number(F.col("of"), part)).select("bucket", "id", "of", "block")
+    blocks = own.select("bucket", F.col("root").alias("other_of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.unionByName(sums.filter("shared > 0").select("bucket", F.lit(None).cast("long").alias("other_of"), F.explode(F.sequence(F.lit(0), F.col("shared") - 1)).alias("part")))
+    blocks = blocks.select("bucket", "other_of", number(F.col("other_of"), F.col("part")).alias("other"))
+    got = rows.join(blocks.hint("merge"), "bucket").filter("of IS NULL OR other_of IS NULL OR of != other_of")
+    return got.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id")
+
+
+def cell_pairs(bucket: int, low: int, high: int, block, ids, roots, lengths, keys, bags, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell that may be links: different components, lengths and bags near enough, no earlier equal key."""
+    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    width = TABLES + MID_TABLES
+    even = np.zeros((2, len(ids), width), dtype=np.int64)
+    even[1] = 1  # never equal where a text has no key
+    for i, k in enumerate(keys):
+        even[:, i, : min(len(k), width)] = k[:width]
+    longer = np.maximum(lengths[a][:, None], lengths[b][None, :])
+    band = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    open_ = (roots[a][:, None] != roots[b][None, :]) & (np.abs(lengths[a][:, None] - lengths[b][None, :]) <= band)
+    if low == high:
+        open_ &= ids[a][:, None] < ids[b][None, :]
+    found = ([], [])
+    for i in np.flatnonzero(open_.any(axis=1)).tolist():
+        j = np.flatnonzero(open_[i])
+        same = even[0, a[i]][None, :] == even[1, b[j]]
+        at = same.argmax(axis=1)
+        j = j[~same.any(axis=1) | (even[0, a[i]][at] == bucket)]
+        far = np.abs(bags[b[j]] - bags[a[i]][None, :]).sum(axis=1)
+        j = j[far <= 2 * band[i, j]]
+        found[0].append(np.full(len(j), ids[a[i]]))
+        found[1].append(ids[b[j]])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *found[0]]), np.concatenate([none, *found[1]])
+
+
+def rest_pairs(met: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (id, head) of the cells met, with data(id, root, n_words, keys, bag)."""
+    rows = met.join(data, "id").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+    def run(batches):
+        held, at = [], None
+
+        def done():
+            block, ids, roots, lengths, keys, bags = zip(*held)
+            bags = np.frombuffer(b"".join(bags), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+            return cell_pairs(*at, *(np.array(c, dtype=np.int64) for c in (block, ids, roots, lengths)), keys, bags, similarity)
+
+        def pairs(got):
+            x, y = (np.concatenate(c) for c in zip(*got))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["id", "head"])
+
+        for batch in batches:
+            got = []
+            columns = [batch.column(c).to_pylist() if c != "keys" else list_rows(batch.column(c)) for c in ("bucket", "low", "high", "block", "id", "root", "n_words", "keys", "bag")]
+            for row in zip(*columns):
+                if row[:3] != at:
+                    if held:
+                        got.append(done())
+                    held, at = [], row[:3]
+                held.append(row[3:])
+            if got:
+                yield pairs(got)
+        if held:
+            yield pairs([done()])
+
+    return rows.mapInArrow(run, "id long, head long").distinct()
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the nodes in wanted(id). A node's text is that of its lead row."""
     leads = nodes.select("id", "lead.doc_id", "lead.row_hash").join(wanted, "id")
     keyed = docs.select(F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_hash"), F.col("text").cast("binary").alias("text"))
     texts = keyed.join(leads.hint("merge"), keyed["key_id"].eqNullSafe(leads["doc_id"]) & (keyed["key_hash"] == leads["row_hash"])).select("id", "text")
-    texts = Table(texts.dropDuplicates(["id"]), "near-texts").df  # rows equal in doc_id and text bring it once
+    return texts.dropDuplicates(["id"])  # rows equal in doc_id and text bring it once
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> Table:
+    """The pairs (id, head) whose texts are similar."""
+    sizes = nodes.select("id", "n_words")
+    pairs = pairs.join(sizes, "id").join(sizes.select(F.col("id").alias("head"), F.col("n_words").alias("head_words")), "head")
+    pairs = Table(pairs.filter(F.least("n_words", "head_words") >= F.greatest("n_words", "head_words") * similarity - 1e-9).select("id", "head"), "near-pairs")
+    wanted = pairs.df.select("id").unionByName(pairs.df.select(F.col("head").alias("id"))).distinct()
+    texts = Table(texts_of(docs, nodes, wanted), "near-texts")
     # A head with many near copies: its pairs are dealt, and its text goes once to each part.
-    both = salted_join(pairs.join(texts.hint("merge"), "id"), texts.select(F.col("id").alias("head"), F.col("text").alias("head_text")), ["head"], ["id"], counted=pairs).select("id", "head", "text", "head_text")
+    both = salted_join(pairs.df.join(texts.df.hint("merge"), "id"), texts.df.select(F.col("id").alias("head"), F.col("text").alias("head_text")), ["head"], ["id"], counted=pairs.df).select("id", "head", "text", "head_text")
 
     def verify(batches):
         for batch in batches:
@@ -220,13 +303,48 @@ def links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
                 ok.append(similar(words_of(a), heads[head], similarity))
             yield batch.select(["id", "head"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(verify, "id long, head long").distinct()
+    out = Table(both.mapInArrow(verify, "id long, head long").distinct(), "near-links")
+    pairs.drop()
+    texts.drop()
+    return out
+
+
+def connected(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(id, root) of the nodes that have a link."""
+    met = Table(met_nodes(nodes), "near-buckets")
+    found = verified(docs, nodes, first_pairs(met.df), similarity)
+    roots = components(found.df)
+    found.drop()
+    large = met.df.filter(F.col("size") > ALL_PAIRS).select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = Table(cells(Table(large, "near-large").df), "near-cells")
+    met.drop()
+
+    def bags(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([bag(words_of(t)) for t in batch.column("text").to_pylist()], pa.binary())], ["id", "bag"])
+
+    if split.df.limit(1).count() == 0:
+        return roots
+    wanted = split.df.select("id").distinct()
+    bagged = texts_of(docs, nodes, wanted).mapInArrow(bags, "id long, bag binary")
+    data = Table(nodes.select("id", "n_words", "keys").join(bagged, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-data")
+    rest = Table(rest_pairs(split.df, data.df, similarity), "near-rest")
+    split.drop()
+    data.drop()
+    more = verified(docs, nodes, rest.df, similarity)
+    rest.drop()
+    if more.df.limit(1).count() == 0:
+        return roots
+    top = lambda c: more.df.select("id", "head").join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    both = top("id").join(top("head"), ["id", "head"])
+    higher = components(both.select(F.col("id_root").alias("id"), F.col("head_root").alias("head")))
+    every = roots.unionByName(higher.select("id", F.col("id").alias("root")).unionByName(higher.select(F.col("root").alias("id"), "root")).distinct().join(roots, "id", "left_anti"))
+    return every.join(higher.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id of each connected component of edges (id, head); by alternating stars."""
+    """(id, root): the smallest id of each connected component of edges (id, head); by alternating stars until nothing changes."""
     now = Table(edges.filter("id != head").selectExpr("greatest(id, head) AS v", "least(id, head) AS u").distinct(), "cc")
-    seen = None
     while True:
         both = now.df.unionByName(now.df.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -234,12 +352,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").filter("u != v").distinct()
         after = Table(small, "cc")
+        same = after.df.count() == now.df.count() and after.df.join(now.df, ["v", "u"], "left_anti").limit(1).count() == 0
         now.drop()
         now = after
-        state = now.df.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003), F.countDistinct("v")).first()
-        if state[0] == state[2] and state == seen:
+        if same:  # stars: a step changed nothing
             return now.df.select(F.col("v").alias("id"), F.col("u").alias("root"))
-        seen = state
 
 
 def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +365,7 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     rows = Table(sketched(docs, similarity), "near-rows").df
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_hash")).alias("lead"), F.count("*").alias("n_rows"), F.any_value("n_words").alias("n_words"), F.any_value("keys").alias("keys"))
     nodes = Table(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes").df  # ids are fixed once written
-    roots = components(links(docs, nodes.filter("keys IS NOT NULL"), similarity))
+    roots = connected(docs, nodes.filter("keys IS NOT NULL"), similarity)
     rooted = Table(nodes.select("node", "id", "lead", "n_rows").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-rooted").df
     by_root = rooted.groupBy("root").agg(F.min("lead").alias("lead"), F.sum("n_rows").alias("class_size"))
     return rows, Table(salted_join(rooted.select("node", "root", "id"), by_root, ["root"], ["id"]).select("node", F.col("lead.doc_id").alias("class_id"), F.col("lead.row_hash").alias("lead_hash"), "class_size"), "near-classes").df
