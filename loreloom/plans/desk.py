@@ -9,7 +9,7 @@ from .. import testbed as tb
 from ..functions import json as fj
 from ..functions import text as ft
 from ..functions import time as fm
-from ..operators import adapter, cards, governance, memory, records, tickets, views
+from ..operators import adapter, cards, discovery, governance, memory, records, tickets, views
 from .catalogue import ORACLES, _cards, _read, query
 
 _CARD = "l_orderkey * 10 + l_linenumber"
@@ -391,19 +391,19 @@ _RECORD_SPARK = _RECORD.replace("{joined}", """array_join(transform(sort_array(c
 def _plan(spark, d):
     docs = tb.frame(spark, d, _RECORD_SPARK, "orders", "lineitem")
     roots = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")).select("doc_id", F.concat(F.lit("/steps/"), "i").alias("pointer"))
-    return docs, adapter.plan(docs, roots, 25)
+    return docs, adapter.plan(docs, roots, 40)
 
 
 @query(f"""WITH r AS ({_RECORD_DUCK}), a AS (SELECT doc_id, length(CAST(doc_id AS VARCHAR)) AS w, n, length(text) AS len, length(o_orderpriority) AS p FROM r),
-    u AS (SELECT doc_id, 'CONTEXT' AS role, 6 AS s, 6 + w + 13 AS e, '/id,/status' AS pointers FROM a WHERE w + 13 <= 25
+    u AS (SELECT doc_id, 'CONTEXT' AS role, 1 AS s, 6 + w + 13 AS e, '/id,/status' AS pointers FROM a WHERE w + 18 <= 40
       UNION ALL SELECT doc_id, 'PROCEDURE_STEP', 6 + w + 13 + 10 + 8 * i, 6 + w + 13 + 10 + 8 * i + 7, '/steps/' || i FROM a, unnest(range(n)) AS t(i)
-      UNION ALL SELECT doc_id, 'CONTEXT', len - p - 3, len - 1, '/note' FROM a)
+      UNION ALL SELECT doc_id, 'CONTEXT', len - p - 10, len - 1, '/note' FROM a)
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS unit_index, role, s AS start, e AS "end", pointers FROM u""")
 def extraction_plan(spark, d):
     return _plan(spark, d)[1].select("doc_id", "unit_index", "role", "start", "end", F.array_join("pointers", ",").alias("pointers"))
 
 
-@query(f"SELECT doc_id, n AS steps, 2 AS context_units, round((length(CAST(doc_id AS VARCHAR)) + 13 + 7 * n + length(o_orderpriority) + 2) / length(text), 4) AS covered, true AS safe FROM ({_RECORD_DUCK})")
+@query(f"SELECT doc_id, n AS steps, 2 AS context_units, round((length(CAST(doc_id AS VARCHAR)) + 18 + 7 * n + length(o_orderpriority) + 9) / length(text), 4) AS covered, true AS safe FROM ({_RECORD_DUCK})")
 def extraction_report(spark, d):
     docs, planned = _plan(spark, d)
     return adapter.plan_report(planned, docs)
@@ -455,3 +455,47 @@ def context_outcome_cards(spark, d):
     contexts, outcomes = _facts(spark, d)
     both = contexts.join(outcomes.select("case_id", "summary"), "case_id", "full")
     return both.select("case_id", "title", F.get(F.filter("context", lambda x: x["name"] == "region"), F.lit(0))["role"].alias("region_role"), "summary")
+
+
+# Customers as change records: their orders are the tasks, again grouped in two; some views differ, lack a part, or are
+# there twice, some have other names. The SQL counts what a record must give, without reading its JSON.
+def _tasks(name, order, changed):
+    fields = " || ".join([f"""'{{"t00":"' || o_orderkey || '","t01":"' || o_orderstatus || '","t02":"' || {changed} || '"'""", *(f"""',"t{i:02}":{"null" if i == 12 else i}'""" for i in range(3, 13)), "'}'"])
+    return f"coalesce(array_join(transform(sort_array(collect_list(CASE WHEN {name} THEN struct(o_orderkey AS k, {fields} AS x) END)), s -> s.x), ','), '')"
+
+
+_STEP = "'{' || '" + ",".join(f'"s{i:02}":"' + ("' || c_custkey || '" if i == 0 else str(i)) + '"' for i in range(20)) + "}'"
+_RESULT = '{"result":{' + ",".join(f'"r{i:02}":{i}' for i in range(14)) + ',"items":["x"]}}'
+_CHANGES = f"""WITH o AS (SELECT c_custkey, o_orderkey, o_orderstatus, max(o_orderkey) OVER (PARTITION BY c_custkey) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey),
+    t AS (SELECT c_custkey, c_custkey % 6 AS v, {_tasks("true", "o_orderkey", "'same'")} AS flat, {_tasks("o_orderkey % 2 = 0", "o_orderkey", "CASE WHEN c_custkey % 6 = 2 AND o_orderkey = last THEN 'other' ELSE 'same' END")} AS even,
+      {_tasks("o_orderkey % 2 = 1", "o_orderkey", "CASE WHEN c_custkey % 6 = 2 AND o_orderkey = last THEN 'other' ELSE 'same' END")} AS odd, {_STEP} AS step FROM o GROUP BY c_custkey)
+    SELECT c_custkey AS doc_id, '{{"code":0,"data":{{"ticket_id":"' || c_custkey || '","region":"r1","meta":{{"a":[],"b":""}},' || CASE WHEN v < 3 OR v = 4 THEN '"action_list":[' || flat || '],"change_tool_relate_action"' ELSE '"tasks":[' || flat || '],"grouped"' END
+      || ':{{"a":[' || even || '],"b":[' || odd || ']}},' || CASE WHEN v = 5 THEN '"again":[' || flat || '],' ELSE '' END || CASE WHEN v < 3 OR v = 4 THEN '"sop_change_step":{{"check_before_change":[' ELSE '"steps":{{"w":[' END || step
+      || CASE WHEN v < 3 OR v = 4 THEN '],"change_implement":[' ELSE '],"x":[' END || step || ',' || step || CASE WHEN v < 3 OR v = 4 THEN '],"change_verified":[' ELSE '],"y":[' END || step || CASE WHEN v < 3 OR v = 4 THEN '],"change_rollback":[' ELSE '],"z":[' END || step || ']}}'
+      || CASE WHEN v = 4 THEN '' ELSE ',"' || CASE WHEN v < 3 THEN 'change_plan' ELSE 'plan' END || '":[{_RESULT}]' END || '}}}}' AS text FROM t"""
+
+_CHANGES_DUCK = """o AS (SELECT c_custkey AS c, c_custkey % 6 AS v, count(o_orderkey) AS n, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS a, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS b FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+    m AS (SELECT *, n > 0 AND v <= 3 AS mapped, n - CASE WHEN v = 2 THEN 1 ELSE 0 END AS matched FROM o)"""
+
+
+def _extraction(spark, d):
+    return discovery.extraction(tb.frame(spark, d, _CHANGES, "customer", "orders").repartition("doc_id"), 100_000)
+
+
+@query(f"""WITH {_CHANGES_DUCK}, s AS (SELECT *, 9 + 13 * n + 100 + 15 + CASE WHEN v = 2 THEN 13 * n - 4 ELSE 0 END AS x FROM m)
+    SELECT c AS doc_id, CASE WHEN mapped THEN CASE WHEN v = 3 THEN 'HEURISTIC' ELSE 'CONFIRMED' END WHEN v < 3 OR v = 4 THEN 'CONFLICT' ELSE 'UNKNOWN' END AS status, mapped, n > 0 OR v <> 5 AS possible,
+      CASE WHEN mapped THEN CASE WHEN v = 3 THEN '/data/tasks' ELSE '/data/action_list' END END AS tasks, CASE WHEN mapped THEN CASE WHEN v = 3 THEN '/data/plan/0/result' ELSE '/data/change_plan/0/result' END END AS result,
+      CASE WHEN mapped THEN a || ',' || b END AS group_sizes, CASE WHEN mapped THEN n END AS flat_count, CASE WHEN mapped THEN n END AS grouped_count, CASE WHEN mapped THEN matched END AS matched, CASE WHEN mapped THEN matched = n END AS reconciled,
+      CASE WHEN mapped THEN CASE WHEN matched = n THEN '' ELSE 'VIEWS_NOT_RECONCILED' END WHEN v = 4 THEN 'MISSING /data/change_plan/0/result' WHEN v < 3 THEN 'TASKS_SHAPE,GROUPS_SHAPE' WHEN n = 0 THEN 'NO_TASK_VIEWS' ELSE 'TASK_VIEWS_AMBIGUOUS' END AS blockers,
+      CASE WHEN mapped THEN 1 END AS scalars_envelope, CASE WHEN mapped AND matched = n THEN 13 * n WHEN mapped THEN 0 END AS scalars_duplicate, CASE WHEN mapped THEN 19 + 100 + 13 * n + CASE WHEN matched = n THEN 0 ELSE 13 * n END - 1 END AS scalars_assigned,
+      CASE WHEN mapped THEN 2 * n END AS null_nodes, CASE WHEN mapped THEN 1.0 END::DOUBLE AS node_ratio, mapped AND matched = n AS safe FROM s""")
+def change_record_report(spark, d):
+    got = _extraction(spark, d)[1]
+    return got.select("doc_id", "status", "mapped", "possible", "tasks", "result", F.array_join("group_sizes", ",").alias("group_sizes"), "flat_count", "grouped_count", "matched", "reconciled", F.array_join("blockers", ",").alias("blockers"), "scalars_envelope", "scalars_duplicate", "scalars_assigned", "null_nodes", "node_ratio", "safe")
+
+
+@query(f"""WITH {_CHANGES_DUCK}, u AS (SELECT c, unnest(CASE WHEN v = 3 THEN [('TASKS_CANONICAL', 1, n), ('UNMAPPED_PROCEDURE_STEPS', 5, 5), ('EXECUTION_RESULT', 1, 15), ('IDENTITY_METADATA_CONTEXT', 1, 3)]
+      ELSE [('TASKS_CANONICAL', 1, n), ('TASKS_GROUPED_UNRECONCILED', CASE WHEN v = 2 THEN (a > 0)::INT + (b > 0)::INT ELSE 0 END, n), ('PRECHECK_STEPS', 1, 1), ('IMPLEMENTATION_STEPS', 2, 2), ('VALIDATION_STEPS', 1, 1), ('ROLLBACK_STEPS', 1, 1), ('EXECUTION_RESULT', 1, 15), ('IDENTITY_METADATA_CONTEXT', 1, 3)] END) AS r FROM m WHERE mapped)
+    SELECT c AS doc_id, r[1] AS role, r[2] AS units, r[3] AS nodes FROM u WHERE r[2] > 0""")
+def change_record_units(spark, d):
+    return _extraction(spark, d)[0].groupBy("doc_id", "role").agg(F.count("*").alias("units"), F.sum(F.size("pointers")).alias("nodes"))
