@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_identity, identity_key
+from .reuse import reuse  # noqa: F401  the fuzzy part is there
 
 
 def document_dedup(docs: DataFrame, content: str, order: str) -> DataFrame:
@@ -56,42 +54,3 @@ def cross_document(cards: DataFrame, indexed: DataFrame) -> DataFrame:
     got = cards.join(known, "fingerprint", "left")
     again = F.col("canonical_id").isNotNull()
     return got.withColumn("dedup_status", F.when(again, "DUPLICATE").otherwise("UNIQUE")).withColumn("publish_status", F.when(again, "SKIPPED").otherwise("INDEXED")).withColumn("retrieval_enabled", ~again)
-
-
-def reuse(cards: DataFrame, least: float = 0.92) -> DataFrame:
-    """(document_id, unit_id, canonical_id, similarity): sequential canonicalisation of each document's cards.
-
-    In order, a card takes the earlier canonical card of equal fingerprint, else the most similar one of at least the
-    given likeness that is no sibling (same parent), else it becomes canonical. Order matters within a document only.
-    Ratios are computed only where the cheap upper bounds (lengths, then characters in common) allow one that counts.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position", kind="stable")
-        canonical, by_print, out = [], {}, []
-        for r in pdf.itertuples():
-            found = by_print.get(r.fingerprint)
-            like = 1.0 if found is not None else 0.0
-            if found is None:
-                matcher = None  # reads this card's text once, when the first length comes near
-                for c in canonical:
-                    if r.parent_id is not None and c.parent_id == r.parent_id:
-                        continue
-                    lengths = len(c.text), len(r.text)
-                    if 2 * min(lengths) < max(least, like) * sum(lengths):
-                        continue
-                    matcher = matcher or SequenceMatcher(None, "", r.text)
-                    matcher.set_seq1(c.text)
-                    if matcher.quick_ratio() < max(least, like):
-                        continue
-                    if (ratio := matcher.ratio()) >= least and ratio > like:
-                        found, like = c, ratio
-            if found is None:
-                canonical.append(r)
-                by_print.setdefault(r.fingerprint, r)
-            out.append((r.document_id, r.unit_id, r.unit_id if found is None else found.unit_id, like if found is not None else 1.0))
-        return pd.DataFrame(out, columns=["document_id", "unit_id", "canonical_id", "similarity"])
-
-    types = dict(cards.dtypes)
-    schema = f"document_id {types['document_id']}, unit_id {types['unit_id']}, canonical_id {types['unit_id']}, similarity double"
-    return cards.select("document_id", "unit_id", "parent_id", "position", "fingerprint", F.coalesce("text", F.lit("")).alias("text")).groupBy("document_id").applyInPandas(one, schema)
