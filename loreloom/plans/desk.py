@@ -9,7 +9,8 @@ from .. import testbed as tb
 from ..functions import json as fj
 from ..functions import text as ft
 from ..functions import time as fm
-from ..operators import adapter, cards, discovery, governance, memory, records, tickets, views
+from ..operators import adapter, cards, discovery, governance, memory, profiles, records, rewrite, tickets, views
+from ..tables import Table
 from .catalogue import ORACLES, _cards, _read, query
 
 _CARD = "l_orderkey * 10 + l_linenumber"
@@ -469,7 +470,7 @@ _RESULT = '{"result":{' + ",".join(f'"r{i:02}":{i}' for i in range(14)) + ',"ite
 _CHANGES = f"""WITH o AS (SELECT c_custkey, o_orderkey, o_orderstatus, max(o_orderkey) OVER (PARTITION BY c_custkey) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey),
     t AS (SELECT c_custkey, c_custkey % 6 AS v, {_tasks("true", "o_orderkey", "'same'")} AS flat, {_tasks("o_orderkey % 2 = 0", "o_orderkey", "CASE WHEN c_custkey % 6 = 2 AND o_orderkey = last THEN 'other' ELSE 'same' END")} AS even,
       {_tasks("o_orderkey % 2 = 1", "o_orderkey", "CASE WHEN c_custkey % 6 = 2 AND o_orderkey = last THEN 'other' ELSE 'same' END")} AS odd, {_STEP} AS step FROM o GROUP BY c_custkey)
-    SELECT c_custkey AS doc_id, '{{"code":0,"data":{{"ticket_id":"' || c_custkey || '","region":"r1","meta":{{"a":[],"b":""}},' || CASE WHEN v < 3 OR v = 4 THEN '"action_list":[' || flat || '],"change_tool_relate_action"' ELSE '"tasks":[' || flat || '],"grouped"' END
+    SELECT c_custkey AS doc_id, '{{"code":0,"data":{{"ticket_id":"' || c_custkey || '","region":' || CASE WHEN c_custkey % 4 = 0 THEN '5' ELSE '"r1"' END || ',"meta":{{"a":[],"b":""}},' || CASE WHEN v < 3 OR v = 4 THEN '"action_list":[' || flat || '],"change_tool_relate_action"' ELSE '"tasks":[' || flat || '],"grouped"' END
       || ':{{"a":[' || even || '],"b":[' || odd || ']}},' || CASE WHEN v = 5 THEN '"again":[' || flat || '],' ELSE '' END || CASE WHEN v < 3 OR v = 4 THEN '"sop_change_step":{{"check_before_change":[' ELSE '"steps":{{"w":[' END || step
       || CASE WHEN v < 3 OR v = 4 THEN '],"change_implement":[' ELSE '],"x":[' END || step || ',' || step || CASE WHEN v < 3 OR v = 4 THEN '],"change_verified":[' ELSE '],"y":[' END || step || CASE WHEN v < 3 OR v = 4 THEN '],"change_rollback":[' ELSE '],"z":[' END || step || ']}}'
       || CASE WHEN v = 4 THEN '' ELSE ',"' || CASE WHEN v < 3 THEN 'change_plan' ELSE 'plan' END || '":[{_RESULT}]' END || '}}}}' AS text FROM t"""
@@ -499,3 +500,41 @@ def change_record_report(spark, d):
     SELECT c AS doc_id, r[1] AS role, r[2] AS units, r[3] AS nodes FROM u WHERE r[2] > 0""")
 def change_record_units(spark, d):
     return _extraction(spark, d)[0].groupBy("doc_id", "role").agg(F.count("*").alias("units"), F.sum(F.size("pointers")).alias("nodes"))
+
+
+@query(f"""WITH {_CHANGES_DUCK}, k AS (SELECT c, min(c) OVER (PARTITION BY c % 4 = 0) AS profile_id, c % 4 = 0 AS numeric FROM m WHERE mapped AND v < 3)
+    SELECT c AS doc_id, unnest(['task_fields', 'procedure_fields', 'execution_fields', 'context_fields', 'envelope_fields']) AS section, unnest([13, 20, 15, 3, 1]) AS fields,
+      unnest(['integer:9,null:1,string:3', 'string:20', 'array:1,integer:14', CASE WHEN numeric THEN 'integer:1,object:1,string:1' ELSE 'object:1,string:2' END, 'integer:1']) AS types, profile_id, '' AS errors FROM k""")
+def change_record_profiles(spark, d):
+    docs = tb.frame(spark, d, _CHANGES, "customer", "orders").repartition("doc_id")
+    nodes = Table(adapter.nodes(docs), "json-nodes").df
+    mine = Table(profiles.profiles(nodes, discovery.discover(docs, nodes)), "profiles").df
+    kept = profiles.signature(mine).groupBy("profile_signature").agg(F.min("doc_id").alias("profile_id")).select("profile_id")
+    stored = mine.join(kept, F.col("doc_id") == F.col("profile_id")).drop("doc_id")
+    types = mine.groupBy("doc_id", "section", "json_type").count().groupBy("doc_id", "section").agg(F.sum("count").cast("int").alias("fields"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "json_type", "count"))), ",").alias("types"))
+    errors = profiles.checked(mine).select("doc_id", F.array_join("errors", ",").alias("errors"))
+    return types.join(profiles.compatible(mine, stored), "doc_id", "left").join(errors, "doc_id")
+
+
+@query("""SELECT conv_id AS doc_id, '{"conv_id":' || conv_id || ',"turns":[' || string_agg('{"turn":' || turn || ',"role":"' || role || '","text":{"redacted":true,"length":' || length(text) || ',"sha256":"' || sha256(text) || '"},"auth":{"api_key":"[REDACTED]","notes":["Bearer [REDACTED]",' || turn || ']}}', ',' ORDER BY turn, role, text) || ']}' AS text
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id""")
+def nested_redaction(spark, d):
+    turn = F.struct("turn", "role", "text")
+    auth = lambda t: F.struct(F.struct(t["role"].alias("user"), t["turn"].alias("n")).alias("api_key"), F.array(F.concat(F.lit('"Bearer abcdefgh.'), t["turn"], F.lit('"')), t["turn"].cast("string")).alias("notes"))
+    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"), auth(t).alias("auth")))
+    docs = _read(spark, d, "conversations").filter("conv_id IS NOT NULL").groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("turns"))
+    docs = docs.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("conv_id"), "turns")).alias("text"))
+    # The notes become a mixed array: a quoted text and a number.
+    docs = docs.withColumn("text", F.regexp_replace("text", r'"notes":\["\\"(Bearer abcdefgh\.\d+)\\"","(\d+)"\]', r'"notes":["$1",$2]'))
+    return rewrite.redacted(docs, Table(adapter.nodes(docs), "json-nodes").df)
+
+
+@query("""SELECT event_id AS doc_id, '{"Start-Time":{"raw":' || (1700000000 + event_id) || ',"normalized":"' || strftime((to_timestamp(1700000000 + event_id) AT TIME ZONE 'UTC') + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') || '","timezone":"Asia/Shanghai","iso8601":"' || strftime((to_timestamp(1700000000 + event_id) AT TIME ZONE 'UTC') + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S')
+    || '+08:00"},"in": {"total_time":[{"raw":' || event_id || ',"normalized":' || event_id || ',"unit":"seconds"},{"raw":1.0,"normalized":1,"unit":"seconds"}],"flag":{"raw":true,"normalized":true,"type":"boolean"},"kind":"' || event_type || '","n":{"raw":' || user_id || ',"normalized":' || user_id || ',"type":"number"},"at_end_time":{"raw":"' || event_type || '","normalization_error":"INVALID_TIMESTAMP"},"none":null}}' AS text,
+    CAST(event_id AS VARCHAR) AS second FROM events""")
+def normalised_values(spark, d):
+    text = """concat('{"Start-Time":', 1700000000 + event_id, ',"in": {"total_time":[', event_id, ',1.0],"flag":true,"kind":" ', event_type, '\\\\t","n":', user_id, ',"at_end_time":"', event_type, '","none":null}}')"""
+    docs = _read(spark, d, "events").selectExpr("event_id AS doc_id", f"{text} AS text")
+    nodes = Table(adapter.nodes(docs), "json-nodes").df
+    found = rewrite.resolved(docs.select("doc_id", F.lit("/in/total_time/0").alias("pointer")), docs, nodes).select("doc_id", F.col("value").alias("second"))
+    return rewrite.normalised(docs, nodes).join(found, "doc_id")
