@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import Table
 from .joins import containing, small
 
 
@@ -88,22 +89,30 @@ def near_duplicate_pairs(items: DataFrame, least: float = 0.9) -> DataFrame:
     """(a, b, jaccard) with a < b for items(id, terms) with likeness of at least least; exact, by prefix filtering.
 
     Items of equal sets are one class: its smallest id stands for it in the pairs, and each other member is a pair with
-    that. Sets that alike share one of the first n - ceil(least * n) + 1 terms in an order from rare to frequent, so only
-    these terms are joined. Items without terms have no pairs.
+    that. Terms are numbered from rare to frequent once, and sets kept as sorted numbers in a table. Sets that alike share
+    one of their first n - ceil(least * n) + 1 numbers, so only these meet; and where the first number that they share
+    stands so late in either that too few can follow, or their sizes differ too much, they are not compared. Items
+    without terms have no pairs.
     """
     rows = items.select("id", F.array_sort(F.array_distinct("terms")).alias("terms")).filter(F.size("terms") > 0)
-    keyed = rows.select("id", "terms", F.sha2(F.array_join("terms", "\x1f"), 256).alias("k"))
-    heads = keyed.groupBy("k").agg(F.min("id").alias("a"))
-    members = keyed.select("id", "k").join(heads, "k").filter("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    sets = rows.join(heads.select(F.col("a").alias("id")), "id", "left_semi")
-    spread = sets.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    rare = spread.groupBy("term").agg(F.count("*").alias("df"))
-    ordered = spread.join(rare, "term").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("t"))
-    prefix = ordered.select("id", "n", F.explode(F.slice("t", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("p")).select("id", "n", "p.term")
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "term")
-    pairs = prefix.join(other, "term").filter((F.col("id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("terms").alias("ta")), sets.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
-    linked = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
+    held = Table(rows.withColumn("k", F.sha2(F.array_join("terms", "\x1f"), 256)), "jaccard-terms").df
+    heads = held.groupBy("k").agg(F.min("id").alias("a"))
+    members = held.select("id", "k").join(heads, "k").filter("id != a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    spread = held.join(heads.select("k", F.col("a").alias("id")), ["id", "k"], "left_semi").select("id", F.explode("terms").alias("term"))
+    # A term's number is its frequency and a hash: equal numbers of different terms would need both to be equal.
+    number = F.struct(F.count("*").alias("df"), F.xxhash64("term").alias("h")).alias("no")
+    sets = spread.join(spread.groupBy("term").agg(number), "term").groupBy("id").agg(F.sort_array(F.collect_list("no")).alias("nos"))
+    sets = Table(sets.select("id", F.size("nos").alias("n"), F.transform("nos", lambda x: x["h"]).alias("t"), F.transform("nos", lambda x: x["df"]).alias("df")), "jaccard-sets").df
+    prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
+    # A term that only one set has meets nothing.
+    firsts = sets.select("id", "n", F.posexplode(F.slice("t", 1, prefix)).alias("at", "term"), "df").filter(F.get("df", F.col("at")) > 1).drop("df")
+    other = firsts.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("b_at"), "term")
+    needed = F.ceil((F.col("n") + F.col("m")) * least / (1 + least) - 1e-9)
+    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("b_at"))
+    near = (F.col("id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9)
+    met = firsts.join(other, "term").filter(near).groupBy(F.col("id").alias("a"), "b").agg(F.max(F.struct(left.alias("left"), needed.alias("needed"))).alias("x")).filter("x.left >= x.needed").select("a", "b")
+    one, two = sets.select(F.col("id").alias("a"), F.col("t").alias("ta")), sets.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+    linked = met.join(one, "a").join(two, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).filter(F.col("jaccard") >= least)
     return linked.unionByName(members)
 
 
