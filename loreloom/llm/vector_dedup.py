@@ -144,8 +144,11 @@ def cells(nodes: DataFrame) -> DataFrame:
     return met.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id")
 
 
-def compared(bucket: int, low: int, high: int, block: np.ndarray, ids: np.ndarray, copies: np.ndarray, salt: np.ndarray, x: np.ndarray, hashes: int, least: float):
-    """(id, links, head) for each node of a cell that has a link here: vectors it is linked with, smallest node it reaches."""
+def compared(bucket: int, low: int, high: int, block: np.ndarray, ids: np.ndarray, copies: np.ndarray, salt: np.ndarray, every: np.ndarray, x: np.ndarray, least: float):
+    """(id, links, head) for each node of a cell that has a link here: vectors it is linked with, smallest node it reaches.
+
+    every: the keys of each node.
+    """
     x = scaled(x)
     norm = np.sqrt((x * x).sum(axis=1))
     a, b = (np.flatnonzero(block == low), np.flatnonzero(block == high))
@@ -157,7 +160,6 @@ def compared(bucket: int, low: int, high: int, block: np.ndarray, ids: np.ndarra
     i, j = i[fit], j[fit]
     if not len(i):
         return None
-    every = keys(x, hashes) + salt.view(np.uint64)[:, None]
     here = np.zeros(len(i), dtype=bool)
     for s in range(0, len(i), PAIRS // every.shape[1]):
         p, q = every[i[s : s + PAIRS // every.shape[1]]], every[j[s : s + PAIRS // every.shape[1]]]
@@ -191,7 +193,7 @@ def linked(met: DataFrame, vectors: DataFrame, hashes: int, least: float) -> Dat
 
         def done():
             columns = [np.concatenate(c) for c in zip(*held)]
-            return compared(*at, *columns, hashes, least)
+            return compared(*at, *columns, least)
 
         for b in batches:
             if not b.num_rows:
@@ -199,10 +201,11 @@ def linked(met: DataFrame, vectors: DataFrame, hashes: int, least: float) -> Dat
             place = np.stack([b.column(c).to_numpy() for c in ("bucket", "low", "high")], axis=1)
             cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
             block, ids, copies, salt = (b.column(c).to_numpy() for c in ("block", "id", "copies", "salt"))
-            x = [None] * b.num_rows
-            for rows_, values in _by_length(b.column("embedding")):
-                for r, v in zip(rows_.tolist(), values):
-                    x[r] = v
+            x, every = [None] * b.num_rows, [None] * b.num_rows
+            for at_length, values in _by_length(b.column("embedding")):
+                of = keys(values, hashes) + salt[at_length].view(np.uint64)[:, None]
+                for i, r in enumerate(at_length.tolist()):
+                    x[r], every[r] = values[i], of[i]
             got = []
             for s, e in zip(cuts, cuts[1:]):
                 if (now := tuple(place[s].tolist())) != at:
@@ -211,7 +214,7 @@ def linked(met: DataFrame, vectors: DataFrame, hashes: int, least: float) -> Dat
                     held, at = [], now
                 width = len(x[s])
                 same = [r for r in range(s, e) if len(x[r]) == width]  # others have the key by chance
-                held.append((block[same], ids[same], copies[same], salt[same], np.stack([x[r] for r in same])))
+                held.append((block[same], ids[same], copies[same], salt[same], *(np.stack([y[r] for r in same]) for y in (every, x))))
             if got := [g for g in got if g]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["id", "links", "head"])
         if held and (last := done()):
