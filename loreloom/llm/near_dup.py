@@ -9,9 +9,8 @@ the distance is aligned within a band that holds all such alignments. Classes ar
 
 Buckets of at most ``ALL_PAIRS`` members compare all pairs, larger ones first each member with the smallest. What is
 connected then needs no further comparison. Where a larger bucket still holds several components, its members are cut
-into blocks by component, and each pair of blocks is one cell: all pairs of different components whose lengths and bags
-of words allow a link are compared, each in the first bucket that both have only. The bag bound is exact: an edit changes
-two words of a bag at most, and words that share a bin only lower the difference. So no pair with an equal key is lost,
+into blocks by component, and each pair of blocks is one cell: all pairs of different components that have words enough
+in common to allow a link are compared, each in the first bucket that both have only. So no pair with an equal key is lost,
 whatever the size of its bucket, and no task holds more than two blocks.
 
 Recall: scattered edits at edit similarity s leave about s^3 of the k-mers, of which two texts share j = s^3 / (2 - s^3)
@@ -41,7 +40,7 @@ from .common import Table, fresh, list_rows, salted_join, small_batches, utf8, w
 
 K, TABLES, MEMO, HASHED = 3, 40, 50_000, 1 << 18
 MID, MID_TABLES, SHORT, ALL_PAIRS = 125, 16, 24, 16
-BLOCK, BINS = 256, 1024
+BLOCK, CHUNK = 2048, 2048
 _MIX = np.random.default_rng(20260101)
 _XOR = _MIX.integers(0, 2**64, TABLES + MID_TABLES, dtype=np.uint64)
 _ODD = _MIX.integers(0, 2**64, TABLES + MID_TABLES, dtype=np.uint64) | np.uint64(1)
@@ -112,10 +111,28 @@ def sketch(words: list[bytes], hashes: _WordHash, similarity: float = 0.8) -> np
     return np.concatenate(keys).view(np.int64)
 
 
-def bag(words: list[bytes]) -> bytes:
-    """How many words fall into each of BINS bins, 255 at most: bags differ by no more than two for an edit."""
-    bins = np.fromiter((zlib.crc32(w) % BINS for w in words), np.int64, len(words))
-    return np.minimum(np.bincount(bins, minlength=BINS), 255).astype(np.uint8).tobytes()
+def bag(words: list[bytes], hashes: _WordHash) -> bytes:
+    """The words' 32-bit hashes, labelled with their occurrence."""
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return (_kmers(w, 1) >> np.uint64(32)).astype(np.uint32).tobytes() if words else b""
+
+
+def in_common(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many hashes each of the bags a has in common with each of b: matrix products over CHUNK hashes at a time."""
+    values = np.frombuffer(b"".join(a + b), dtype=np.uint32)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) // 4 for x in a + b])
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # hashes of one bag only have no column
+    row, at = row[times[at] > 1], column[at[times[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, CHUNK):
+        mine = slice(*np.searchsorted(at, [start, start + CHUNK]))
+        held = np.zeros((len(a) + len(b), CHUNK), dtype=np.float32)
+        held[row[mine], at[mine] - start] = 1
+        out += held[: len(a)] @ held[len(a) :].T
+    return out
 
 
 def banded_distance(a: list, b: list, band: int) -> int:
@@ -182,17 +199,21 @@ def sketched(docs: DataFrame, similarity: float) -> DataFrame:
 
 
 def met_nodes(nodes: DataFrame) -> DataFrame:
-    """(bucket, id, size, head) of nodes(id, keys): the members of each bucket of two and more, its size and smallest id."""
-    members = nodes.select("id", F.explode(F.array_distinct("keys")).alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("head")).filter("size > 1")
+    """(bucket, id, n_words, size, head) of nodes(id, n_words, keys): the members of each bucket of two and more, its size
+    and smallest member (id, n_words)."""
+    members = nodes.select("id", "n_words", F.explode(F.array_distinct("keys")).alias("bucket"))
+    heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n_words")).alias("head")).filter("size > 1")
     return members.join(heads.hint("merge"), "bucket")
 
 
-def first_pairs(met: DataFrame) -> DataFrame:
-    """Distinct pairs (id, head) with id > head: all of a bucket of up to ALL_PAIRS members, else those with its smallest."""
-    few = met.filter((F.col("size") > 2) & (F.col("size") <= ALL_PAIRS)).groupBy("bucket").agg(F.collect_list("id").alias("ids"))
-    each = few.select(F.explode("ids").alias("id"), "ids").select("id", F.explode("ids").alias("head"))
-    return met.filter((F.col("size") == 2) | (F.col("size") > ALL_PAIRS)).select("id", "head").unionByName(each).filter("id > head").distinct()
+def first_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (id, head) with id > head whose numbers of words allow a link: all of a bucket of up to ALL_PAIRS
+    members, else those with its smallest."""
+    few = met.filter((F.col("size") > 2) & (F.col("size") <= ALL_PAIRS)).groupBy("bucket").agg(F.collect_list(F.struct("id", "n_words")).alias("ids"))
+    each = few.select(F.explode("ids").alias("one"), "ids").select("one", F.explode("ids").alias("head"))
+    both = met.filter((F.col("size") == 2) | (F.col("size") > ALL_PAIRS)).select(F.struct("id", "n_words").alias("one"), "head").unionByName(each)
+    near = F.least("one.n_words", "head.n_words") >= F.greatest("one.n_words", "head.n_words") * similarity - 1e-9
+    return both.filter((F.col("one.id") > F.col("head.id")) & near).select("one.id", F.col("head.id").alias("head")).distinct()
 
 
 def cells(large: DataFrame) -> DataFrame:
@@ -216,30 +237,29 @@ def cells(large: DataFrame) -> DataFrame:
 
 
 def cell_pairs(bucket: int, low: int, high: int, block, ids, roots, lengths, keys, bags, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a cell that may be links: different components, lengths and bags near enough, no earlier equal key."""
+    """The pairs of a cell that may be links: different components, lengths and words near enough, no earlier equal key."""
     a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
     width = TABLES + MID_TABLES
     even = np.zeros((2, len(ids), width), dtype=np.int64)
     even[1] = 1  # never equal where a text has no key
     for i, k in enumerate(keys):
         even[:, i, : min(len(k), width)] = k[:width]
+    lengths = lengths.astype(np.int32)
     longer = np.maximum(lengths[a][:, None], lengths[b][None, :])
-    band = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    band = ((1 - similarity) * np.arange(lengths.max(initial=0) + 1) + 1e-9).astype(np.int32)[longer]
     open_ = (roots[a][:, None] != roots[b][None, :]) & (np.abs(lengths[a][:, None] - lengths[b][None, :]) <= band)
     if low == high:
         open_ &= ids[a][:, None] < ids[b][None, :]
-    found = ([], [])
     for i in np.flatnonzero(open_.any(axis=1)).tolist():
         j = np.flatnonzero(open_[i])
         same = even[0, a[i]][None, :] == even[1, b[j]]
-        at = same.argmax(axis=1)
-        j = j[~same.any(axis=1) | (even[0, a[i]][at] == bucket)]
-        far = np.abs(bags[b[j]] - bags[a[i]][None, :]).sum(axis=1)
-        j = j[far <= 2 * band[i, j]]
-        found[0].append(np.full(len(j), ids[a[i]]))
-        found[1].append(ids[b[j]])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *found[0]]), np.concatenate([none, *found[1]])
+        open_[i, j] = ~same.any(axis=1) | (even[0, a[i]][same.argmax(axis=1)] == bucket)
+    x, y = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(x):
+        return x, y[:0]
+    shared = in_common([bags[i] for i in a[x]], [bags[j] for j in b[y]])
+    i, j = np.nonzero(open_[np.ix_(x, y)] & (longer[np.ix_(x, y)] - shared <= band[np.ix_(x, y)]))
+    return ids[a[x[i]]], ids[b[y[j]]]
 
 
 def rest_pairs(met: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
@@ -251,7 +271,6 @@ def rest_pairs(met: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
 
         def done():
             block, ids, roots, lengths, keys, bags = zip(*held)
-            bags = np.frombuffer(b"".join(bags), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
             return cell_pairs(*at, *(np.array(c, dtype=np.int64) for c in (block, ids, roots, lengths)), keys, bags, similarity)
 
         def pairs(got):
@@ -275,19 +294,16 @@ def rest_pairs(met: DataFrame, data: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "id long, head long").distinct()
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of the nodes in wanted(id). A node's text is that of its lead row."""
-    leads = nodes.select("id", "lead.doc_id", "lead.row_hash").join(wanted, "id")
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, *others: str) -> DataFrame:
+    """(id, text) and other columns of the nodes in wanted(id). A node's text is that of its lead row."""
+    leads = nodes.select("id", "lead.doc_id", "lead.row_hash", *others).join(wanted, "id")
     keyed = docs.select(F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_hash"), F.col("text").cast("binary").alias("text"))
-    texts = keyed.join(leads.hint("merge"), keyed["key_id"].eqNullSafe(leads["doc_id"]) & (keyed["key_hash"] == leads["row_hash"])).select("id", "text")
+    texts = keyed.join(leads.hint("merge"), keyed["key_id"].eqNullSafe(leads["doc_id"]) & (keyed["key_hash"] == leads["row_hash"])).select("id", "text", *others)
     return texts.dropDuplicates(["id"])  # rows equal in doc_id and text bring it once
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> Table:
-    """The pairs (id, head) whose texts are similar."""
-    sizes = nodes.select("id", "n_words")
-    pairs = pairs.join(sizes, "id").join(sizes.select(F.col("id").alias("head"), F.col("n_words").alias("head_words")), "head")
-    pairs = Table(pairs.filter(F.least("n_words", "head_words") >= F.greatest("n_words", "head_words") * similarity - 1e-9).select("id", "head"), "near-pairs")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: Table, similarity: float) -> Table:
+    """Those of the pairs (id, head) whose texts are similar; the pairs' table goes."""
     wanted = pairs.df.select("id").unionByName(pairs.df.select(F.col("head").alias("id"))).distinct()
     texts = Table(texts_of(docs, nodes, wanted), "near-texts")
     # A head with many near copies: its pairs are dealt, and its text goes once to each part.
@@ -312,7 +328,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
 def connected(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(id, root) of the nodes that have a link."""
     met = Table(met_nodes(nodes), "near-buckets")
-    found = verified(docs, nodes, first_pairs(met.df), similarity)
+    found = verified(docs, nodes, Table(first_pairs(met.df, similarity), "near-pairs"), similarity)
     roots = components(found.df)
     found.drop()
     large = met.df.filter(F.col("size") > ALL_PAIRS).select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -320,19 +336,20 @@ def connected(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     met.drop()
 
     def bags(batches):
+        hashes = _WordHash()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([bag(words_of(t)) for t in batch.column("text").to_pylist()], pa.binary())], ["id", "bag"])
+            found = pa.array([bag(words_of(t), hashes) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n_words", "keys")), found], ["id", "n_words", "keys", "bag"])
 
     if split.df.limit(1).count() == 0:
         return roots
     wanted = split.df.select("id").distinct()
-    bagged = texts_of(docs, nodes, wanted).mapInArrow(bags, "id long, bag binary")
-    data = Table(nodes.select("id", "n_words", "keys").join(bagged, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-data")
+    bagged = texts_of(docs, nodes, wanted, "n_words", "keys").mapInArrow(bags, "id long, n_words long, keys array<long>, bag binary")
+    data = Table(bagged.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-data")
     rest = Table(rest_pairs(split.df, data.df, similarity), "near-rest")
     split.drop()
     data.drop()
-    more = verified(docs, nodes, rest.df, similarity)
-    rest.drop()
+    more = verified(docs, nodes, rest, similarity)
     if more.df.limit(1).count() == 0:
         return roots
     top = lambda c: more.df.select("id", "head").join(roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
