@@ -63,3 +63,36 @@ def test_deeply_wrapped_paragraphs_stay_together():
             for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div id=c>", "</div>")):
                 page = f"<body><div><a href=1>One link here to go, and on</a> <a href=2>Another link, and more of it</a></div>{open_}{wrapped}{close}</body>"
                 assert extract(page) == " ".join(paras), (depth, n, open_)
+
+
+def test_parts_of_an_article_are_not_lost_by_their_names():
+    long = f"{PARA} {PARA}"
+    parts = [
+        f'<section id="recommendations"><h2>What to do</h2><p>{PARA}</p></section>', f'<section class="related-work"><p>{PARA}</p></section>', f'<div class="notice-period">{PARA}</div>',
+        f'<p class="tags-explained">{PARA}</p>', '<ol><li><a href=1>A first reference of some length</a></li><li><a href=2>The second one, by someone else</a></li><li><a href=3>And a third reference, at last</a></li></ol>',
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so, and all that follows from it.</p>",
+    ]
+    for part in parts:
+        words = re.sub(r"<[^>]*>", "|", part.replace("<mi>", "").replace("</mi><mo>", "").replace("</mo><mn>", "").replace("</mn>", "").replace("<math>", "").replace("</math>", ""))
+        want = " ".join(w.strip() for w in words.split("|") if w.strip())
+        for page in (f"<article><p>{long}</p>{part}<p>{long}</p></article>", f"<body><div class=content><p>{long}</p>{part}<p>{long}</p></div></body>"):
+            assert extract(page) == f"{long} {want} {long}", part
+
+
+def test_what_names_say_beyond_doubt_goes():
+    gone = [
+        f'<div class="ad-slot">{PARA}</div>', f'<section id="comments"><p>{PARA}</p></section>', f'<div class="cookie-banner"><p>{PARA}</p></div>', f'<div class="newsletter-box"><p>{PARA}</p></div>', f'<div class="sidebar"><p>{PARA}</p></div>',
+        '<div class="related"><a href=1>Another story to read now</a><a href=2>And one more of these stories</a></div>', '<div class="notice">Read this.</div>', '<ul class="share"><li><a href=1>Post</a></li><li><a href=2>Mail</a></li></ul>',
+        '<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Sport</a></li></ul>',
+    ]
+    for part in gone:
+        assert extract(f"<article><p>{PARA} {PARA}</p>{part}<p>{PARA}</p></article>") == f"{PARA} {PARA} {PARA}", part
+
+
+def test_deep_text_and_stray_ends_in_linear_time():
+    start = time.time()
+    assert len(extract("<div>some text here " * 20000)) > 20000 * 10
+    extract("<div>" * 3000 + "</section>" * 20000 + "x")
+    extract("<i>" * 20000 + "<p>text</p>" * 20000)
+    extract("<nav>" + "<b>" * 20000 + "</u>" * 20000)
+    assert time.time() - start < 15
