@@ -11,8 +11,8 @@ Words, windows and hits: A-Z is lower-cased, words are runs of digits, a-z and n
 ``window`` consecutive words of an item, an item of fewer words but not none is one window; a document word inside any
 occurrence of a window is hit; a document with a hit word is contaminated.
 
-The benchmark, a test set, is read in blocks of at most ``BLOCK_BYTES`` of text and broadcast block by block. A worker
-holds one block at a time; with several, shards are ``LONG_SHARD`` times as large, so that blocks are taken up seldom.
+The benchmark, a test set, is read in blocks of at most ``BLOCK_BYTES`` of text. A worker holds one block at a time, from
+a broadcast if there is one block only, else from a file of its own for each; with several, shards are ``LONG_SHARD`` times as large, so that blocks are taken up seldom.
 
 Defined cases: null or empty texts have no words and are never contaminated; an item without words has no window; an
 empty benchmark hits nothing; items with equal item_id count once, those of null item_id together as one, whose id is
@@ -22,17 +22,20 @@ left out of the list; item_ids are compared as strings; other columns are kept b
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, utf8, words_of
+from .common import _at, shared_root, small_batches, utf8, words_of
 
 SHARD_BYTES, BLOCK_BYTES, LONG_SHARD = 6 << 20, 16 << 20, 8
 
@@ -191,17 +194,41 @@ def _run_ends(places: np.ndarray, reach: np.ndarray) -> np.ndarray:
 
 
 def item_blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of the benchmark's items, (item_id, text), in blocks of at most BLOCK_BYTES of text or one item."""
-    sc = benchmark.sparkSession.sparkContext
-    out, block, held = [], [], 0
+    """The benchmark's items, (item_id, text), in blocks of at most BLOCK_BYTES of text or one item.
+
+    A single block is broadcast. Several are files in the shared folder that executors fetch; these are named here, so
+    that neither the driver nor a worker ever holds more than one.
+    """
+    spark = benchmark.sparkSession
+    names, block, held = [], [], 0
+
+    def store() -> None:
+        name = f"items-{uuid.uuid4().hex}"
+        files, at = _at(spark, f"{shared_root(spark)}/{name}")
+        out = files.create(at)
+        out.write(pickle.dumps(block))
+        out.close()
+        spark.sparkContext.addFile(at.toString())
+        names.append(name)
+
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     for item_id, text in items.toLocalIterator():
         if block and held + len(text) > BLOCK_BYTES:
-            out.append(sc.broadcast(block))
+            store()
             block, held = [], 0
         block.append((item_id, bytes(text)))
         held += len(text)
-    return [*out, sc.broadcast(block)] if block or not out else out
+    if not names:
+        return [spark.sparkContext.broadcast(block)]
+    store()
+    return names
+
+
+def _items(block) -> list[tuple[str | None, bytes]]:
+    if isinstance(block, str):
+        with open(SparkFiles.get(block), "rb") as f:
+            return pickle.load(f)
+    return block.value
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[list[pa.RecordBatch]]:
@@ -228,7 +255,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, make, schema) -
             for i, b in enumerate(blocks):
                 if i not in built:
                     built.clear()  # one block at a time in memory
-                    built[i] = TestSuffixes(b.value, window)
+                    built[i] = TestSuffixes(_items(b), window)
                 yield built[i]
 
         for shard in _shards(batches, "text", SHARD_BYTES * (LONG_SHARD if len(blocks) > 1 else 1)):

@@ -111,3 +111,12 @@ def test_report_equals_sql(spark):
     benchmark = pa.table({"item_id": pa.array([i[0] for i in items], pa.int64()), "text": [i[1] for i in items]})  # noqa: F841
     rel = duckdb.connect().sql(D.ORACLE)
     assert rel.columns == got.columns and sorted(rel.fetchall()) == sorted(map(tuple, got.collect()))
+
+
+def test_several_blocks_are_files_and_one_is_broadcast(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"item number {i} has these words") for i in range(10)], "item_id long, text string")
+    assert len(D.item_blocks(items, 10)) == 1 and not isinstance(D.item_blocks(items, 10)[0], str)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 20)
+    blocks = D.item_blocks(items, 10)
+    assert len(blocks) == 10 and all(isinstance(b, str) for b in blocks)
+    assert sorted(x for b in blocks for x in D._items(b)) == sorted((str(i), f"item number {i} has these words".encode()) for i in range(10))
