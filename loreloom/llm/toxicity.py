@@ -7,9 +7,10 @@ that they see errors of the size that new documents have. Features are the prese
 association with it is significant (chi-square above ``CHI2``) in the training rows; so rare noise words get no weight,
 however many a long document has.
 
-Training takes at most ``train_rows`` labelled documents (those with the smallest hash of doc_id), and of each at most
-``train_words`` distinct words (those with the smallest hash); this sample is all that reaches the driver. Scoring takes
-all documents, whole, map-only: the model is a few hundred numbers.
+Training takes at most ``train_rows`` labelled documents (those with the smallest hash of doc_id), whole. How often each
+feature goes with each category is counted by Spark, in all and without each fold; the ``CANDIDATES`` most significant
+of each count are all that a model could select, and which of them each document has is all that reaches the driver.
+Scoring takes all documents, whole, map-only: the model is a few hundred numbers.
 
 Defined cases: null text scores as the empty text; labels other than 0 and 1, null doc_ids in labels and labels without
 a document are left out of the training; of several labels of a doc_id each category's largest counts, of several
@@ -19,18 +20,19 @@ rows has its base rate as probability; empty documents give no rows; other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8, words_of
+from .common import Table, small_batches, utf8, words_of
 
 CHI2, MOST_WORDS, LEAST_ROWS, FOLDS, RIDGE, MEMO = 24.0, 400, 3, 5, 1.0, 50_000
+#: Eight times what is selected: a word and its beginnings, six features at most, can have equal counts.
+CANDIDATES, COUNTED = 8 * MOST_WORDS, 100_000
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _PLAIN = _UPPER + _LOWER + b"0123456789 \n.,'" + bytes(range(128, 256))
 
@@ -81,9 +83,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Sample:
     """The training rows' lexical features as numbers: ids[starts[i]:starts[i + 1]] are those of row i."""
 
-    def __init__(self, docs: Iterable[Iterable[bytes]]):
+    def __init__(self, docs: Iterable[Iterable[bytes]], features: Callable[[bytes], tuple[bytes, ...]] = lexical):
         number: dict[bytes, int] = {}
-        rows = [np.fromiter({number.setdefault(f, len(number)) for w in d for f in lexical(w)}, np.int32) for d in docs]
+        rows = [np.fromiter({number.setdefault(f, len(number)) for w in d for f in features(w)}, np.int32) for d in docs]
         ids = np.concatenate([*rows, np.zeros(0, np.int32)])
         row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         del rows
@@ -140,9 +142,9 @@ def fit(sample: Sample, rows: np.ndarray, dense: np.ndarray, y: np.ndarray) -> t
     return Link(dict(zip((sample.names[i] for i in features), w[:m].tolist())), mean, scale, w[m:-1], float(w[-1])), every @ w
 
 
-def fit_chain(docs: Iterable[Iterable[bytes]], dense: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Link]:
+def fit_chain(docs: Iterable[Iterable[bytes]], dense: np.ndarray, labels: np.ndarray, folds: np.ndarray, features: Callable[[bytes], tuple[bytes, ...]] = lexical) -> list[Link]:
     """A link for each column of labels; later links see the out-of-fold probabilities of earlier ones."""
-    sample, chain = Sample(docs), []
+    sample, chain = Sample(docs, features), []
     for k in range(labels.shape[1]):
         y = labels[:, k]
         link, _ = fit(sample, np.ones(len(y), dtype=bool), dense, y)
@@ -168,33 +170,90 @@ def predict(chain: list[Link], texts: list[bytes | None], memos: list[dict]) ->
     return dense[:, 4:]
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], train_rows: int, train_words: int = 20_000) -> list[Link]:
-    """The chain, fitted on the driver on at most train_rows labelled documents: their distinct words and ratios."""
+def _fold(doc_id: int) -> int:
+    return doc_id * 2654435761 % 2**32 * FOLDS >> 32
+
+
+def candidate_features(rows: DataFrame, labels: np.ndarray, folds: np.ndarray) -> set[bytes]:
+    """The CANDIDATES most significant features of rows(doc_id, words, y), of each category over all rows, and of each but
+    the last also without each fold."""
+    n = labels.shape[1]
+    columns = [f"c{f}_{j}" for f in range(FOLDS) for j in range(n + 1)]  # rows of a fold with the feature, then positives of each category
+
+    def count(batches):
+        held: dict[bytes, np.ndarray] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array(c, pa.int64()) for c in np.stack(list(held.values()), axis=1))], ["feature", *columns])
+            held.clear()
+            return out
+
+        for b in batches:
+            for doc_id, words, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "words", "y"))):
+                one = np.zeros(len(columns), dtype=np.int64)
+                one[_fold(doc_id) * (n + 1) : (_fold(doc_id) + 1) * (n + 1)] = [1, *y]
+                for f in {f for w in words.split() for f in lexical(w)}:
+                    held[f] = held[f] + one if f in held else one
+                if len(held) > COUNTED:
+                    yield flush()
+        if held:
+            yield flush()
+
+    counts = rows.select("doc_id", "words", "y").mapInArrow(count, ", ".join(["feature binary", *(f"{c} long" for c in columns)])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in columns))
+    every = sum((F.col(f"c{f}_0") for f in range(FOLDS)), F.lit(0))
+    counts = Table(counts.filter(every >= LEAST_ROWS), "toxicity-counts")
+    out: set[bytes] = set()
+    for j in range(n):
+        for left in (None, *(range(FOLDS) if j + 1 < n else ())):
+            used = [f for f in range(FOLDS) if f != left]
+            rest = np.isin(folds, used)
+            size, positive = float(rest.sum()), float(labels[rest, j].sum())
+            if not 0 < positive < size:
+                continue
+            k, a = (sum((F.col(f"c{f}_{i}") for f in used), F.lit(0)).cast("double") for i in (0, j + 1))
+            chi2 = size * (a * size - k * positive) ** 2 / (k * (size - k) * positive * (size - positive))
+            best = counts.df.filter((k >= LEAST_ROWS) & (k < size)).select("feature", chi2.alias("chi2")).filter(F.col("chi2") > CHI2)
+            out.update(bytes(r["feature"]) for r in best.orderBy(F.desc("chi2"), "feature").limit(CANDIDATES).collect())
+    counts.drop()
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], train_rows: int) -> list[Link]:
+    """The chain, fitted on the driver on at most train_rows labelled documents: their candidate features and ratios."""
     usable = labels.select("doc_id", *(F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories))).filter(" AND ".join(["doc_id IS NOT NULL", *(f"y{i} IN (0, 1)" for i in range(len(categories)))]))
     ys = [f"y{i}" for i in range(len(categories))]
     one = usable.groupBy("doc_id").agg(*(F.max(y).alias(y) for y in ys))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).withColumnRenamed("doc_id", "labelled")
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
     joined = joined.groupBy("doc_id", *ys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
-    schema = "doc_id long, words binary, ratios array<double>, y array<int>"
 
-    def features(batches):
+    def read(batches):
         for b in batches:
             texts = utf8(b.column("text"))
             words = [words_of(t) for t in texts]
             distinct = [set(w) for w in words]
             y = [list(r.values()) for r in b.select(ys).to_pylist()]
-            some = [d if len(d) <= train_words else sorted(d, key=xxhash.xxh3_64_intdigest)[:train_words] for d in distinct]
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").cast(pa.int64()), pa.array([b" ".join(sorted(d)) for d in some], pa.binary()),
+                b.column("doc_id").cast(pa.int64()), pa.array([b" ".join(sorted(d)) for d in distinct], pa.binary()),
                 pa.array([list(ratios(t or b"", w, len(d))) for t, w, d in zip(texts, words, distinct)], pa.list_(pa.float64())), pa.array(y, pa.list_(pa.int32())),
             ], ["doc_id", "words", "ratios", "y"])
 
-    rows = sorted(joined.mapInArrow(features, schema).collect())
-    if not rows:
+    rows = Table(joined.mapInArrow(read, "doc_id long, words binary, ratios array<double>, y array<int>"), "toxicity-sample")
+    told = sorted(rows.df.select("doc_id", "ratios", "y").collect())
+    if not told:
+        rows.drop()
         return [Link({}, np.zeros(4 + k), np.ones(4 + k), np.zeros(4 + k), -30.0) for k in range(len(categories))]
-    folds = np.array([r["doc_id"] * 2654435761 % 2**32 * FOLDS >> 32 for r in rows])
-    return fit_chain((bytes(r["words"]).split() for r in rows), np.array([r["ratios"] for r in rows]), np.array([r["y"] for r in rows], dtype=float), folds)
+    y, folds = np.array([r["y"] for r in told], dtype=float), np.array([_fold(r["doc_id"]) for r in told])
+    wanted = candidate_features(rows.df, y, folds)
+
+    def features(batches):
+        for b in batches:
+            found = [list({f for w in words.split() for f in lexical(w) if f in wanted}) for words in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "features"])
+
+    have = {r["doc_id"]: [bytes(f) for f in r["features"]] for r in rows.df.select("doc_id", "words").mapInArrow(features, "doc_id long, features array<binary>").collect()}
+    rows.drop()
+    return fit_chain((sorted(have[r["doc_id"]]) for r in told), np.array([r["ratios"] for r in told]), y, folds, lambda f: (f,))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = 0.5, train_rows: int = 4000) -> DataFrame:

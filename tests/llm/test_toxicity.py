@@ -51,3 +51,23 @@ def test_edges(spark):
     assert X.remove(docs, none).columns == docs.columns and X.remove(docs, none).count() == 4
     assert all(r.toxic for r in X.score(docs, one_class).collect())
     assert X.score(docs.limit(0), one_class).count() == 0
+
+
+def test_spark_counts_select_what_all_features_would(spark):
+    rows = corpus(400, 3)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    got = X.train(docs, labels, ("quality", "toxic"), 400)
+    words = [words_of(t.encode()) for _, t, _, _ in rows]
+    dense = np.array([X.ratios(t.encode(), w, len(set(w))) for (_, t, _, _), w in zip(rows, words)])
+    want = X.fit_chain([set(w) for w in words], dense, np.array([[q, t] for _, _, q, t in rows], dtype=float), np.array([X._fold(r[0]) for r in rows]))
+    assert [set(x.words) for x in got] == [set(x.words) for x in want] and got[1].words
+    assert all(np.allclose(x.weights, y.weights) and np.isclose(x.intercept, y.intercept) for x, y in zip(got, want))
+
+
+def test_words_late_in_very_long_texts_count(spark):
+    long = " ".join(f"u{i}" for i in range(30_000))
+    rows = [(i, f"{long if i % 10 == 0 else 'plain words here'} {'vile' if i % 4 == 0 else 'nice'} end", 1, int(i % 4 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in X.score(docs, labels).collect())
