@@ -100,14 +100,14 @@ def relevance_gate(spark, d):
 
 
 @query(f"""WITH cards AS ({PUBLISHED}), live AS (SELECT id FROM cards WHERE status = 'APPROVED'), lex AS (SELECT vec_id % 7 AS query_id, vec_id AS id, 1.0 + vec_id % 10 AS score FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 7 < 4),
-    sem AS (SELECT vec_id % 7 AS query_id, vec_id AS id, 0.5 + vec_id % 9 AS score FROM embeddings WHERE vec_id % 2 = 0),
+    sem AS (SELECT vec_id % 7 AS query_id, vec_id AS id, 0.5 + vec_id % 9 AS score FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 <> 0 OR vec_id % 7 >= 4),
     ok AS (SELECT query_id, id, score, 'lexical' AS channel, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM lex JOIN live USING (id)),
     ot AS (SELECT query_id, id, score, 'semantic' AS channel, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM sem JOIN live USING (id) WHERE query_id NOT IN (SELECT query_id FROM ok))
     SELECT query_id, id, score::DOUBLE AS score, channel, rank::INTEGER AS rank FROM ok WHERE rank <= 6 UNION ALL SELECT query_id, id, score::DOUBLE, channel, rank::INTEGER FROM ot WHERE rank <= 1""")
 def trusted_channels(spark, d):
     v = _read(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("query_id"), F.col("vec_id").alias("id"), F.lit(True).alias("accepted"))
     lex = v.filter("id % 3 = 0 AND query_id < 4").withColumn("score", (F.lit(1.0) + F.col("id") % 10).cast("double"))
-    sem = v.filter("id % 2 = 0").withColumn("score", (F.lit(0.5) + F.col("id") % 9).cast("double"))
+    sem = v.filter("id % 2 = 0 OR id % 3 <> 0 OR query_id >= 4").withColumn("score", (F.lit(0.5) + F.col("id") % 9).cast("double"))
     return retrieval.trusted(lex, sem, _cards(spark, d)).select("query_id", "id", "score", "channel", "rank")
 
 
@@ -172,14 +172,14 @@ def chunk_documents(spark, d):
     return chunking.chunk_documents(_read(spark, d, "documents"), size=400, overlap=50).select("doc_id", "chunk_index", "char_start", "char_end", F.sha2("content", 256).alias("sha256"))
 
 
-@query(f"""WITH c AS ({tb.CARDS}), q AS (SELECT id, title, summary, scenario, CASE WHEN id % 6 = 0 THEN '' ELSE object_name END AS object_name, CASE WHEN id % 5 = 0 THEN '' WHEN id % 7 = 0 THEN 'not in the source' ELSE substr(title, 1, 20) END AS quote, quality FROM c LEFT JOIN labels ON doc_id = id),
+@query(f"""WITH c AS ({tb.CARDS}), q AS (SELECT id, title, summary, scenario, CASE WHEN id % 6 = 0 THEN '' ELSE object_name END AS object_name, CASE WHEN id % 5 = 0 THEN '' WHEN id % 7 = 0 THEN 'not in the source' ELSE substr(title || summary, CAST(floor(length(title || summary) * 2 / 3) AS INT) + 1, 20) END AS quote, quality FROM c LEFT JOIN labels ON doc_id = id),
     s AS (SELECT id, quality, quote, (CASE WHEN summary = '' THEN 20 ELSE 0 END + CASE WHEN object_name = '' THEN 6 ELSE 0 END + CASE WHEN quote = '' THEN 25 WHEN quote = 'not in the source' THEN 25 ELSE 0 END + CASE WHEN coalesce(quality, 1) = 0 THEN 18 ELSE 0 END) AS lost FROM q)
     SELECT id, (100 - lost)::DOUBLE AS quality_score, CASE WHEN 100 - lost >= 65 AND quote NOT IN ('', 'not in the source') THEN 'PENDING_REVIEW' ELSE 'DRAFT' END AS status FROM s""")
 def quality_rubric(spark, d):
     cards = _cards(spark, d).join(_read(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left")
-    quote = F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 7 == 0, "not in the source").otherwise(F.substring("title", 1, 20))
+    quote = F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 7 == 0, "not in the source").otherwise(F.substring(F.concat("title", "summary"), F.floor(F.length(F.concat("title", "summary")) * 2 / 3).cast("int") + 1, F.lit(20)))
     steps = F.when(F.coalesce("quality", F.lit(1)) == 0, F.array().cast("array<string>")).otherwise(F.array("title"))
-    cards = cards.withColumns({"object_name": F.when(F.col("id") % 6 == 0, "").otherwise(F.col("object_name")), "evidence_quote": quote, "source_text": F.col("title"), "procedure_steps": steps, "unit_role": F.lit("implementation_steps")})
+    cards = cards.withColumns({"object_name": F.when(F.col("id") % 6 == 0, "").otherwise(F.col("object_name")), "evidence_quote": quote, "source_text": F.concat("title", "summary"), "procedure_steps": steps, "unit_role": F.lit("implementation_steps")})
     got = quality.quality(cards, unit_role="unit_role")
     grounded = ~quote.isin("", "not in the source")
     return got.select("id", "quality_score", quality.status_from_quality(F.col("quality_score"), grounded).alias("status"))
@@ -358,13 +358,13 @@ _CLAIM_FIELD = "CASE turn % 3 WHEN 0 THEN 'scenario' WHEN 1 THEN CASE WHEN conv_
 def _claims(spark, d):
     tb.views(spark, d, "conversations")
     claims = spark.sql(f"SELECT conv_id AS answer_id, turn AS claim_no, {_CLAIM_CATEGORY} AS category, conv_id AS card_id, {_CLAIM_FIELD} AS field, CAST(turn % 2 AS INT) AS index FROM conversations")
-    fields = F.create_map(F.lit("scenario"), F.array(F.concat(F.lit("s"), F.col("conv_id"))), F.lit("procedure_steps"), F.array(F.lit("a"), F.lit("b")), F.lit("risks"), F.array(F.lit("r")), F.lit("rollback_steps"), F.when(F.col("conv_id") % 5 == 0, F.array(F.lit("undo"))).otherwise(F.array().cast("array<string>")))
-    cards = spark.table("conversations").filter("conv_id % 9 <> 0").select("conv_id").distinct().select(F.col("conv_id").alias("card_id"), fields.alias("fields"))
+    fields = F.create_map(F.lit("scenario"), F.array("said"), F.lit("procedure_steps"), F.array(F.lit("a"), F.lit("b")), F.lit("risks"), F.array(F.lit("r")), F.lit("rollback_steps"), F.when(F.col("conv_id") % 5 == 0, F.array(F.lit("undo"))).otherwise(F.array().cast("array<string>")))
+    cards = spark.table("conversations").filter("conv_id % 9 <> 0").groupBy("conv_id").agg(F.max("text").alias("said")).select(F.col("conv_id").alias("card_id"), fields.alias("fields"))
     return answers.validate(claims, cards)
 
 
-_CLAIMS = f"""WITH c AS (SELECT conv_id AS answer_id, turn AS claim_no, {_CLAIM_CATEGORY} AS category, {_CLAIM_FIELD} AS field, turn % 2 AS i FROM conversations),
-    v AS (SELECT *, CASE field WHEN 'scenario' THEN ['s' || answer_id] WHEN 'procedure_steps' THEN ['a', 'b'] WHEN 'risks' THEN ['r'] ELSE CASE WHEN answer_id % 5 = 0 THEN ['undo'] ELSE []::VARCHAR[] END END AS vals FROM c),
+_CLAIMS = f"""WITH c AS (SELECT conv_id AS answer_id, turn AS claim_no, {_CLAIM_CATEGORY} AS category, {_CLAIM_FIELD} AS field, turn % 2 AS i, max(text) OVER (PARTITION BY conv_id) AS said FROM conversations),
+    v AS (SELECT *, CASE field WHEN 'scenario' THEN [said] WHEN 'procedure_steps' THEN ['a', 'b'] WHEN 'risks' THEN ['r'] ELSE CASE WHEN answer_id % 5 = 0 THEN ['undo'] ELSE []::VARCHAR[] END END AS vals FROM c),
     t AS (SELECT *, CASE WHEN answer_id % 9 = 0 THEN NULL ELSE vals[i + 1] END AS text FROM v),
     e AS (SELECT *, CASE WHEN answer_id % 9 = 0 THEN 'UNKNOWN_CARD' WHEN category = '知识不足' THEN CASE WHEN len(vals) > 0 THEN 'FIELD_NOT_EMPTY' ELSE '' END WHEN category = '执行步骤' AND field = 'risks' THEN 'CATEGORY_FIELD_MISMATCH' WHEN text IS NULL THEN 'INDEX_OUT_OF_RANGE' ELSE '' END AS err FROM t),
     k AS (SELECT answer_id, claim_no, category, field, text, CASE WHEN err = '' AND row_number() OVER (PARTITION BY answer_id, category, text, err ORDER BY claim_no) > 1 THEN 'DUPLICATE' ELSE err END AS error FROM e)"""
@@ -439,14 +439,14 @@ def hash_chain_verify(spark, d):
     return audit.verify(spoilt, "run_id", "event_id", "body").select("run_id", "event_id", "valid")
 
 
-_FLAT = "SELECT sha256(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS h FROM lineitem WHERE l_orderkey % 2 = 0"
+_FLAT = "SELECT sha256(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS h FROM lineitem WHERE l_orderkey % 3 <> 0"
 
 
-@query(f"""WITH f AS (SELECT h, count(*) AS a FROM ({_FLAT}) GROUP BY h), g AS (SELECT h, count(*) AS b FROM (SELECT sha256(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS h FROM lineitem WHERE l_orderkey % 3 = 0) GROUP BY h),
+@query(f"""WITH f AS (SELECT h, count(*) AS a FROM ({_FLAT}) GROUP BY h), g AS (SELECT h, count(*) AS b FROM (SELECT sha256(concat_ws('|', l_partkey, l_suppkey, l_linenumber)) AS h FROM lineitem WHERE l_orderkey % 2 = 0 OR l_orderkey % 3 = 0) GROUP BY h),
     j AS (SELECT coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM f FULL JOIN g USING (h)) SELECT sum(least(a, b))::BIGINT AS matched, sum(a - least(a, b))::BIGINT AS flat_only, sum(b - least(a, b))::BIGINT AS grouped_only FROM j""")
 def multiset_reconcile(spark, d):
     lines = _read(spark, d, "lineitem").withColumn("content_hash", F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey", "l_linenumber"), 256))
-    return matching.reconcile_report(matching.multiset_reconcile(lines.filter("l_orderkey % 2 = 0"), lines.filter("l_orderkey % 3 = 0")))
+    return matching.reconcile_report(matching.multiset_reconcile(lines.filter("l_orderkey % 3 <> 0"), lines.filter("l_orderkey % 2 = 0 OR l_orderkey % 3 = 0")))
 
 
 @query("""WITH RECURSIVE t AS (SELECT l_orderkey AS o, list(l_partkey ORDER BY l_linenumber, l_partkey) AS v FROM lineitem GROUP BY 1), x AS (SELECT o, generate_subscripts(v, 1) AS i, unnest(v) AS p FROM t),

@@ -203,10 +203,10 @@ def memory_sync_plan(spark, d):
     return memory.sync_plan(cards, synced.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("card_id"), F.lit("x").alias("synced_hash"))))
 
 
-@query(f"""WITH c AS ({tb.CARDS}) SELECT v.vec_id AS memory_id, id AS card_id, status, CASE WHEN id % 3 = 0 THEN 'case-' || id END AS case_id FROM embeddings v JOIN c ON id = vec_id % 500 WHERE status <> 'APPROVED'""")
+@query(f"""WITH c AS ({tb.CARDS}) SELECT v.doc_id * 2 + 1 AS memory_id, id AS card_id, status, CASE WHEN id % 3 = 0 THEN 'case-' || id END AS case_id FROM documents v JOIN c ON id = v.doc_id WHERE status <> 'APPROVED'""")
 def memory_stale_links(spark, d):
     cards = _cards(spark, d)
-    links = _read(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), (F.col("vec_id") % 500).alias("card_id"))
+    links = _read(spark, d, "documents").select((F.col("doc_id") * 2 + 1).alias("memory_id"), F.col("doc_id").alias("card_id"))
     lineage = cards.filter("id % 3 = 0").select(F.col("id").alias("card_id"), F.concat(F.lit("case-"), "id").alias("case_id"))
     return memory.stale_links(links, cards, lineage).select("memory_id", "card_id", "status", "case_id")
 
