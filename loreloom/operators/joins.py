@@ -19,10 +19,11 @@ def grams(text: Column, n: int = 3) -> Column:
 def containing(texts: DataFrame, parts: DataFrame, text: str, part: str, n: int = 3) -> DataFrame:
     """texts joined with the parts that they contain: candidates share the part's first n characters, then they are compared.
 
-    Parts of fewer than n characters, of which there are few kinds, meet the texts by their own length.
+    Parts of fewer than n characters, of which there are few kinds, meet the texts by their own length. Texts are spread
+    only by the lengths that parts have; empty parts are in no text.
     """
-    out = None
-    for size in range(1, n + 1):
+    out, sizes = None, [r[0] for r in parts.select(F.least(F.length(part), F.lit(n))).distinct().collect()]  # n numbers at most
+    for size in sorted(s for s in sizes if s) or [n]:
         some = parts.filter(F.length(part) == size) if size < n else parts.filter(F.length(part) >= n)
         some = some.withColumn("_gram", F.substring(part, 1, size))
         met = texts.filter(F.length(text) >= size).withColumn("_gram", F.explode(grams(F.col(text), size))).join(small(some), "_gram").filter(F.contains(F.col(text), F.col(part))).drop("_gram")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..tables import Table
 from .joins import containing, small
 
 # Field weights.
@@ -73,23 +74,48 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def search(cards: DataFrame, queries: DataFrame, *, top_k: int = 6, min_score: float = 0.0, min_coverage: float = 0.0) -> DataFrame:
+def card_terms(cards: DataFrame) -> DataFrame:
+    """(id, term, weight): how much a term weighs in a card, over its fields, before the term's rarity."""
+    weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
+    return term_frequency(cards).groupBy("id", "term").agg(F.sum(weights[F.col("field")] * (1 + F.log("tf"))).alias("weight"))
+
+
+def kept_index(cards: DataFrame) -> Table:
+    """card_terms of the publishable cards, written once, for many searches."""
+    return Table(card_terms(publishable(cards)), "card-terms")
+
+
+def updated_index(index: Table, changed: DataFrame, gone: DataFrame) -> Table:
+    """The index after cards changed (new ones, too) and ids went; only these cards are tokenized. The old one goes."""
+    stale = gone.select("id").unionByName(changed.select("id")).distinct()
+    after = Table(index.df.join(stale, "id", "left_anti").unionByName(card_terms(publishable(changed))), "card-terms")
+    index.drop()
+    return after
+
+
+def search(cards: DataFrame, queries: DataFrame, *, top_k: int = 6, min_score: float = 0.0, min_coverage: float = 0.0, index: Table | None = None) -> DataFrame:
     """(query_id, rank, id, score, query_coverage, matched_terms) for stated queries(query_id, query).
 
-    Every query is matched in one pass: postings are joined to all queries' terms, which are broadcast if they are few.
-    A query in a title, or an object's name in a query, is found by equal runs of characters. Scores count cards after the publishable filter. A query that stands in a title, or
-    that names a card's object, gains a boost even without a matched term.
+    index: kept_index of the same cards; without one, cards are tokenized once and only the terms asked for are kept.
+    Every query is matched in one pass: a card's terms are joined to all queries' terms, which are broadcast if they are
+    few, and the terms that matched are read off the same rows. A query in a title, or an object's name in a query, is
+    found by equal runs of characters. Scores count cards after the publishable filter. A query that stands in a title,
+    or that names a card's object, gains a boost even without a matched term.
     """
     cards = publishable(cards)
-    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    terms = Table(queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "query-terms").df
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
-    wanted = term_frequency(cards).join(small(terms.select("term").distinct()), "term", "left_semi")
-    # Fields are summed before the queries come in: one row for each card and term.
-    wanted = wanted.groupBy("id", "term").agg(F.sum(weights[F.col("field")] * (1 + F.log("tf"))).alias("weight"))
+    asked_terms = small(terms.select("term").distinct())
+    if index is None:  # terms that nobody asks for are dropped before cards' rows are summed
+        weights = F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv))
+        wanted = term_frequency(cards).join(asked_terms, "term", "left_semi").groupBy("id", "term").agg(F.sum(weights[F.col("field")] * (1 + F.log("tf"))).alias("weight"))
+    else:
+        wanted = index.df.join(asked_terms, "term", "left_semi")
+    wanted = Table(wanted, "wanted-terms").df
     n = cards.count()
     idf = wanted.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 0.5)) + 1).alias("idf"))
-    lexical = wanted.join(small(terms), "term").join(idf, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf") * (1 + F.log("qtf"))).alias("lexical"), F.count("*").alias("matched"))
+    asked_terms = terms.join(idf, "term").select("query_id", "term", (F.col("idf") * (1 + F.log("qtf"))).alias("asked"))
+    lexical = wanted.join(small(asked_terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("asked")).alias("lexical"), F.count("*").alias("matched"))
     asked = queries.join(sizes, "query_id").select("query_id", F.trim(F.lower("query")).alias("q"))
     title, name = (F.lower(F.coalesce(F.col(c), F.lit(""))) if c in cards.columns else F.lit("") for c in ("title", "object_name"))
     titled = containing(cards.select("id", title.alias("t")), asked, "t", "q").select("query_id", "id", F.lit(TITLE_BOOST).alias("boost"))
@@ -100,10 +126,44 @@ def search(cards: DataFrame, queries: DataFrame, *, top_k: int = 6, min_score: f
     score = F.coalesce("lexical", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))
     hits = hits.select("query_id", "id", score.alias("score"), (F.coalesce("matched", F.lit(0)) / F.col("n_terms")).alias("query_coverage"))
     hits = hits.filter((F.col("score") > 0) & (F.col("score") >= max(0.0, min_score)) & (F.col("query_coverage") >= max(0.0, min(1.0, min_coverage))))
-    found = top_hits(hits, top_k)
-    texts = cards.select("id", tokenize(F.concat_ws("\n", *(_flat(cards, f) for f in _fields(cards)))).alias("held"))
-    said = queries.select("query_id", tokenize(F.col("query")).alias("said"))
-    return found.join(texts, "id").join(said, "query_id").withColumn("matched_terms", F.array_sort(F.array_intersect("said", "held"))).drop("said", "held")
+    found = Table(top_hits(hits, top_k), "search-hits").df
+    held = found.select("query_id", "id").join(wanted.select("id", "term"), "id").join(terms.select("query_id", "term"), ["query_id", "term"])
+    held = held.groupBy("query_id", "id").agg(F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    return found.join(held, ["query_id", "id"], "left").withColumn("matched_terms", F.coalesce("matched_terms", F.array().cast("array<string>")))
+
+
+#: What a draft is compared by, and the statuses of cards that it is compared with.
+COMPARED_FIELDS = ("title", "summary", "scenario", "object_name", "applicable_versions", "keywords")
+COMPARED_STATUSES = ("DRAFT", "PENDING_REVIEW", "APPROVED", "SUPERSEDED")
+
+
+def compared(drafts: DataFrame, cards: DataFrame, decide, *, top_k: int = 5, min_score: float = 0.0, min_coverage: float = 0.0, index: Table | None = None) -> DataFrame:
+    """(draft_id, candidates, relation, related_ids, reason): what a plug-in makes of each draft and its candidates.
+
+    drafts: draft_id and fields of cards. Candidates are the top_k hits of the draft's fields among cards of the compared
+    statuses. decide(pandas batch with draft_id, query and candidates) gives a frame of relation, related_ids and reason,
+    row by row; ids that are no candidates are left out, and a relation without an id becomes NEW. Drafts without a
+    candidate are not asked about. index: kept_index of these cards.
+    """
+    live = cards.filter(F.col("status").isin(*COMPARED_STATUSES))
+    query = F.concat_ws(" ", *(_flat(drafts, f) for f in COMPARED_FIELDS if f in drafts.columns))
+    asked = drafts.select(F.col("draft_id").alias("query_id"), query.alias("query"))
+    hits = search(live, asked, top_k=top_k, min_score=min_score, min_coverage=min_coverage, index=index)
+    found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("c")).select("query_id", F.transform("c", lambda x: x["id"]).alias("candidates"))
+    rows = found.join(asked, "query_id").select(F.col("query_id").alias("draft_id"), "query", "candidates")
+    kind, id_type = dict(drafts.dtypes)["draft_id"], dict(cards.dtypes)["id"]
+
+    def run(batches):
+        for pdf in batches:
+            got = decide(pdf).reset_index(drop=True)
+            yield pdf[["draft_id", "candidates"]].reset_index(drop=True).assign(relation=got["relation"], related_ids=got["related_ids"], reason=got["reason"])
+
+    told = rows.mapInPandas(run, f"draft_id {kind}, candidates array<{id_type}>, relation string, related_ids array<{id_type}>, reason string")
+    told = told.withColumn("related_ids", F.array_intersect(F.coalesce("related_ids", F.array().cast(f"array<{id_type}>")), "candidates"))
+    told = told.withColumn("relation", F.when((F.size("related_ids") == 0) | F.col("relation").isNull(), "NEW").otherwise(F.upper("relation")))
+    none = drafts.select("draft_id").join(told.select("draft_id"), "draft_id", "left_anti")
+    empty = F.array().cast(f"array<{id_type}>")
+    return told.unionByName(none.select("draft_id", empty.alias("candidates"), F.lit("NEW").alias("relation"), empty.alias("related_ids"), F.lit("").alias("reason")))
 
 
 def top_hits(hits: DataFrame, top_k: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,27 @@ def retrieval_batch(spark, d):
     return _hits(retrieval.search(_cards(spark, d), asked, min_score=10.0, min_coverage=0.15))
 
 
+_DRAFTS = "SELECT item_id AS query_id, text || ' in ' || text AS query FROM benchmark"
+
+
+def _first_two(pdf):
+    """A stand-in for a model: the best two candidates, and one id that is no candidate."""
+    best = [list(c[:2]) for c in pdf["candidates"]]
+    return pd.DataFrame({"relation": ["duplicate_of" if len(b) > 1 else "related_to" for b in best], "related_ids": [[-1, *b] for b in best], "reason": [f"{len(c)} candidates" for c in pdf["candidates"]]})
+
+
+@query(f"""WITH hits AS ({_search_sql(_DRAFTS, 5, 10.0, 0.15).replace("WITH cards AS (", "WITH cards AS (SELECT * FROM (", 1).replace("), p AS", ") WHERE status <> 'REJECTED'), p AS", 1)}),
+    c AS (SELECT query_id, list(id ORDER BY rank) AS ids FROM hits GROUP BY query_id)
+    SELECT item_id AS draft_id, coalesce(array_to_string(ids, ','), '') AS candidates, CASE WHEN ids IS NULL THEN 'NEW' WHEN len(ids) > 1 THEN 'DUPLICATE_OF' ELSE 'RELATED_TO' END AS relation,
+      coalesce(array_to_string(ids[1:2], ','), '') AS related_ids, CASE WHEN ids IS NULL THEN '' ELSE len(ids) || ' candidates' END AS reason FROM benchmark LEFT JOIN c ON query_id = item_id""")
+def draft_comparison(spark, d):
+    cards = _cards(spark, d)
+    index = retrieval.kept_index(cards.filter("status <> 'REJECTED'"))
+    drafts = _read(spark, d, "benchmark").select(F.col("item_id").alias("draft_id"), F.col("text").alias("title"), F.lit("in").alias("scenario"), F.col("text").alias("object_name"))
+    got = retrieval.compared(drafts, cards, _first_two, min_score=10.0, min_coverage=0.15, index=index)
+    return got.select("draft_id", F.array_join("candidates", ",").alias("candidates"), "relation", F.array_join("related_ids", ",").alias("related_ids"), "reason")
+
+
 @query(f"WITH cards AS ({tb.CARDS}), p AS ({POSTINGS}) SELECT id, field, term, tf FROM p")
 def term_frequency(spark, d):
     return retrieval.term_frequency(_cards(spark, d))
