@@ -170,7 +170,10 @@ def memory_valid(links: DataFrame, sync: DataFrame) -> DataFrame:
 
 
 def budget_spent(events: DataFrame, key: str, order: list[str], limits: dict[str, float]) -> DataFrame:
-    """events with running sums of each limited column, and the first limit that is passed, if any."""
+    """events with running sums of each limited column, and the first limit that is passed, if any.
+
+    Sums are compared at six decimals: a sum of fractions that is the limit is not past it, whatever the order of additions.
+    """
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     got = events.withColumns({f"{c}_spent": F.sum(c).over(w) for c in limits})
-    return got.withColumn("exceeded", F.coalesce(*(F.when(F.col(f"{c}_spent") > v, c) for c, v in limits.items()), F.lit("")))
+    return got.withColumn("exceeded", F.coalesce(*(F.when(F.round(F.col(f"{c}_spent"), 6) > v, c) for c, v in limits.items()), F.lit("")))

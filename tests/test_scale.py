@@ -1,0 +1,9 @@
+"""What larger tables need: bounded batches, work that is spread, texts and nodes that are shuffled once."""
+
+from loreloom.operators import governance
+
+
+def test_budget_at_the_limit_is_not_past_it(spark):
+    events = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.2), (1, 3, 0.01)], "user_id long, event_id long, tokens double")
+    got = governance.budget_spent(events, "user_id", ["event_id"], {"tokens": 0.3}).orderBy("event_id").collect()
+    assert [r.exceeded for r in got] == ["", "", "tokens"]
