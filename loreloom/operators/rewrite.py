@@ -105,5 +105,7 @@ def normalised(docs: DataFrame, nodes: DataFrame, zone: str = "Asia/Shanghai", k
 
 def resolved(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """wanted(key, pointer, ...) with type and value, the source of what the pointer names; null where there is nothing."""
-    found = nodes.select(key, "pointer", "start", "end", "type").join(docs.select(key, F.col(text).alias("text")), key).select(key, "pointer", "type", source().alias("value"))
+    # Texts meet only the nodes that are named.
+    named = nodes.join(wanted.select(key, "pointer").distinct(), [key, "pointer"], "left_semi").select(key, "pointer", "start", "end", "type")
+    found = named.join(docs.select(key, F.col(text).alias("text")), key).select(key, "pointer", "type", source().alias("value"))
     return wanted.join(found, [key, "pointer"], "left")
