@@ -85,11 +85,13 @@ def profile_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def node_coverage(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, nodes, owned, coverage): share of nodes(doc_id, pointer) that lie at or below a root(doc_id, pointer).
 
-    Every prefix of a node's pointer is joined to the roots by equality, so no prefix join is needed.
+    Prefixes of the depths that roots have are joined to them by equality, so no prefix join is needed; a node has a row
+    for each such depth, and one if it has none.
     """
     parts = F.split("pointer", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    spread = nodes.select("doc_id", "pointer", F.explode(prefixes).alias("root"))
+    depths = sorted(r[0] for r in roots.filter("pointer IS NOT NULL").select(F.size(parts)).distinct().collect())  # a handful of numbers
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    spread = nodes.select("doc_id", "pointer", F.explode_outer(prefixes).alias("root"))
     hit = spread.join(roots.select("doc_id", F.col("pointer").alias("root")).distinct().withColumn("hit", F.lit(1)), ["doc_id", "root"], "left")
     each = hit.groupBy("doc_id", "pointer").agg(F.coalesce(F.max("hit"), F.lit(0)).alias("own"))
     return each.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.sum("own").alias("owned"), F.round(F.avg("own"), 4).alias("coverage"))
