@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import small_batches
+
 CHUNK = "array<struct<chunk_index:int,char_start:int,char_end:int,content:string>>"
 
 
@@ -38,6 +40,7 @@ def chunk(text: str, size: int, overlap: int) -> list[dict]:
 
 def chunk_documents(docs: DataFrame, *, size: int = 6000, overlap: int = 500, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk_index, char_start, char_end, content) of every text, whole; null texts have no chunks."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(CHUNK)
     def chunks(texts: pd.Series) -> pd.Series:
