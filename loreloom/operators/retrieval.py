@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..tables import Table
+from ..tables import Table, small_batches
 from .joins import containing, small
 
 # Field weights.
@@ -229,23 +231,58 @@ def recommend(scores: DataFrame, eligible: DataFrame, *, limit: int = 3) -> Data
     return scores.join(eligible.select("case_id"), "case_id", "left_semi").withColumn("rank", rank).filter(F.col("rank") <= max(1, min(limit, 3)))
 
 
-def semantic_recall(vectors: DataFrame, queries: DataFrame, *, top_k: int = 5) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the nearest vectors by cosine to stated query vectors, in blocks of 4096.
+#: Vectors and queries that meet in one task, and queries of one matrix product.
+CELL_VECTORS, CELL_QUERIES, CELL_PRODUCT = 8192, 4096, 256
+
+
+def _cell_best(vectors: pa.Table, queries: pa.Table, top_k: int) -> tuple[list[int], list[int], list[float | None]]:
+    """(place of the query, place of the vector, cosine) of each query's top_k vectors of its own length in a cell."""
+    out: tuple[list, list, list] = ([], [], [])
+    held, asked = vectors.column("embedding").to_pylist(), queries.column("asked").to_pylist()
+    ids = np.array(vectors.column("vec_id").to_pylist())
+    rows = lambda vs, size: np.array([k for k, v in enumerate(vs) if v is not None and len(v) == size], dtype=np.int64)
+    matrix = lambda vs, at, size: np.array([[np.nan if x is None else x for x in vs[k]] for k in at], dtype=np.float64).reshape(len(at), size)
+    for size in {len(q) for q in asked if q is not None}:
+        at, mine = rows(held, size), rows(asked, size)
+        if not len(at):
+            continue
+        with np.errstate(all="ignore"):
+            x, q = matrix(held, at, size), matrix(asked, mine, size)
+            n, m = (np.sqrt((v * v).sum(axis=1)) for v in (x, q))
+            for i in range(0, len(mine), CELL_PRODUCT):
+                like = (q[i : i + CELL_PRODUCT] @ x.T) / (m[i : i + CELL_PRODUCT, None] * n[None, :])
+                order = np.where(np.isnan(like), -np.inf, np.round(like, 9))
+                for j, (row, rounded) in enumerate(zip(like, order)):
+                    k = min(top_k, len(at))
+                    least = np.partition(rounded, len(at) - k)[len(at) - k]
+                    near = np.flatnonzero(rounded >= least)
+                    near = near[np.lexsort((ids[at[near]], -rounded[near]))][:k]
+                    out[0].extend([int(mine[i + j])] * len(near))
+                    out[1].extend(at[near].tolist())
+                    out[2].extend(None if np.isnan(s) else float(s) for s in row[near])
+    return out
+
 
-    Each block is broadcast and meets all vectors in one pass.
+def semantic_recall(vectors: DataFrame, queries: DataFrame, *, top_k: int = 5) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the nearest vectors by cosine, at nine decimals, to stated query vectors.
 
-    Partial top-k lists keep the shuffle to top_k rows a query and task.
+    All queries meet all vectors of their length: both are cut into blocks by a hash of their ids, and a task compares a
+    block of each by matrix products in double precision and keeps top_k vectors a query. A vector without a direction
+    (zero, or with a null) has a null likeness and comes last; null vectors are not compared.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    blocks = max(1, -(-queries.count() // 4096))
-    pairs = None
-    for i in range(blocks):
-        asked = F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", F.col("embedding").alias("q")))
-        met = vectors.join(asked, F.size("embedding") == F.size("q")).select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / (norm(F.col("embedding")) * norm(F.col("q")))).alias("similarity"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
-    order = [F.desc("similarity"), F.col("vec_id")]
-    part = F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))
-    best = salted.withColumn("p", part).filter(F.col("p") <= top_k).drop("p", "salt")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= top_k)
+    small_batches(vectors.sparkSession)
+    kind, asked_kind = vectors.schema["vec_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    parts, asked_parts = max(1, -(-vectors.count() // CELL_VECTORS)), max(1, -(-queries.count() // CELL_QUERIES))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = vectors.select("vec_id", "embedding", part("vec_id", parts).alias("part")).select("*", upto(asked_parts).alias("asked_part"))
+    asked = queries.select("query_id", F.col("embedding").alias("asked"), part("query_id", asked_parts).alias("asked_part")).select("*", upto(parts).alias("part"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, like = _cell_best(left, right, top_k)
+        return pa.table({"query_id": right.column("query_id").take(pa.array(i, pa.int64())), "vec_id": left.column("vec_id").take(pa.array(j, pa.int64())), "similarity": pa.array(like, pa.float64())})
+
+    cell = ["part", "asked_part"]
+    found = held.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(best, f"query_id {asked_kind}, vec_id {kind}, similarity double")
+    order = [F.round("similarity", 9).desc_nulls_last(), F.col("vec_id")]
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= top_k)

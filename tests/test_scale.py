@@ -1,9 +1,29 @@
 """What larger tables need: bounded batches, work that is spread, texts and nodes that are shuffled once."""
 
-from loreloom.operators import governance
+from loreloom.operators import adapter, governance, retrieval
 
 
 def test_budget_at_the_limit_is_not_past_it(spark):
     events = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.2), (1, 3, 0.01)], "user_id long, event_id long, tokens double")
     got = governance.budget_spent(events, "user_id", ["event_id"], {"tokens": 0.3}).orderBy("event_id").collect()
     assert [r.exceeded for r in got] == ["", "", "tokens"]
+
+
+def test_nodes_are_dealt_over_tasks_in_small_batches(spark):
+    docs = spark.createDataFrame([(k, '{"a":[{"b":1,"c":""},null]}') for k in range(40)], "doc_id long, text string").coalesce(1)
+    got = adapter.nodes(docs)
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    root = got.filter("doc_id = 7").orderBy("start").collect()
+    assert [(r.pointer, r.members, r.arrays, r.scalars, r.signature) for r in root] == [("", 1, 1, 0, "a"), ("/a", 2, 0, 1, None), ("/a/0", 2, 0, 2, "b/c"), ("/a/0/b", 0, 0, 0, None), ("/a/0/c", 0, 0, 0, None), ("/a/1", 0, 0, 0, None)]
+
+
+def test_recall_has_a_place_for_zero_vectors_and_equal_likenesses(spark):
+    rows = [(k, [float(k % 7 + 1), 2.0, 3.0]) for k in range(60)] + [(90, [0.0, 0.0, 0.0]), (91, [1.0, 2.0]), (92, None), (93, [2.0, 4.0, 6.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0])], "query_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.rank) for r in retrieval.semantic_recall(vectors, asked, top_k=12).orderBy("query_id", "rank").collect()]
+    assert got[:10] == [(1, v, i) for i, v in enumerate([0, 7, 14, 21, 28, 35, 42, 49, 56, 93], 1)]
+    assert got[12:] == [(2, 91, 1)]
+    every = retrieval.semantic_recall(vectors, asked.filter("query_id = 1"), top_k=100).orderBy("rank").collect()
+    assert len(every) == 62 and every[-1].vec_id == 90 and every[-1].similarity is None
