@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import noop_response
-from . import dedup, records, steps, views
+from ..tables import spread
+from . import records, reuse, steps, views
 
 # Labels, field names and the least length of a child.
 OUTCOME_TITLE, OUTCOME_SUMMARY = "执行结果", "历史执行结果"
@@ -24,7 +25,8 @@ def step_cards(source: DataFrame, key: str = "case_id", *, long_chars: int = ste
     """Cards of steps(key, position, phase, name, operation): one for each, and one for each meaningful section of long ones.
 
     A long operation with enough meaningful sections makes its card a container, which is not retrieved; section is -1
-    for a step's own card. Steps without name and operation have none. Nothing is shuffled.
+    for a step's own card. Steps without name and operation have none. Cards are spread by case before they get their
+    digests, which do not compress; what canonical_cards does in a case then shuffles nothing more.
     """
 
     @F.pandas_udf(steps.SECTIONS)
@@ -34,7 +36,7 @@ def step_cards(source: DataFrame, key: str = "case_id", *, long_chars: int = ste
     name, operation = F.trim(F.coalesce("name", F.lit(""))), F.trim(F.coalesce("operation", F.lit("")))
     rows = source.select(key, "position", "phase", name.alias("name"), operation.alias("operation")).filter("name <> '' OR operation <> ''")
     named = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.concat(F.lit("步骤 "), F.col("position") + 1))
-    rows = rows.withColumn("title", steps.phase_title(F.col("phase"), named, F.col("operation"))).withColumn("sections", parse("operation"))
+    rows = rows.withColumn("title", steps.phase_title(F.col("phase"), named, F.col("operation"))).withColumn("sections", parse(F.when(F.rlike("operation", F.lit("[、.．]")), F.col("operation"))))  # labels end so
 
     def meaningful(s: Column) -> Column:
         noop = noop_response(s["body"])
@@ -46,6 +48,7 @@ def step_cards(source: DataFrame, key: str = "case_id", *, long_chars: int = ste
     children = F.transform("good", lambda x: F.struct(x["i"].alias("section"), F.concat_ws(" · ", "title", x["s"]["title"]).alias("title"), _section_text(x["s"]).alias("operation")))
     got = rows.select(key, "position", "phase", "name", "split", F.size(F.filter("sections", lambda s: noop_response(s["body"]) != "")).alias("noop_sections"), F.inline(F.when(F.col("split"), F.concat(own, children)).otherwise(own)))
 
+    got = spread(got, key)
     unit = lambda section: F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), F.col("position").cast("string"), section.cast("string")), 256)
     container = F.col("split") & (F.col("section") < 0)
     return got.select(
@@ -58,11 +61,17 @@ def step_cards(source: DataFrame, key: str = "case_id", *, long_chars: int = ste
 def canonical_cards(cards: DataFrame, key: str = "case_id", least: float = 0.92) -> DataFrame:
     """cards with titles told apart in each case, and canonical_id: the card's own id, or that of the earlier one it repeats."""
     place = F.col("position").cast("long") * 2**31 + F.col("section") + 1
-    signed = records.relationship_signature(cards)
-    told = steps.distinct_titles(signed.withColumn("qualifier", views.title_qualifier(F.col("targets"), F.col("operation"))).withColumn("step", F.col("position")).withColumn("position", place), key)
-    told = told.withColumn("title", F.col("new_title")).drop("new_title", "qualifier")
-    like = dedup.reuse(cards.select(F.col(key).alias("document_id"), "unit_id", F.col("parent_unit_id").alias("parent_id"), place.alias("position"), "fingerprint", F.col("operation").alias("text")), least)
-    return told.withColumn("position", F.col("step")).drop("step").join(like.select("unit_id", "canonical_id"), "unit_id")
+    names = {key: "document_id", "parent_unit_id": "parent_id", "operation": "text"}
+
+    def titled(some: DataFrame) -> DataFrame:
+        signed = records.relationship_signature(some)
+        told = steps.distinct_titles(signed.withColumn("qualifier", views.title_qualifier(F.col("targets"), F.col("operation"))).withColumn("step", F.col("position")).withColumn("position", place), key)
+        return told.withColumn("title", F.col("new_title")).drop("new_title", "qualifier").withColumnsRenamed(names)
+
+    few, many = reuse.parted(cards, key, "operation")
+    got = reuse.in_one_pass(titled(few), least)
+    got = got if many is None else got.unionByName(reuse.in_rounds(titled(many), least))
+    return got.withColumn("position", F.col("step")).drop("step", "similarity").withColumnsRenamed({new: old for old, new in names.items()})
 
 
 def context_cards(fields: DataFrame, key: str = "case_id") -> DataFrame:

@@ -4,7 +4,10 @@ In order of position, a card takes the first earlier canonical card of its finge
 of most alike text, if the likeness (Ratcliff-Obershelp, this card's text against the earlier one's) reaches ``least``;
 siblings (equal parent) are never taken; a card that finds none becomes canonical itself.
 
-No document is gathered. Texts that can be alike are found in cells: lengths of alike texts differ by a bounded factor,
+Documents of few cards and characters are spread over the tasks and decided card by card, in one pass over the sorted
+rows; a task holds the canonical cards of one such document. Larger documents are decided in rounds, and none is gathered.
+
+In the rounds, texts that can be alike are found in cells: lengths of alike texts differ by a bounded factor,
 so texts are put into length classes and blocks within a class, and only blocks of a class and of the next one meet. In
 a cell a count filter over pairs of characters, one matrix product, leaves what the likeness is computed for: a character
 that has no counterpart changes at most three pairs, so no alike pair is lost. The order is resolved in rounds: a card
@@ -19,16 +22,24 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from ..tables import Table
+from ..tables import Table, small_batches, spread
+from .joins import small
 
 BLOCK = 512
+#: Documents of at most so many cards and characters are decided in one pass.
+FEW_CARDS, FEW_CHARS = 256, 32_768
+#: Likenesses that a pass keeps, and the most characters of two texts of which one is kept.
+KEPT_LIKENESSES, KEPT_CHARS = 4096, 2000
 
 
 def _pairs_present(texts: list[str], bins: int) -> np.ndarray:
@@ -121,9 +132,9 @@ def _free(parent: str):
     return (F.col("taken.at") < F.col("at")) & ~F.coalesce(F.col(parent) == F.col("taken.parent"), F.lit(False))
 
 
-def reuse(cards: DataFrame, least: float = 0.92) -> DataFrame:
-    """(document_id, unit_id, canonical_id, similarity) of cards(document_id, unit_id, parent_id, position, fingerprint, text)."""
-    rows = cards.select(F.struct("document_id").alias("doc"), "document_id", "unit_id", F.col("parent_id").alias("parent"), F.struct(F.col("position").isNull().alias("last"), "position", "unit_id").alias("at"), "fingerprint", F.coalesce("text", F.lit("")).alias("text"))
+def in_rounds(cards: DataFrame, least: float = 0.92) -> DataFrame:
+    """cards as of in_one_pass with canonical_id and similarity, whatever the size of a document."""
+    rows = cards.select(F.struct(*cards.columns).alias("card"), F.struct("document_id").alias("doc"), "document_id", "unit_id", F.col("parent_id").alias("parent"), F.struct(F.col("position").isNull().alias("last"), "position", "unit_id").alias("at"), "fingerprint", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.xxhash64(F.to_json("doc"), F.lit(1)))
     # Cards equal in document, fingerprint, text and parent are decided by the first of them.
     alike_cards = ["document_id", "fingerprint", "text", "parent"]
@@ -150,8 +161,73 @@ def reuse(cards: DataFrame, least: float = 0.92) -> DataFrame:
     first = _first(members, status.df).filter("taken IS NOT NULL").select("gid", "taken")
     watched = Table(watch.drop("at", "parent").join(first, "gid"), "reuse-first").df
     # Each card looks at what its equals watch; fingerprints go before likeness, the likelier before, then the earlier.
-    mine = rows.alias("c").join(reps.select("rid", *alike_cards).alias("r"), same("c", "r", alike_cards)).select("c.document_id", "c.unit_id", "c.at", "c.parent", "r.rid")
-    mine = Table(mine.withColumn("card", F.monotonically_increasing_id()), "reuse-mine").df
-    best = mine.join(watched, "rid").filter(_free("parent")).groupBy("card").agg(F.min(F.struct((-F.col("like")).alias("unlike"), "taken.at", "taken.unit")).alias("b"))
-    got = mine.join(best, "card", "left")
-    return got.select("document_id", "unit_id", F.coalesce("b.unit", "unit_id").alias("canonical_id"), F.coalesce(F.least(-F.col("b.unlike"), F.lit(1.0)), F.lit(1.0)).alias("similarity"))
+    mine = rows.alias("c").join(reps.select("rid", *alike_cards).alias("r"), same("c", "r", alike_cards)).select("c.card", "c.at", "c.parent", "r.rid")
+    mine = Table(mine.withColumn("no", F.monotonically_increasing_id()), "reuse-mine").df
+    best = mine.join(watched, "rid").filter(_free("parent")).groupBy("no").agg(F.min(F.struct((-F.col("like")).alias("unlike"), "taken.at", "taken.unit")).alias("b"))
+    got = mine.join(best, "no", "left")
+    return got.select("card.*", F.coalesce("b.unit", "card.unit_id").alias("canonical_id"), F.coalesce(F.least(-F.col("b.unlike"), F.lit(1.0)), F.lit(1.0)).alias("similarity"))
+
+
+def parted(cards: DataFrame, document: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(few, many): the cards of documents that one pass decides, spread by document, and those of larger ones, if there are any."""
+    sizes = cards.groupBy(document).agg(F.count("*").alias("_n"), F.sum(F.length(text)).alias("_chars"))
+    large = Table(sizes.filter((F.col("_n") > FEW_CARDS) | (F.col("_chars") > FEW_CHARS)).select(F.col(document).alias("_large")), "reuse-large")
+    if not large.df.limit(1).count():
+        large.drop()
+        return spread(cards, document), None
+    large, equal = small(large.df), F.col(document).eqNullSafe(F.col("_large"))
+    return spread(cards.join(large, equal, "left_anti"), document), cards.join(large, equal, "left_semi")
+
+
+def _passed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The batches with canonical_id and similarity; rows come document by document and in order."""
+
+    def ratio(a: str, b: str) -> float:
+        return SequenceMatcher(None, a, b).ratio()
+
+    kept = lru_cache(KEPT_LIKENESSES)(ratio)
+
+    def likeness(a: str, b: str) -> float:
+        size = len(a) + len(b)
+        # What lengths, and then numbers of equal characters, allow at most.
+        if a == b or 2.0 * min(len(a), len(b)) / size < least or 2.0 * sum(min(a.count(c), b.count(c)) for c in set(a)) / size < least:
+            return float(a == b)
+        return (kept if size <= KEPT_CHARS else ratio)(a, b)
+
+    doc, prints, said = object(), {}, []
+    for batch in batches:
+        units, likes = [], []
+        for d, unit, parent, print_, text in zip(*(batch.column(c).to_pylist() for c in ("document_id", "unit_id", "parent_id", "fingerprint", "text"))):
+            if not (d == doc or (d != d and doc != doc)):  # not a number is one document
+                doc, prints, said = d, {}, []
+            free = lambda other: parent is None or other != parent
+            # Canonical cards of one fingerprint are siblings of each other, so the first one stands for them.
+            found, like = None, 1.0
+            if (first := prints.get(print_)) and free(first[1]):
+                found = first
+            elif text:
+                alike_ = [(x, c) for c in said if free(c[1]) and (x := likeness(text, c[2])) >= least]
+                like, found = max(alike_, key=lambda x: x[0], default=(1.0, None))
+            if found is None:
+                card = (unit, parent, text)
+                if print_ is not None:
+                    prints.setdefault(print_, card)
+                if text:
+                    said.append(card)
+            units.append(unit if found is None else found[0])
+            likes.append(like)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units, batch.schema.field("unit_id").type), pa.array(likes, pa.float64())], [*batch.schema.names, "canonical_id", "similarity"])
+
+
+def in_one_pass(few: DataFrame, least: float = 0.92) -> DataFrame:
+    """few(document_id, unit_id, parent_id, position, fingerprint, text, ...), spread by document, with canonical_id and similarity."""
+    small_batches(few.sparkSession)
+    schema = few.select("*", F.col("unit_id").alias("canonical_id")).schema.add("similarity", DoubleType())
+    return few.sortWithinPartitions("document_id", F.col("position").isNull(), "position", "unit_id").mapInArrow(lambda batches: _passed(batches, least), schema)
+
+
+def reuse(cards: DataFrame, least: float = 0.92) -> DataFrame:
+    """(document_id, unit_id, canonical_id, similarity) of cards(document_id, unit_id, parent_id, position, fingerprint, text)."""
+    few, many = parted(cards.select("document_id", "unit_id", "parent_id", "position", "fingerprint", "text"), "document_id", "text")
+    got = in_one_pass(few, least)
+    return (got if many is None else got.unionByName(in_rounds(many, least))).select("document_id", "unit_id", "canonical_id", "similarity")

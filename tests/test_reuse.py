@@ -85,3 +85,22 @@ def test_a_document_of_many_cards(spark):
 
 def test_empty(spark):
     assert dedup.reuse(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rounds_and_one_pass_agree(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(doc, i * 10 + k, r.choice([None, 1, 2]), r.choice([None, k % 9]), r.choice([None, f"p{r.randrange(15)}"]), text) for i, doc in enumerate(["a", None]) for k, text in enumerate(drifting(r, 40, 40))]
+    rows += [("small", 900 + k, None, k, None, "x" * k) for k in range(3)]
+    same(spark, rows)
+    monkeypatch.setattr(reuse, "FEW_CARDS", 39)
+    same(spark, rows)
+
+
+def test_cards_of_small_cases_stay_where_their_steps_are(spark):
+    from loreloom.operators import cards
+
+    steps = spark.createDataFrame([(c, n, "IMPLEMENTATION", "set it", f"set parameter a {n // 2} -> 2") for c in range(20) for n in range(4)], "case_id long, position int, phase string, name string, operation string")
+    built = cards.canonical_cards(cards.step_cards(steps))
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    assert sorted((r.position, r.canonical_id != r.unit_id) for r in built.filter("case_id = 3").collect()) == [(0, False), (1, True), (2, True), (3, True)]
