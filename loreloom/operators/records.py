@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json import type_matches
 from ..functions.text import EXPECTED_VALUE, RELATION_TARGET, TRANSITION, ascii_identity
+from ..tables import spread
 
 # Patterns of values that must come from the request.
 SPECIFIC = r"\b(?:\d{1,3}(?:\.\d{1,3}){3}|[A-Za-z]+-[0-9a-f]{6,}|\d{4,})\b"
@@ -34,19 +35,27 @@ def relationships(signed: DataFrame, key: str = "case_id") -> DataFrame:
     """(key, source_unit_id, target_unit_id, relation_type) between steps(unit_id, phase, signature) of a case.
 
     A validation that expects what an implementation sets VALIDATES it, a rollback that reverses its transition is
-    ROLLBACK_OF it. Both are equi-joins on case, target and value; each step is read for its own phase only.
+    ROLLBACK_OF it. Both are one equi-join on case, target, kind and values: an implementation has a row for each kind.
+    Rows are dealt over a stated number of partitions, as their few bytes in a shuffle are many in a sort.
     """
-    def of(phase: str, *fields: str) -> DataFrame:
+    def of(phases: list[str], *found: Column) -> DataFrame:
         # The fields go through the generator, so that no filter on them is computed from the text once more.
-        rows = F.transform("targets", lambda x: F.struct(x.alias("target"), *fields))
-        return signed.filter(F.col("phase") == phase).select(key, "unit_id", F.inline(rows))
-
-    done = of("IMPLEMENTATION", "from_value", "to_value").select(key, "target", F.col("unit_id").alias("target_unit_id"), F.col("from_value").alias("done_from"), F.col("to_value").alias("done_to")).filter("done_to IS NOT NULL")
-    checks = of("VALIDATION", "expected_values").select(key, "target", "unit_id", F.explode("expected_values").alias("done_to"))
-    undone = of("ROLLBACK", "from_value", "to_value").select(key, "target", "unit_id", F.col("from_value").alias("done_to"), F.col("to_value").alias("done_from"))
-    found = checks.join(done, [key, "target", "done_to"]).withColumn("relation_type", F.lit("VALIDATES")).drop("done_from")
-    found = found.unionByName(undone.join(done, [key, "target", "done_to", "done_from"]).withColumn("relation_type", F.lit("ROLLBACK_OF")).drop("done_from"))
-    return found.filter("unit_id != target_unit_id").select(key, F.col("unit_id").alias("source_unit_id"), "target_unit_id", "relation_type").distinct()
+        return signed.filter(F.col("phase").isin(phases)).select(key, "unit_id", F.inline(F.flatten(F.concat(*found))))
+
+    def each(kind: str, old, new):
+        return lambda x: F.struct(x.alias("target"), F.lit(kind).alias("relation_type"), old.alias("done_from"), new.alias("done_to"))
+
+    old, new, any_, targets = F.col("from_value"), F.col("to_value"), F.lit(""), F.col("targets")
+    at = lambda phase, rows: F.when(F.col("phase") == phase, rows).otherwise(F.slice(rows, 1, 0))
+    done = of(["IMPLEMENTATION"], F.array(F.transform(targets, each("VALIDATES", any_, new))), F.array(F.transform(targets, each("ROLLBACK_OF", old, new))))
+    checked = F.transform("expected_values", lambda v: F.transform(targets, each("VALIDATES", any_, v)))
+    undone = F.array(F.transform(targets, each("ROLLBACK_OF", new, old)))
+    asked = of(["VALIDATION", "ROLLBACK"], at("VALIDATION", checked), at("ROLLBACK", undone))
+    by = [key, "target", "relation_type", "done_from", "done_to"]
+    full = "done_from IS NOT NULL AND done_to IS NOT NULL"
+    found = spread(asked.filter(full), *by).join(spread(done.filter(full), *by).withColumnRenamed("unit_id", "target_unit_id"), by)
+    found = found.filter("unit_id != target_unit_id").select(key, F.col("unit_id").alias("source_unit_id"), "target_unit_id", "relation_type")
+    return spread(found, key, "source_unit_id", "target_unit_id").distinct()
 
 
 def apply_policies(fields: DataFrame, profile: DataFrame, inputs: DataFrame) -> DataFrame:
