@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import noop_response
-from ..tables import spread
+from ..tables import Table, spread
 from . import records, reuse, steps, views
 
 # Labels, field names and the least length of a child.
@@ -96,17 +96,22 @@ def build_report(source: DataFrame, cards: DataFrame, contexts: DataFrame, outco
 
     cards: those of canonical_cards. A step is expressed if it has a card, be it its own or one that it repeats.
     """
-    kept = F.col("canonical_id") == F.col("unit_id")
-    child = F.col("parent_unit_id").isNotNull()
-    counted = cards.groupBy(key).agg(
-        F.count_if(kept & ~child).alias("parents"), F.count_if(kept & child).alias("children"), F.count_if(kept & F.col("retrieval_enabled")).alias("indexed"), F.count_if(kept & (F.col("publish_status") == "CONTAINER")).alias("containers"),
+    # Cards are made once and written without their texts; digests are compared within a case, by 64 bits.
+    kept, child, bits = F.col("canonical_id") == F.col("unit_id"), F.col("parent_unit_id").isNotNull(), F.xxhash64
+    of_case = cards.select(
+        key, "position", kept.alias("kept"), child.alias("child"), "retrieval_enabled", (F.col("publish_status") == "CONTAINER").alias("container"), "noop_sections", "title", bits("fingerprint").alias("fingerprint"),
+        bits("unit_id").alias("unit_id"), bits(F.coalesce("parent_unit_id", "unit_id")).alias("family"), "phase", "targets", "from_value", "to_value", "expected_values",
+    )
+    of_case = Table(of_case, "report-cards").df
+    kept, child = F.col("kept"), F.col("child")
+    counted = spread(of_case, key).groupBy(key).agg(
+        F.count_if(kept & ~child).alias("parents"), F.count_if(kept & child).alias("children"), F.count_if(kept & F.col("retrieval_enabled")).alias("indexed"), F.count_if(kept & F.col("container")).alias("containers"),
         F.count_if(~kept).alias("reused"), F.sum(F.when(kept, F.col("noop_sections")).otherwise(0)).alias("noop_sections"), F.count_distinct("position").alias("expressed"),
     )
-    own = cards.filter(kept)
-    titles = own.groupBy(key, "title").agg((F.count_distinct("fingerprint") > 1).cast("int").alias("x")).groupBy(key).agg(F.sum("x").alias("title_collisions"))
-    family = own.select(key, F.coalesce("parent_unit_id", "unit_id").alias("family"), child.alias("child"), "retrieval_enabled").groupBy(key, "family")
-    both = family.agg(F.bool_or(~F.col("child") & F.col("retrieval_enabled")).alias("p"), F.count_if(F.col("child") & F.col("retrieval_enabled")).alias("n")).groupBy(key).agg(F.sum(F.when(F.col("p"), F.col("n")).otherwise(0)).alias("parent_child_collisions"))
-    related = records.relationships(own.select(key, "unit_id", "phase", "targets", "from_value", "to_value", "expected_values"), key)
+    own = spread(of_case.filter(kept), key)
+    titles = own.groupBy(key, "title").agg((F.min("fingerprint") != F.max("fingerprint")).cast("int").alias("x")).groupBy(key).agg(F.sum("x").alias("title_collisions"))
+    both = own.groupBy(key, "family").agg(F.bool_or(~child & F.col("retrieval_enabled")).alias("p"), F.count_if(child & F.col("retrieval_enabled")).alias("n")).groupBy(key).agg(F.sum(F.when(F.col("p"), F.col("n")).otherwise(0)).alias("parent_child_collisions"))
+    related = records.relationships(of_case.filter(kept).select(key, "unit_id", "phase", "targets", "from_value", "to_value", "expected_values"), key)
     related = related.groupBy(key).agg(F.count_if(F.col("relation_type") == "VALIDATES").alias("validates"), F.count_if(F.col("relation_type") == "ROLLBACK_OF").alias("rollbacks"))
     got = source.select(key, "position").distinct().groupBy(key).agg(F.count("*").alias("source_steps"))
     for part in (counted, titles, both, related, contexts.groupBy(key).agg(F.count("*").alias("contexts")), outcomes.groupBy(key).agg(F.count("*").alias("outcomes"))):

@@ -1,6 +1,6 @@
 """What larger tables need: bounded batches, work that is spread, texts and nodes that are shuffled once."""
 
-from loreloom.operators import adapter, governance, retrieval
+from loreloom.operators import adapter, cards, governance, records, retrieval
 
 
 def test_budget_at_the_limit_is_not_past_it(spark):
@@ -27,3 +27,29 @@ def test_recall_has_a_place_for_zero_vectors_and_equal_likenesses(spark):
     assert got[12:] == [(2, 91, 1)]
     every = retrieval.semantic_recall(vectors, asked.filter("query_id = 1"), top_k=100).orderBy("rank").collect()
     assert len(every) == 62 and every[-1].vec_id == 90 and every[-1].similarity is None
+
+
+def test_relations_are_dealt_over_tasks_and_join_by_both_values(spark):
+    rows = [(1, 1, "IMPLEMENTATION", "set param a 1 -> 2 and param b"), (1, 2, "VALIDATION", "check param a == 2"), (1, 3, "ROLLBACK", "set param a 2 -> 1"), (1, 4, "ROLLBACK", "set param a 2 -> 3"), (1, 5, "VALIDATION", "check param c == 2"),
+            (1, 6, "IMPLEMENTATION", "set param a"), (1, 7, "ROLLBACK", "set param b and param a 2 -> 1"), (2, 8, "VALIDATION", "check param b == 2 == 9"), (2, 9, "IMPLEMENTATION", "set param b 9 -> 9"), (2, 9, "IMPLEMENTATION", "set param b 9 -> 9"), (2, 10, "ROLLBACK", None)]
+    steps = spark.createDataFrame(rows, "case_id long, unit_id long, phase string, operation string")
+    got = records.relationships(records.relationship_signature(steps))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1, "VALIDATES"), (1, 3, 1, "ROLLBACK_OF"), (1, 7, 1, "ROLLBACK_OF"), (2, 8, 9, "VALIDATES")]
+    assert got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_report_makes_the_cards_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = [(c, n, p, "x", o) for c in (1, 2) for n, (p, o) in enumerate([("IMPLEMENTATION", "set param a 1 -> 2"), ("VALIDATION", "check param a == 2"), ("ROLLBACK", "set param a 2 -> 1")])]
+    source = spark.createDataFrame(rows, "case_id long, position int, phase string, name string, operation string")
+    built = cards.canonical_cards(cards.step_cards(source))
+    facts = spark.createDataFrame([(1,)], "case_id long")
+    got = cards.build_report(source, built.mapInArrow(counted, built.schema), facts, facts).orderBy("case_id").collect()
+    assert [(r.source_steps, r.parents, r.reused, r.validates, r.rollbacks, r.contexts, r.coverage) for r in got] == [(3, 3, 0, 1, 1, 1, 1.0), (3, 3, 0, 1, 1, 0, 1.0)]
+    assert calls.value == 6
