@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..tables import Table, small_batches
+from ..tables import Table, small_batches, spread
 from .joins import containing, small
 
 # Field weights.
@@ -26,6 +26,8 @@ FIELD_WEIGHTS = {
     "validation_steps": 1.2,
 }
 TITLE_BOOST, OBJECT_BOOST = 12.0, 6.0
+#: Cards whose terms, or whose scores for all queries, one task counts.
+TASK_CARDS = 4096
 # What a question is about, by its cues, and the card fields that must then be filled.
 INTENTS = {
     "rollback": (["回退", "撤销", "恢复", "还原", "回滚", "失败", "出问题"], ["rollback_steps"]),
@@ -64,11 +66,20 @@ def _fields(cards: DataFrame) -> list[str]:
     return [f for f in FIELD_WEIGHTS if f in cards.columns]
 
 
+def _by_card(rows: DataFrame, cards: int) -> DataFrame:
+    """rows(id, ...) spread by card, TASK_CARDS of so many cards to a task: what is counted in a card is not shuffled again."""
+    return spread(rows, "id", least=-(-cards // TASK_CARDS))
+
+
 def term_frequency(cards: DataFrame) -> DataFrame:
-    """(id, field, term, tf) of the weighted fields that cards has; lists are read as one text."""
+    """(id, field, term, tf) of the weighted fields that cards has; lists are read as one text.
+
+    Texts are shuffled, not their terms, which are many times as long.
+    """
     texts = F.array(*(F.struct(F.lit(f).alias("field"), _flat(cards, f).alias("text")) for f in _fields(cards)))
-    spread = cards.select("id", F.explode(texts).alias("f")).select("id", "f.field", F.explode(tokenize(F.col("f.text"))).alias("term"))
-    return spread.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+    placed = _by_card(cards.select("id", texts.alias("fields")), cards.count())
+    rows = placed.select("id", F.explode("fields").alias("f")).select("id", "f.field", F.explode(tokenize(F.col("f.text"))).alias("term"))
+    return rows.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -117,16 +128,16 @@ def search(cards: DataFrame, queries: DataFrame, *, top_k: int = 6, min_score: f
     n = cards.count()
     idf = wanted.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((F.lit(n) + 1) / (F.col("df") + 0.5)) + 1).alias("idf"))
     asked_terms = terms.join(idf, "term").select("query_id", "term", (F.col("idf") * (1 + F.log("qtf"))).alias("asked"))
-    lexical = wanted.join(small(asked_terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("asked")).alias("lexical"), F.count("*").alias("matched"))
+    # A card's scores are summed where its terms are; only each task's best hits go on to the ranking.
+    lexical = _by_card(wanted, n).join(small(asked_terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"), F.count("*").alias("matched"))
     asked = queries.join(sizes, "query_id").select("query_id", F.trim(F.lower("query")).alias("q"))
     title, name = (F.lower(F.coalesce(F.col(c), F.lit(""))) if c in cards.columns else F.lit("") for c in ("title", "object_name"))
     titled = containing(cards.select("id", title.alias("t")), asked, "t", "q").select("query_id", "id", F.lit(TITLE_BOOST).alias("boost"))
     objects = cards.select("id", name.alias("o")).filter("o != ''")
     naming = containing(asked, objects.select("o").distinct(), "q", "o").join(objects, "o").select("query_id", "id", F.lit(OBJECT_BOOST).alias("boost"))
-    boosts = titled.unionByName(naming).groupBy("query_id", "id").agg(F.sum("boost").alias("boost"))
-    hits = lexical.join(boosts, ["query_id", "id"], "full").join(small(sizes), "query_id")
-    score = F.coalesce("lexical", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))
-    hits = hits.select("query_id", "id", score.alias("score"), (F.coalesce("matched", F.lit(0)) / F.col("n_terms")).alias("query_coverage"))
+    boosts = _by_card(titled.unionByName(naming).select("query_id", "id", F.col("boost").alias("score"), F.lit(0).cast("long").alias("matched")), n)
+    hits = lexical.unionByName(boosts).groupBy("query_id", "id").agg(F.sum("score").alias("score"), F.sum("matched").alias("matched")).join(small(sizes), "query_id")
+    hits = hits.select("query_id", "id", "score", (F.col("matched") / F.col("n_terms")).alias("query_coverage"))
     hits = hits.filter((F.col("score") > 0) & (F.col("score") >= max(0.0, min_score)) & (F.col("query_coverage") >= max(0.0, min(1.0, min_coverage))))
     found = Table(top_hits(hits, top_k), "search-hits").df
     held = found.select("query_id", "id").join(wanted.select("id", "term"), "id").join(terms.select("query_id", "term"), ["query_id", "term"])

@@ -48,3 +48,22 @@ def test_drafts_keep_to_their_candidates(spark):
     assert len(a.candidates) == 5 and not rejected & set(a.candidates) and (a.relation, a.reason) == ("RELATED_TO", "word1 word2 word3")
     assert sorted(a.related_ids) == sorted({a.candidates[0], a.candidates[-1]})
     assert (got["b"].relation, got["b"].candidates, got["b"].related_ids) == ("NEW", [], []) and (got["c"].relation, got["c"].related_ids) == ("NEW", [])
+
+
+def test_scores_are_summed_where_the_cards_are(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_CARDS", 1)
+    held = spark.createDataFrame(cards(5), SCHEMA)
+    frequency = retrieval.term_frequency(held)
+    plan = frequency._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and frequency.rdd.getNumPartitions() == 60
+    asked, plans = spark.createDataFrame([(1, "word1 word2 word3"), (4, "restart host word2 now")], "query_id int, query string"), {}
+
+    class Watched(retrieval.Table):
+        def __init__(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            super().__init__(df, name)
+
+    monkeypatch.setattr(retrieval, "Table", Watched)
+    assert len(hits(retrieval.search(held, asked, index=retrieval.kept_index(held)))) == 12
+    assert plans["card-terms"].count("Exchange ") == 1
+    assert "FullOuter" not in plans["search-hits"] and "hashpartitioning(query_id#" in plans["search-hits"] and not any("hashpartitioning(query_id" in line and ", id#" in line for line in plans["search-hits"].split("\n"))
