@@ -65,5 +65,5 @@ def test_scores_are_summed_where_the_cards_are(spark, monkeypatch):
 
     monkeypatch.setattr(retrieval, "Table", Watched)
     assert len(hits(retrieval.search(held, asked, index=retrieval.kept_index(held)))) == 12
-    assert plans["card-terms"].count("Exchange ") == 1
+    assert plans["card-terms"].count("Exchange ") == 1 and "wanted-terms" not in plans
     assert "FullOuter" not in plans["search-hits"] and "hashpartitioning(query_id#" in plans["search-hits"] and not any("hashpartitioning(query_id" in line and ", id#" in line for line in plans["search-hits"].split("\n"))
