@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import with_spans
 from ..functions.time import MILLISECONDS_FROM
 
 # Names of secrets and of texts, and tokens within other texts.
@@ -38,11 +39,8 @@ def patched(docs: DataFrame, changes: DataFrame, key: str = "doc_id", text: str
     """docs with the spans of changes(key, start, end, replacement) replaced. Changes in changed spans are left out."""
     each = outermost(changes, key).groupBy(F.col(key).alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("c"))
     got = docs.join(each, F.col(key) == F.col("of"), "left")
-    until = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("c", i - 1)["end"])
-    pieces = F.transform("c", lambda c, i: F.concat(F.substring(F.col(text), until(i) + 1, c["start"] - until(i)), c["replacement"]))
-    end = F.element_at("c", -1)["end"]
-    whole = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), end + 1, F.length(text)))
-    return got.withColumn(text, F.when(F.col("c").isNull(), F.col(text)).otherwise(whole)).drop("of", "c")
+    of = lambda name: F.transform("c", lambda x: x[name])
+    return got.withColumn(text, F.when(F.col("c").isNull(), F.col(text)).otherwise(with_spans(text, of("start"), of("end"), of("replacement")))).drop("of", "c")
 
 
 def source(node_text: str = "text") -> Column:
