@@ -38,15 +38,15 @@ def step_cards(source: DataFrame, key: str = "case_id", *, long_chars: int = ste
     named = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.concat(F.lit("步骤 "), F.col("position") + 1))
     rows = rows.withColumn("title", steps.phase_title(F.col("phase"), named, F.col("operation"))).withColumn("sections", parse(F.when(F.rlike("operation", F.lit("[、.．]")), F.col("operation"))))  # labels end so
 
-    def meaningful(s: Column) -> Column:
-        noop = noop_response(s["body"])
-        return (F.length(s["body"]) > 0) & (s["content_length"] >= child_chars) & (noop == "") & F.rlike(_section_text(s), F.lit(steps.ACTIONABLE))
+    def meaningful(x: Column) -> Column:
+        s = x["s"]
+        return (F.length(s["body"]) > 0) & (s["content_length"] >= child_chars) & (x["noop"] == "") & F.rlike(_section_text(s), F.lit(steps.ACTIONABLE))
 
-    good = F.filter(F.transform("sections", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: meaningful(x["s"]))
-    rows = rows.withColumn("good", good).withColumn("split", (F.length("operation") >= long_chars) & (F.size("good") >= least_sections))
+    rows = rows.withColumn("marked", F.transform("sections", lambda s, i: F.struct(i.alias("i"), s.alias("s"), noop_response(s["body"]).alias("noop"))))
+    rows = rows.withColumn("good", F.filter("marked", meaningful)).withColumn("split", (F.length("operation") >= long_chars) & (F.size("good") >= least_sections))
     own = F.array(F.struct(F.lit(-1).alias("section"), F.col("title").alias("title"), F.col("operation").alias("operation")))
     children = F.transform("good", lambda x: F.struct(x["i"].alias("section"), F.concat_ws(" · ", "title", x["s"]["title"]).alias("title"), _section_text(x["s"]).alias("operation")))
-    got = rows.select(key, "position", "phase", "name", "split", F.size(F.filter("sections", lambda s: noop_response(s["body"]) != "")).alias("noop_sections"), F.inline(F.when(F.col("split"), F.concat(own, children)).otherwise(own)))
+    got = rows.select(key, "position", "phase", "name", "split", F.size(F.filter("marked", lambda x: x["noop"] != "")).alias("noop_sections"), F.inline(F.when(F.col("split"), F.concat(own, children)).otherwise(own)))
 
     got = spread(got, key)
     unit = lambda section: F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), F.col("position").cast("string"), section.cast("string")), 256)
@@ -58,8 +58,18 @@ def step_cards(source: DataFrame, key: str = "case_id", *, long_chars: int = ste
     )
 
 
-def canonical_cards(cards: DataFrame, key: str = "case_id", least: float = 0.92) -> DataFrame:
-    """cards with titles told apart in each case, and canonical_id: the card's own id, or that of the earlier one it repeats."""
+def most_cards(source: DataFrame, key: str = "case_id") -> DataFrame:
+    """(key, n, chars) that the cards of each case of steps(key, operation) do not exceed: a section begins on a line of its
+    own, and its text is that of its lines. No operation is taken apart for it."""
+    lines = F.length("operation") - F.length(F.replace("operation", F.lit("\n"), F.lit(""))) + 1
+    return source.select(key, F.coalesce("operation", F.lit("")).alias("operation")).groupBy(key).agg(F.sum(1 + lines).alias("n"), F.sum(2 * F.length("operation") + 2 * lines + 2).alias("chars"))
+
+
+def canonical_cards(cards: DataFrame, key: str = "case_id", least: float = 0.92, steps_of: DataFrame | None = None) -> DataFrame:
+    """cards with titles told apart in each case, and canonical_id: the card's own id, or that of the earlier one it repeats.
+
+    steps_of: the steps that the cards were made of; cases are then known to be small without making the cards for that.
+    """
     place = F.col("position").cast("long") * 2**31 + F.col("section") + 1
     names = {key: "document_id", "parent_unit_id": "parent_id", "operation": "text"}
 
@@ -68,7 +78,7 @@ def canonical_cards(cards: DataFrame, key: str = "case_id", least: float = 0.92)
         told = steps.distinct_titles(signed.withColumn("qualifier", views.title_qualifier(F.col("targets"), F.col("operation"))).withColumn("step", F.col("position")).withColumn("position", place), key)
         return told.withColumn("title", F.col("new_title")).drop("new_title", "qualifier").withColumnsRenamed(names)
 
-    few, many = reuse.parted(cards, key, "operation")
+    few, many = reuse.parted(cards, key, "operation", None if steps_of is None else most_cards(steps_of, key))
     got = reuse.in_one_pass(titled(few), least)
     got = got if many is None else got.unionByName(reuse.in_rounds(titled(many), least))
     return got.withColumn("position", F.col("step")).drop("step", "similarity").withColumnsRenamed({new: old for old, new in names.items()})

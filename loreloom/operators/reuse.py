@@ -168,10 +168,14 @@ def in_rounds(cards: DataFrame, least: float = 0.92) -> DataFrame:
     return got.select("card.*", F.coalesce("b.unit", "card.unit_id").alias("canonical_id"), F.coalesce(F.least(-F.col("b.unlike"), F.lit(1.0)), F.lit(1.0)).alias("similarity"))
 
 
-def parted(cards: DataFrame, document: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """(few, many): the cards of documents that one pass decides, spread by document, and those of larger ones, if there are any."""
-    sizes = cards.groupBy(document).agg(F.count("*").alias("_n"), F.sum(F.length(text)).alias("_chars"))
-    large = Table(sizes.filter((F.col("_n") > FEW_CARDS) | (F.col("_chars") > FEW_CHARS)).select(F.col(document).alias("_large")), "reuse-large")
+def parted(cards: DataFrame, document: str, text: str, most: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(few, many): the cards of documents that one pass decides, spread by document, and those of larger ones, if there are any.
+
+    most: (document, n, chars) that each document's cards do not exceed, where that is cheaper than to count them; either
+    way decides alike.
+    """
+    sizes = cards.groupBy(document).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars")) if most is None else most
+    large = Table(sizes.filter((F.col("n") > FEW_CARDS) | (F.col("chars") > FEW_CHARS)).select(F.col(document).alias("_large")), "reuse-large")
     if not large.df.limit(1).count():
         large.drop()
         return spread(cards, document), None

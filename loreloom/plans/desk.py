@@ -422,7 +422,7 @@ def _built(spark, d):
     # Lines are spread by order as narrow as they are; to drop repeated steps then needs no shuffle of their texts.
     spread(_read(spark, d, "lineitem"), "l_orderkey").createOrReplaceTempView("lineitem")
     source = spark.sql(_STEPS)
-    return source, cards.canonical_cards(cards.step_cards(source, long_chars=600, child_chars=100))
+    return source, cards.canonical_cards(cards.step_cards(source, long_chars=600, child_chars=100), steps_of=source)
 
 
 def _facts(spark, d):
