@@ -50,3 +50,12 @@ def test_noop_responses_against_a_plain_reading(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ft.noop_response(F.col("t")).alias("r"))
     rows = [(x.t, x.r) for x in got.collect()]
     assert sorted(map(repr, rows)) == sorted(repr((t, plain(t))) for t in texts) and len({x for _, x in rows}) > 4
+
+
+def test_no_part_of_the_report_is_broadcast(spark):
+    rows = [(c, n, p, "x", o) for c in (1, 2) for n, (p, o) in enumerate([("IMPLEMENTATION", "set param a 1 -> 2"), ("VALIDATION", "check param a == 2")])]
+    source = spark.createDataFrame(rows, "case_id long, position int, phase string, name string, operation string")
+    facts = spark.createDataFrame([(1,)], "case_id long")
+    got = cards.build_report(source, cards.canonical_cards(cards.step_cards(source), steps_of=source), facts.limit(5), facts.limit(5))
+    assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 6
+    assert [(r.case_id, r.parents, r.validates, r.contexts) for r in got.orderBy("case_id").collect()] == [(1, 2, 1, 1), (2, 2, 1, 0)]
